@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotativa.llm import encoding
+from rotativa.llm import encoding, leakage, spans
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,21 @@ def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.encode(table(spark, directory, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    found = leakage.leaks(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "eval_items", "item_id", "text"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.document_pairs(table(spark, directory, "documents", "doc_id", "text"))
+
+
+def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.shares(table(spark, directory, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids}
+    return {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 def oracle_sql() -> dict[str, str]:
