@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotativa.llm import encoding, leakage, spans
+from rotativa.llm import encoding, leakage, repeated_lines, residue, spans
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZERS = os.environ.get("ROTATIVA_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.residue(table(spark, directory, "notas", "id", "cuerpo", "titular"))
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return repeated_lines.occurrences(table(spark, directory, "notas", "id", "medio", "cuerpo")).distinct()
+
+
+def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
+    return repeated_lines.without_repeated(table(spark, directory, "notas", "id", "medio", "cuerpo"))
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.encode(table(spark, directory, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -33,8 +45,26 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+
+
+#: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.
+_REPEATED = r"""
+WITH a AS (SELECT id, medio, string_split(cuerpo, chr(10)) AS x FROM notas WHERE cuerpo IS NOT NULL),
+l AS (SELECT id, medio, unnest(range(len(x))) AS linea, unnest(x) AS line FROM a),
+n AS (SELECT id, medio, CAST(linea AS INTEGER) AS linea, line, regexp_replace(lower(trim(regexp_replace(line,
+  '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g'))), '\p{Nd}+', '0', 'g') AS k FROM l),
+t AS (SELECT medio, count(*) AS total FROM notas GROUP BY medio),
+f AS (SELECT n.medio, k FROM n JOIN t ON n.medio IS NOT DISTINCT FROM t.medio WHERE k <> ''
+  GROUP BY n.medio, k, total HAVING count(DISTINCT id) >= 6 AND count(DISTINCT id) * 1000000 >= total * 30000)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _REPEATED + "SELECT DISTINCT id, linea FROM n JOIN f ON n.medio IS NOT DISTINCT FROM f.medio AND n.k = f.k",
+        "p3_clean": _REPEATED
+        + """, m AS (SELECT n.*, f.k IS NOT NULL AS repeated FROM n LEFT JOIN f ON n.medio IS NOT DISTINCT FROM f.medio AND n.k = f.k),
+c AS (SELECT id, coalesce(string_agg(line, chr(10) ORDER BY linea) FILTER (WHERE NOT repeated), '') AS cuerpo, CAST(count(*) FILTER (WHERE repeated) AS INTEGER) AS removed FROM m GROUP BY id)
+SELECT notas.id, c.cuerpo, coalesce(c.removed, 0) AS removed FROM notas LEFT JOIN c ON notas.id = c.id""",
+    }
