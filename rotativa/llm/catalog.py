@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotativa.llm import encoding, leakage, repeated_lines, residue, spans
+from rotativa.llm import encoding, leakage, mojibake, repeated_lines, residue, spans
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
     return repeated_lines.without_repeated(table(spark, directory, "notas", "id", "medio", "cuerpo"))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return mojibake.garbled(table(spark, directory, "notas", "id", "medio", "cuerpo", "titular")).select("id", "campo").distinct()
+
+
+def p5_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return mojibake.repaired(table(spark, directory, "notas", "id", "medio", "cuerpo", "titular"))
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.encode(table(spark, directory, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -45,7 +53,7 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.

@@ -56,6 +56,7 @@ SLOTS = (
 #: Openings of error, denial, robot-check and script notices, and of filler and test text.
 #: A letter with a mark stands for up to four characters, so that wrongly decoded notices match as well.
 NOTICES = (
+    r"http(?:/\d\S*)? [45]\d\d\b.{0,60}$",
     r"(?:http )?(?:error|estado|status|código)(?: http)?:? ?[45]0?\d\d\b.{0,60}$",
     r"[45]\d\d:?(?: -)? ?(?:not found|forbidden|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|unauthorized|access denied|gone|too many requests|error|no encontrad|acceso|p[aá]gina|servicio|request timeout|moved|payment|service temporarily).{0,60}$",
     r"(?:nginx|apache|openresty|varnish|cloudflare|microsoft-iis|lighttpd|caddy)(?:[/ (].{0,40})?$",
@@ -133,10 +134,10 @@ def has_slot(text: Column) -> Column:
     return text.rlike("|".join(f"(?:{s})" for s in SLOTS))
 
 
-def fields(notes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """(key, campo, texto) of the fields that are not null."""
+def fields(notes: DataFrame, key: str, columns: tuple[str, ...], *others: str) -> DataFrame:
+    """(key, campo, texto, *others) of the fields that are not null."""
     pairs = F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("texto")) for c in columns])
-    return notes.select(key, F.explode(pairs).alias("f")).select(key, "f.campo", "f.texto").where("texto is not null")
+    return notes.select(key, *others, F.explode(pairs).alias("f")).select(key, "f.campo", "f.texto", *others).where("texto is not null")
 
 
 def residue(notes: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cuerpo", "titular")) -> DataFrame:
