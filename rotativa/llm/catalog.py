@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotativa.llm import encoding, leakage, mojibake, repeated_lines, residue, spans
+from rotativa.llm import encoding, leakage, mojibake, repeated_lines, residue, spans, truncation
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,18 @@ def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
     return repeated_lines.without_repeated(table(spark, directory, "notas", "id", "medio", "cuerpo"))
 
 
+def _texts(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, directory, "notas", "id", "medio", "cuerpo"), table(spark, directory, "publicaciones", "seq", "plataforma", "texto")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.truncated(*_texts(spark, directory))
+
+
+def p4_rates(spark: SparkSession, directory: str) -> DataFrame:
+    return truncation.rates(*_texts(spark, directory))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return mojibake.garbled(table(spark, directory, "notas", "id", "medio", "cuerpo", "titular")).select("id", "campo").distinct()
 
@@ -53,7 +65,7 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.

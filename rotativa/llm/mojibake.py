@@ -59,13 +59,15 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
     (("utf-8", "cp1252"), ("utf-8", "cp1252"), ("utf-8", "cp1252")),
 )
 LOST = len(CHAINS)
+#: Nats that a valid multi-byte sequence adds: other signs form one by chance only.
+STRUCTURE = 3.0
 ROUNDS = 4
 #: Weight of the shares over all sources in the shares of one.
 POOL = 50.0
 #: A record needs this gain in all, in nats, to enter the EM.
 LEAST_GAIN = 2.0
 #: Evidence in nats of a lost letter: a replacement sign, and a question mark inside a word.
-SIGN_GAIN, MARK_GAIN = 12.0, 4.0
+SIGN_GAIN, MARK_GAIN = 14.0, 8.0
 #: Signs that stand in sound text next to letters.
 TYPOGRAPHIC = frozenset("\u00a0\u00ad\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u00ab\u00bb\u2022\u20ac\u00a9\u00ae\u2122")
 BOUNDARY, LOWER, UPPER, DIGIT, OTHER = range(5)
@@ -189,7 +191,7 @@ class Model:
             for chain in range(len(CHAINS)):
                 back = unread(word, chain)
                 if back is not None and back != word and "�" not in back and back.isprintable() and sound(word, back, chain) and (gain := self.logp(back) - base) > 1:
-                    found[chain] = min(gain, 30.0)
+                    found[chain] = min(gain + STRUCTURE * (CHAINS[chain][0][0] == "utf-8"), 30.0)
         lost = word.count("�") * SIGN_GAIN + marks(word) * MARK_GAIN
         if lost:
             found[LOST] = min(lost, 30.0)
