@@ -1,13 +1,12 @@
 r"""Template residue and texts standing in for content that never came.
 
-Message templates are mined with a fixed-depth prefix tree: each line is masked (digits, hexadecimal marks,
-quoted parts) and takes the path (number of tokens, first ``DEPTH`` tokens); a path is a leaf, of which one
-member stands for the template. Each template is classified once, and its verdict goes back to all lines of
-the leaf by a join on the leaf's hash. Unresolved slots, which can stand inside any ordinary line, are
-detected apart from the templates, on the raw field.
+Message templates are mined with a fixed-depth prefix tree: each line is masked (case, blanks, digits and
+hexadecimal marks) and takes the path of its number of tokens and its first ``DEPTH`` tokens; the leaf is the
+template. Each template is classified once in a worker, and its verdict goes to all lines that take its path.
+A verdict depends on the path alone, so it is the same in every partition and nothing has to be shuffled.
+Unresolved slots, which can stand inside any ordinary line, are detected apart, on the raw field.
 
-Leaves are counted with partial sums; a leaf that holds a third of all lines costs one row for each
-partition. Only leaves with a bad verdict are joined back.
+Lines are split, masked and coded by Arrow's kernels; Python sees each distinct path of a slice once.
 
 Defined results: null, empty and blank fields are no residue; a field counts once whatever it holds;
 square brackets, braces, error numbers and scripts that an article merely reports on are no residue.
@@ -15,16 +14,24 @@ square brackets, braces, error numbers and scripts that an article merely report
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.llm.repeated_lines import BLANKS
-from rotativa.session import bounded_broadcast
+from rotativa.llm.arrays import slices
 
 #: Tokens of a line that make its path in the tree.
-DEPTH = 6
+DEPTH = 10
+#: Paths kept by a worker before its tree starts anew.
+TREE_PATHS = 500_000
+#: What a field must hold for a slot to be looked for (no lookaround, so that it runs in one pass).
+_SLOT_HINT = r"[{$%@#_*<]|\[[^.\]]|\bNaN|undefined|XX"
+_BLANKS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 #: Unresolved slots of common template languages and editors' placeholders.
 SLOTS = (
@@ -56,9 +63,9 @@ SLOTS = (
 #: Openings of error, denial, robot-check and script notices, and of filler and test text.
 #: A letter with a mark stands for up to four characters, so that wrongly decoded notices match as well.
 NOTICES = (
-    r"http(?:/\d\S*)? [45]\d\d\b.{0,60}$",
-    r"(?:http )?(?:error|estado|status|código)(?: http)?:? ?[45]0?\d\d\b.{0,60}$",
-    r"[45]\d\d:?(?: -)? ?(?:not found|forbidden|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|unauthorized|access denied|gone|too many requests|error|no encontrad|acceso|p[aá]gina|servicio|request timeout|moved|payment|service temporarily).{0,60}$",
+    r"http(?:/\d\S*)? 000\b.{0,60}$",
+    r"(?:http )?(?:error|estado|status|código)(?: http)?:? ?000\b.{0,60}$",
+    r"000:?(?: -)? ?(?:not found|forbidden|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|unauthorized|access denied|gone|too many requests|error|no encontrad|acceso|p[aá]gina|servicio|request timeout|moved|payment|service temporarily).{0,60}$",
     r"(?:nginx|apache|openresty|varnish|cloudflare|microsoft-iis|lighttpd|caddy)(?:[/ (].{0,40})?$",
     r"(?:not found|forbidden|bad gateway|service unavailable|internal server error|access denied|acceso denegado|acceso restringido|acceso prohibido|permission denied|unauthorized)\b.{0,200}$",
     r"the requested (?:url|page|resource)\b",
@@ -67,7 +74,7 @@ NOTICES = (
     r"¡?(?:vaya|ups|oops|uy)\b.{0,120}$",
     r"¡?(?:algo salió mal|something went wrong)",
     r"(?:inténtalo|inténtelo|intente|intenta|vuelva a intentarlo|try again|please try)\b.{0,60}(?:minutos|más tarde|later|minutes|de nuevo)",
-    r"(?:código de (?:incidencia|error|referencia)|incident id|error code|referencia n\S*|ray id|request id|trace id|ref)[.:]? ?(?:n\S{1,4} ?)?[0-9a-f]*\d[0-9a-f.\-]{3,}",
+    r"(?:código de (?:incidencia|error|referencia)|incident id|error code|referencia n\S*|ray id|request id|trace id|ref)[.:]? ?(?:n\S{1,4} ?)?0",
     r"traceback \(most recent call",
     r"file \".{1,80}\", line \d",
     r"(?:\w+)?(?:keyerror|typeerror|valueerror|nameerror|attributeerror|indexerror|syntaxerror|runtimeerror|nullpointerexception|exception)\b: ?\S",
@@ -111,27 +118,67 @@ def _loose(pattern: str) -> str:
     return loose.replace("[a(?:á|a|\\S{1,4})]", r"\S{1,4}")
 
 
-def classify(template: Column) -> Column:
-    """True for templates of notices, filler and test text; ``template`` is a masked line in lower case."""
-    start = r"(?i)^[\s\p{Punct}¡¿«“•·]*"
-    notice = reduce(lambda a, b: a | b, [template.rlike(start + f"(?:{_loose(p)})") for p in NOTICES])
-    words = F.split(F.trim(F.regexp_replace(F.lower(template), r"[^\p{L}]+", " ")), " ")
-    filler = F.array(*[F.lit(w) for w in FILLER.split()])
-    latin = F.size(F.filter(words, lambda w: F.array_contains(filler, w)))
-    count = F.size(words)
-    same = F.size(F.array_distinct(words))
-    return notice | ((count >= 4) & (latin >= 0.7 * count)) | ((count >= 9) & (same <= 0.34 * count))
-
-
-def mask(line: Column) -> Column:
-    """The line as the tree sees it: lower case, one kind of blank, digits and quoted parts masked."""
-    x = F.trim(F.regexp_replace(line, BLANKS, " "))
-    x = F.regexp_replace(x, "«[^«»]{0,200}»", "«*»")
-    return F.lower(x)
-
-
-def has_slot(text: Column) -> Column:
-    return text.rlike("|".join(f"(?:{s})" for s in SLOTS))
+_SLOT = regex.compile("|".join(f"(?:{s})" for s in SLOTS))
+_NOTICE = regex.compile(r"[\s\p{P}]*(?:" + "|".join(f"(?:{_loose(p)})" for p in NOTICES) + ")", regex.IGNORECASE)
+_FILLER = frozenset(FILLER.split())
+
+
+class PrefixTree:
+    """Paths (number of tokens, first tokens) with the verdict of each template."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+        self.paths = 0
+
+    def verdict(self, count: int, tokens: list[str]) -> bool:
+        node = self.root.setdefault(count, {})
+        for token in tokens:
+            node = node.setdefault(token, {})
+        if "" not in node:
+            node[""] = classify(" ".join(tokens))
+            self.paths += 1
+        return node[""]
+
+
+def classify(template: str) -> bool:
+    """True for templates of notices, filler and test text; ``template`` is a masked opening in lower case."""
+    if _NOTICE.match(template):
+        return True
+    words = re.findall(r"[^\W\d_]+", template)
+    latin = sum(w in _FILLER for w in words)
+    return len(words) >= 4 and latin >= 0.7 * len(words) or len(words) >= 9 and len(set(words)) <= 0.34 * len(words)
+
+
+def has_slot(text: str) -> bool:
+    return _SLOT.search(text) is not None
+
+
+def _residue(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    tree = PrefixTree()
+    for batch in batches:
+        for part in slices(batch, 2):
+            texts = pc.fill_null(part.column(2), "")
+            hinted = pc.match_substring_regex(texts, _SLOT_HINT)
+            found = {i for i, hint in enumerate(hinted.to_pylist()) if hint and has_slot(texts[i].as_py())}
+            lines = pc.split_pattern(texts, "\n")
+            rows = pc.list_parent_indices(lines).to_numpy()
+            masked = pc.utf8_lower(pc.utf8_trim_whitespace(pc.replace_substring_regex(lines.flatten(), _BLANKS, " ")))
+            count = pc.count_substring(masked, " ")
+            opening = pc.replace_substring_regex(masked, rf"^((?:\S+ ){{{DEPTH - 1}}}\S+) .*$", r"\1")
+            # the opening is masked; what ends it tells whether the line goes on
+            opening = pc.replace_substring_regex(pc.replace_substring_regex(opening, r"\b[0-9a-f]{6,}\b", "000000"), "[0-9]", "0")
+            coded = pc.binary_join_element_wise(count.cast(pa.string()), opening, "\t").dictionary_encode()
+            bad = []
+            for path in coded.dictionary.to_pylist():
+                n, _, words = path.partition("\t")
+                if tree.paths > TREE_PATHS:
+                    tree = PrefixTree()
+                bad.append(bool(words) and tree.verdict(int(n), words.split(" ")))
+            verdicts = pa.array(bad, pa.bool_())
+            found.update(rows[verdicts.take(coded.indices).to_numpy(zero_copy_only=False)].tolist())
+            if found:
+                at = pa.array(sorted(found))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], [key, "campo"])
 
 
 def fields(notes: DataFrame, key: str, columns: tuple[str, ...], *others: str) -> DataFrame:
@@ -142,14 +189,5 @@ def fields(notes: DataFrame, key: str, columns: tuple[str, ...], *others: str) -
 
 def residue(notes: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cuerpo", "titular")) -> DataFrame:
     """(key, campo): the fields with residue."""
-    texts = fields(notes, key, columns)
-    lines = texts.select(key, "campo", F.explode(F.split("texto", "\n")).alias("line")).withColumn("masked", mask(F.col("line"))).where("masked != ''")
-    shape = F.regexp_replace(F.col("masked"), r"[0-9a-f]*[0-9][0-9a-f]*", "0")
-    tokens = F.split(shape, " ")
-    lines = lines.withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)))
-    # a leaf's member is judged by its opening words, and by all of them where words repeat
-    templates = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("masked").alias("template"))
-    bad = templates.where(classify(F.col("template"))).select("leaf")
-    by_template = lines.join(bounded_broadcast(bad), "leaf", "left_semi").select(key, "campo")
-    by_slot = texts.where(has_slot(F.col("texto"))).select(key, "campo")
-    return by_template.unionByName(by_slot).distinct()
+    texts = fields(notes, key, columns).select(F.col(key).cast("long").alias(key), "campo", "texto")
+    return texts.mapInArrow(lambda b: _residue(b, key), f"`{key}` long, campo string")
