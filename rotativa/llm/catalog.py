@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rotativa.llm import encoding, leakage, mojibake, repeated_lines, residue, spans, truncation
+from rotativa.llm import boilerplate, encoding, leakage, mojibake, repeated_lines, residue, spans, truncation
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZERS = os.environ.get("ROTATIVA_TOKENIZERS", "/opt/tokenizers")
 
 
+def _pages(spark: SparkSession, directory: str) -> tuple[DataFrame, list[str]]:
+    pages = boilerplate.page_rows(table(spark, directory, "notas", "id", "url", "cuerpo"), table(spark, directory, "capturas", "captura_id", "url_final", "texto"))
+    outlets = table(spark, directory, "medios", "medio", "dominio").distinct().collect()
+    return pages, [x for row in outlets for x in row if x]
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    pages, brands = _pages(spark, directory)
+    bad = residue.residue(table(spark, directory, "notas", "id", "cuerpo"), columns=("cuerpo",)).select(F.lit("notas").alias("tabla"), "id")
+    return boilerplate.furniture(pages.join(bad, ["tabla", "id"], "left_anti"), brands)
+
+
+def p1_content(spark: SparkSession, directory: str) -> DataFrame:
+    return boilerplate.main_content(*_pages(spark, directory))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue.residue(table(spark, directory, "notas", "id", "cuerpo", "titular"))
 
@@ -65,7 +82,7 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.
