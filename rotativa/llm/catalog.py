@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import boilerplate, encoding, leakage, mojibake, repeated_lines, residue, spans, truncation
+from rotativa.llm import boilerplate, encoding, leakage, mojibake, names, repeated_lines, residue, spans, truncation
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def p5_repaired(spark: SparkSession, directory: str) -> DataFrame:
     return mojibake.repaired(table(spark, directory, "notas", "id", "medio", "cuerpo", "titular"))
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return names.variants(table(spark, directory, "entidades_interes", "ent_id", "nombre", "formas"), table(spark, directory, "revision_entidades", "rev_id", "nombre"))
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.encode(table(spark, directory, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -82,7 +86,7 @@ def p10_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
+    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.
