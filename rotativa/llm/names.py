@@ -80,7 +80,7 @@ def words(name: str) -> list[str]:
         bare = token.rstrip(".")
         if any(c.isalpha() for c in bare):
             bare = bare.translate(str.maketrans("01345", "oleas"))
-        if bare not in PARTICLES or len(bare) == 1 and token.endswith("."):
+        if bare not in PARTICLES or token.endswith("."):
             tokens.append(bare + ("." if token.endswith(".") else ""))
     while len(tokens) > 2 and is_title(tokens[0]):
         tokens = tokens[1:]
@@ -148,7 +148,7 @@ def similarity(name: str, entity: str, given: frozenset[str]) -> float:
     if len(typed) == 1 or len(true) == 1:
         one, many, raw = (typed, true, name) if len(typed) == 1 else (true, typed, entity)
         short = one[0].rstrip(".")
-        return 0.97 if len(many) >= 3 and 3 <= len(short) <= 7 and raw.strip().isupper() and is_body(many) and short == acronym(many) else 0.0
+        return 0.97 if len(many) >= 3 and 3 <= len(short) <= 7 and (raw.strip().isupper() or len(short) >= 4) and is_body(many) and short == acronym(many) else 0.0
     pairs = sorted(((token_similarity(a, b, given), -i, -j) for i, a in enumerate(typed) for j, b in enumerate(true)), reverse=True)
     taken_a: dict[int, tuple[int, float]] = {}
     taken_b: set[int] = set()
