@@ -42,6 +42,8 @@ COPY = 0.7
 INNER_RATIO = 0.1
 #: Tokens of an opening, and of a line that is taken by its opening.
 OPENING, LONG = 4, 8
+#: Longer lines are compared whole as they are, shorter ones after masking.
+PARAGRAPH = 300
 SHORT_KIND, OPENING_KIND, HOST_KIND = 0, 1, 2
 
 _LIST = re.compile(r"\s+[·|>/•–—\-]\s+|\s{2,}")
@@ -55,13 +57,14 @@ _DIGITS = re.compile(r"\d[\d.,:]*")
 
 def _plain(text: str) -> str:
     """Lower case, without the letters beyond ASCII and the signs that stand for lost ones."""
-    return re.sub(r"[^\x20-\x7e]|\?", "", text).lower()
+    return text.encode("ascii", "ignore").decode().replace("?", "").lower()
 
 
 def masked_tokens(text: str, limit: int | None = None) -> list[str]:
     """Tokens with names and numbers masked; runs of names are one."""
-    tokens = text.split()
-    upper = len(text) > 5 and text == text.upper()
+    # runs of names count as one, so an opening may take more tokens than it keeps
+    tokens = text.split(None, 5 * limit)[: 5 * limit] if limit else text.split()
+    upper = len(text) > 5 and text.isupper()
     out: list[str] = []
     for i, token in enumerate(tokens):
         core = token.lstrip("«“\"'(¿¡[")
@@ -101,15 +104,14 @@ def line_signatures(line: str, brand: re.Pattern | None) -> tuple[str, int, bool
     text = brand.sub("Zz", squeezed) if brand else squeezed
     if _ITEM.match(text):
         return "#item", SHORT_KIND, False
-    parts = [p for p in _LIST.split(raw.strip(" ·|>/•–-")) if p]
-    if len(parts) >= 3 and all(len(p.split()) <= 6 and len(p) <= 40 for p in parts):
-        return "#list", SHORT_KIND, False
     tokens = text.split()
     ended = bool(_TERMINAL.search(text))
+    parts = [] if ended else [p for p in _LIST.split(raw.strip(" ·|>/•–-")) if p]
+    if len(parts) >= 3 and all(len(p.split()) <= 6 and len(p) <= 40 for p in parts):
+        return "#list", SHORT_KIND, False
     if (label := _LABEL.match(text)) and len((label[1] or label[2]).split()) <= 6:
         return "#label " + _plain(label[1] or label[2]), SHORT_KIND, not ended and len(tokens) >= 5
-    caps = sum(t[0].isupper() or not t[0].isalnum() for t in tokens)
-    if len(tokens) >= 3 and not ended and text != text.upper() and caps >= 0.75 * len(tokens):
+    if len(tokens) >= 3 and not ended and not text.isupper() and sum(t[0].isupper() or not t[0].isalnum() for t in tokens) >= 0.75 * len(tokens):
         return "#names", SHORT_KIND, False
     if len(tokens) < LONG:
         short = masked_tokens(text)
@@ -130,7 +132,7 @@ def page_lines(text: str, host: str, brand: re.Pattern | None) -> tuple[list[int
             continue
         name, kind, headline = found
         signature = _hash(kind, name)
-        whole = _hash(HOST_KIND, host + "|" + _DIGITS.sub("0", _plain(" ".join(line.split()))))
+        whole = _hash(HOST_KIND, host + "|" + (line.strip() if len(line) > PARAGRAPH else _DIGITS.sub("0", _plain(" ".join(line.split())))))
         aligned.append(signature)
         rows += [(number, kind, signature), (number, HOST_KIND, whole)]
         if headline and opener is not None:
@@ -138,7 +140,7 @@ def page_lines(text: str, host: str, brand: re.Pattern | None) -> tuple[list[int
         elif name != "#item":
             opener = signature if kind == SHORT_KIND and not name.startswith("#") and len(name.split()) <= 4 else None
         if kind == OPENING_KIND:
-            inner += [_hash(OPENING_KIND, opening(s)) for s in _SENTENCE.split(" ".join(line.split()))[1:]]
+            inner += [_hash(OPENING_KIND, opening(line[m.end() :])) for m in _SENTENCE.finditer(line)]
     return aligned, rows, inner
 
 
