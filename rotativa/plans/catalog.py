@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rotativa.operators import timestamps
+from rotativa.plans import reference_queries
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +20,8 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+    return {"p6_found": p6_found} | reference_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference_queries.SQL)
