@@ -70,6 +70,8 @@ def masked_tokens(text: str, limit: int | None = None) -> list[str]:
         core = token.lstrip("«“\"'(¿¡[")
         if core[:1].isdigit() or core[:1] == "$":
             word = "0"
+        elif core in ("Zz", "ZZ"):
+            word = "A"
         elif not upper and core[:1].isupper() and (i or (len(tokens) > 1 and tokens[1][:1].isupper())):
             word = "A"
         elif not upper and core[:1].isupper() and token.endswith(",") and len(tokens) < LONG:
@@ -101,7 +103,7 @@ def line_signatures(line: str, brand: re.Pattern | None) -> tuple[str, int, bool
     # a sign that a wrong decoding has changed still parts
     raw = _SIGN.sub(lambda m: m[0] if m[0].isalpha() or m[0] in "·•→–—«»" else "·", raw)
     squeezed = " ".join(raw.split())
-    text = brand.sub("Zz", squeezed) if brand else squeezed
+    text = brand.sub("ZZ" if squeezed.isupper() else "Zz", squeezed) if brand else squeezed
     if _ITEM.match(text):
         return "#item", SHORT_KIND, False
     tokens = text.split()
@@ -170,8 +172,14 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return left[::-1], right[::-1]
 
 
+def brand_pattern(brands: list[str]) -> re.Pattern | None:
+    """Outlets' names as written, in capitals or small letters; with case told apart, the search can skip by first letter."""
+    spelt = {y for x in brands for y in (x, x.upper(), x.lower())}
+    return re.compile("|".join(sorted(map(re.escape, spelt), key=lambda x: (-len(x), x)))) if spelt else None
+
+
 def _pages(batches: Iterator[pa.RecordBatch], brands: list[str]) -> Iterator[pa.RecordBatch]:
-    brand = re.compile("|".join(sorted(map(re.escape, brands), key=len, reverse=True)), re.IGNORECASE) if brands else None
+    brand = brand_pattern(brands)
     line = pa.list_(pa.struct([("n", pa.int32()), ("k", pa.int32()), ("s", pa.int64())]))
     for batch in batches:
         for part in slices(batch, 4):
