@@ -1,7 +1,7 @@
 """Texts cut off by field limits or mid-transfer, by hashed logistic regression on artificial cuts.
 
 Two statistics are counted over all texts: for each word (hashed to a fixed number of buckets) how often it
-stands and how often a sentence ends with it, and for each group of sources the lengths at which texts pile up
+stands before the end of a text and how often a sentence ends with it there, and for each group of sources the lengths at which texts pile up
 (field limits). Then intact values of a bounded sample are cut on purpose, at a limit or anywhere, with or
 without a mark; a logistic regression on hashed features of the closing (last characters and words, how
 sentences end with that word, punctuation and marks, distance to a limit, opening of the last line) is
@@ -59,8 +59,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple[int, bool]] = {}
     for batch in batches:
         for part in slices(batch, 0):
-            tokens = pc.ascii_split_whitespace(pc.fill_null(part.column(0), "")).flatten()
-            counts = tokens.value_counts()
+            lists = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(part.column(0), "")))
+            rows = pc.list_parent_indices(lists).to_numpy()
+            # a text's last word is left out, as it may be a part of a word
+            inner = np.append(rows[1:] == rows[:-1], False) if len(rows) else np.empty(0, bool)
+            counts = lists.flatten().filter(pa.array(inner)).value_counts()
             for word, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
                 if (found := known.get(word)) is None:
                     if len(known) > 500_000:
@@ -73,7 +76,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(uses, sentence ends) of each word bucket over all texts."""
+    """(uses, sentence ends) of each word bucket over all texts, their last words left out."""
     rows = texts.select("texto").mapInArrow(_count_words, "bucket int, uses long, ends long").groupBy("bucket").agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends")).toPandas()
     uses, ends = np.zeros(WORD_BUCKETS, np.int64), np.zeros(WORD_BUCKETS, np.int64)
     uses[rows["bucket"]], ends[rows["bucket"]] = rows["uses"], rows["ends"]
@@ -131,10 +134,9 @@ def features(text: str, grupo: str, bounds: set[int], uses: np.ndarray, ends: np
     kind = _kind(last)
     at_limit = len(text) in bounds or len(MARK.sub("", text)) in bounds
     n, e = int(uses[bucket(last)]), int(ends[bucket(last)])
-    # the word itself is one of its uses
-    known = "0" if n <= 1 else "1" if n <= 3 else "2" if n <= 20 else "3"
+    known = "0" if n == 0 else "1" if n <= 2 else "2" if n <= 20 else "3"
     rate = e / n if n else 0.0
-    ending = "none" if n <= 1 else str(min(5, int(rate * 20))) if rate < 0.3 else "high" if rate < 0.8 else "sure"
+    ending = "none" if n == 0 else str(min(5, int(rate * 20))) if rate < 0.3 else "high" if rate < 0.8 else "sure"
     stop = next((i for i, t in enumerate(reversed(tokens[:-1])) if ends_sentence(t)), len(tokens))
     since = "0" if stop == 0 else "1-3" if stop < 4 else "4-8" if stop < 9 else "9+"
     whole_line = "one" if stop >= len(tokens) else "several"
@@ -168,6 +170,7 @@ def features(text: str, grupo: str, bounds: set[int], uses: np.ndarray, ends: np
         f"u={upper}|{kind}",
         f"g={grupo}|k={kind}",
         f"up={last[:1].isupper()}|n={known}|e={ending}|{kind}",
+        f"up={last[:1].isupper()}|n={known}|{kind}|{place}",
     ]
     return f
 
@@ -241,6 +244,9 @@ def _score(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.Reco
     for batch in batches:
         scores = []
         for grupo, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if _CODE.match(text.split()[-1]):
+                scores.append(-30.0)  # a reference number ends a notice
+                continue
             at = hashed(features(text, grupo, bounds.get(grupo, none), uses, ends))
             scores.append(float(weights[at].sum() + weights[-1]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(1 / (1 + np.exp(-np.clip(scores, -30, 30))), pa.float64())], ["tabla", "id", "fuente", "score"])
