@@ -92,3 +92,14 @@ def ego(edges: DataFrame, node: str) -> DataFrame:
     """Edges among a node and its neighbours."""
     near = both_ways(edges).where(F.col("src") == node).select(F.col("dst").alias("n")).unionByName(edges.sparkSession.createDataFrame([(node,)], "n string")).distinct()
     return edges.join(near.withColumnRenamed("n", "src"), "src", "left_semi").join(near.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+
+
+def by_period(index: DataFrame, periods: DataFrame, key: str, item: str, period: str, least: int = 1) -> DataFrame:
+    """(period, nodes, edges, density): the co-occurrence graph of each period, in one pass with the period as a key."""
+    rows = index.select(key, F.col(item).alias("item")).distinct().join(periods.select(key, F.col(period).alias("period")), key)
+    pairs = rows.withColumnRenamed("item", "src").join(rows.withColumnRenamed("item", "dst"), ["period", key]).where("src < dst")
+    edges = pairs.groupBy("period", "src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    nodes = edges.select("period", F.explode(F.array("src", "dst")).alias("n")).distinct().groupBy("period").agg(F.count("*").alias("nodes"))
+    counted = edges.groupBy("period").agg(F.count("*").alias("edges")).join(nodes, "period")
+    n, e = F.col("nodes").cast("double"), F.col("edges").cast("double")
+    return counted.select("period", "nodes", "edges", F.round(F.when(n > 1, 2.0 * e / (n * (n - 1.0))).otherwise(0.0), 4).alias("density"))

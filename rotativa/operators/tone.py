@@ -186,3 +186,23 @@ def tone_slope(series: DataFrame, group: str, period: str, value: str, rise: flo
     indexed = series.withColumn("_i", (F.row_number().over(Window.partitionBy(group).orderBy(period)) - 1).cast("double"))
     rows = indexed.groupBy(group).agg(F.count("*").alias("periods"), F.round(F.regr_slope(F.col(value).cast("double"), F.col("_i")), 4).alias("slope"))
     return rows.withColumn("trend", F.when(F.col("slope") > rise, "sube").when(F.col("slope") < -rise, "baja").otherwise("estable"))
+
+
+def distribution(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """(group, label, n, pct): share of each label within its group, in per cent."""
+    counted = rows.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"))
+    totals = counted.groupBy(group).agg(F.sum("n").alias("_t")).withColumnRenamed(group, "_g")
+    joined = counted.join(totals, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.select(group, label, "n", F.round(F.col("n").cast("double") * 100.0 / F.col("_t"), 1).alias("pct"))
+
+
+def compared(rows: DataFrame, group: str, label: str, a: str, b: str) -> DataFrame:
+    """(label, pct_a, pct_b, delta): the label shares of two groups side by side; a label missing in one has 0."""
+    shares = distribution(rows.where(F.col(group).isin(a, b)), group, label)
+    pct = lambda x: F.coalesce(F.max(F.when(F.col(group) == x, F.col("pct"))), F.lit(0.0))
+    return shares.groupBy(label).agg(pct(a).alias("pct_a"), pct(b).alias("pct_b")).withColumn("delta", F.round(F.col("pct_b") - F.col("pct_a"), 1))
+
+
+def stored_annotations(notes: DataFrame, key: str, column: str, schema: str) -> DataFrame:
+    """(key, fields of the stored JSON); rows without it or with a malformed one are left out."""
+    return notes.where(F.col(column).isNotNull()).select(key, F.from_json(column, schema).alias("_j")).where("_j is not null").select(key, "_j.*")

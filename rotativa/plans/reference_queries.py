@@ -590,3 +590,98 @@ def embedding_clusters(spark, d):
 @query()
 def corpus_topics(spark, d):
     return similarity.topics(docs(spark, d, "text"), S.STOPWORDS)
+
+
+# ---------------------------------------------------------------- roll-ups of annotations
+
+_LABELLED = f"(SELECT doc_id, source, lang, strftime(fecha, '%Y-%m') AS month, {_LABEL} AS label FROM ({_POLARITY}) JOIN documents USING (doc_id))"
+
+
+def _labelled(spark, d):
+    rows = docs(spark, d, "text", "source", "lang", "fecha")
+    return rows.select("doc_id", "source", "lang", F.date_format("fecha", "yyyy-MM").alias("month"), tone.polarity(T.tokens(F.col("text")), S.LEXICON)["label"].alias("label"))
+
+
+def _distribution_sql(group: str) -> str:
+    return f"SELECT {group}, label, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY {group}), 1) AS pct FROM (SELECT {group}, label, count(*) AS n FROM {_LABELLED} GROUP BY 1, 2)"
+
+
+@query(_distribution_sql("source"))
+def tone_by_outlet(spark, d):
+    return tone.distribution(_labelled(spark, d), "source", "label")
+
+
+@query(_distribution_sql("month"))
+def tone_by_month(spark, d):
+    return tone.distribution(_labelled(spark, d), "month", "label")
+
+
+@query(f"""WITH s AS ({_distribution_sql('lang')}), c AS (SELECT label, coalesce(max(CASE WHEN lang = 'es' THEN pct END), 0.0) AS pct_a, coalesce(max(CASE WHEN lang = 'en' THEN pct END), 0.0) AS pct_b FROM s WHERE lang IN ('es', 'en') GROUP BY label)
+SELECT *, round(pct_b - pct_a, 1) AS delta FROM c""")
+def tone_compared(spark, d):
+    return tone.compared(_labelled(spark, d), "lang", "label", "es", "en")
+
+
+@query("""SELECT json_extract_string(sentimiento, '$.polaridad') AS polaridad, count(*) AS n, round(avg(CAST(json_extract_string(sentimiento, '$.score') AS DOUBLE)), 3) AS score FROM notas WHERE sentimiento IS NOT NULL GROUP BY 1""")
+def stored_polarity(spark, d):
+    rows = tone.stored_annotations(table(spark, d, "notas", "id", "sentimiento"), "id", "sentimiento", "polaridad string, score double")
+    return rows.groupBy("polaridad").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("score"))
+
+
+_STORED = """SELECT DISTINCT id, categoria, json_extract_string(ner, '$.' || categoria || '[' || g.i || ']') AS entidad FROM notas, (VALUES ('personas'), ('lugares'), ('organizaciones')) v(categoria), generate_series(0, CAST(json_array_length(ner, '$.' || categoria) AS BIGINT) - 1) g(i) WHERE ner IS NOT NULL AND json_array_length(ner, '$.' || categoria) > 0"""
+
+
+@query(_STORED)
+def stored_entities(spark, d):
+    rows = tone.stored_annotations(table(spark, d, "notas", "id", "ner"), "id", "ner", "personas array<string>, lugares array<string>, organizaciones array<string>")
+    lists = F.array(*[F.struct(F.lit(c).alias("categoria"), F.col(c).alias("l")) for c in ("personas", "lugares", "organizaciones")])
+    return rows.select("id", F.explode(lists).alias("x")).select("id", "x.categoria", F.explode("x.l").alias("entidad")).distinct()
+
+
+@query(f"SELECT categoria, entidad, count(*) AS n, string_agg(CAST(id AS VARCHAR), '; ' ORDER BY id) AS notas FROM ({_STORED}) GROUP BY 1, 2")
+def entity_export(spark, d):
+    ids = F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string"))
+    return stored_entities(spark, d).groupBy("categoria", "entidad").agg(F.count("*").alias("n"), F.array_join(ids, "; ").alias("notas"))
+
+
+@query(f"SELECT coalesce(nullif(medio, ''), '?') AS medio, entidad, count(*) AS n FROM ({_STORED}) s JOIN notas USING (id) WHERE categoria = 'personas' GROUP BY 1, 2")
+def outlet_people(spark, d):
+    people = stored_entities(spark, d).where("categoria = 'personas'")
+    return people.join(table(spark, d, "notas", "id", "medio"), "id").groupBy(F.coalesce(F.nullif("medio", F.lit("")), F.lit("?")).alias("medio"), "entidad").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(nullif(medio, ''), '?') AS medio, coalesce(json_extract_string(confianza, '$.nivel'), 'sin dato') AS nivel, count(*) AS n FROM notas GROUP BY 1, 2""")
+def stored_confidence(spark, d):
+    level = F.get_json_object("confianza", "$.nivel")
+    return table(spark, d, "notas", "medio", "confianza").groupBy(F.coalesce(F.nullif("medio", F.lit("")), F.lit("?")).alias("medio"), F.coalesce(level, F.lit("sin dato")).alias("nivel")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH i AS ({_INDEX}), r AS (SELECT strftime(fecha, '%Y-%m') AS period, doc_id, entity FROM i JOIN documents USING (doc_id) WHERE fecha IS NOT NULL), e AS (SELECT a.period, a.entity AS src, b.entity AS dst FROM r a JOIN r b ON a.period = b.period AND a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+n AS (SELECT period, count(DISTINCT x) AS nodes FROM (SELECT period, src AS x FROM e UNION ALL SELECT period, dst FROM e) GROUP BY period), c AS (SELECT period, count(*) AS edges FROM e GROUP BY period)
+SELECT period, nodes, edges, round(CASE WHEN nodes > 1 THEN 2.0::DOUBLE * edges / (CAST(nodes AS DOUBLE) * (nodes - 1)) ELSE 0.0 END, 4) AS density FROM c JOIN n USING (period)""")
+def graph_by_month(spark, d):
+    months = docs(spark, d, "fecha").where("fecha is not null").select("doc_id", F.date_format("fecha", "yyyy-MM").alias("month"))
+    return graph.by_period(entity_index(spark, d), months, "doc_id", "entity", "month", 2)
+
+
+@query(f"WITH e AS ({_EDGES}), m AS (SELECT node FROM (SELECT src AS node, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY node ORDER BY sum(weight) DESC, node LIMIT 1), n AS (SELECT node FROM m UNION SELECT dst FROM e JOIN m ON src = node UNION SELECT src FROM e JOIN m ON dst = node) SELECT src, dst, weight FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+def graph_ego(spark, d):
+    edges = _edges(spark, d)
+    top = graph.degrees(edges).orderBy(F.desc("strength"), "node").first()
+    return graph.ego(edges, top["node"] if top else "")
+
+
+@query("SELECT lang, count(*) AS documents, min(fecha)::DATE AS first_day, max(fecha)::DATE AS last_day, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def corpus_info(spark, d):
+    return docs(spark, d, "lang", "fecha", "n_chars").groupBy("lang").agg(F.count("*").alias("documents"), F.to_date(F.min("fecha")).alias("first_day"), F.to_date(F.max("fecha")).alias("last_day"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_event_days(spark, d):
+    from rotativa.streaming import incremental
+
+    out = incremental.state_folder(spark, "event-days")
+    events = incremental.event_stream(spark, f"{d}/events.parquet").select("ts", "event_type")
+    # the last windows stay open under a watermark, so the stream counts by batch and the counts are summed
+    incremental.count_batches(events, out, "ts", "1 day", "event_type")
+    return spark.read.parquet(out).groupBy("start", "event_type").agg(F.sum("n").alias("n"))

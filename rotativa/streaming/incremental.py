@@ -21,8 +21,9 @@ def state_folder(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over the Parquet files that match ``path``."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A stream over the Parquet files at ``path``, a folder or one file (which the source takes as a pattern only)."""
+    pattern = f"{path[:-1]}[{path[-1]}]" if path.endswith(".parquet") else path
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
 
 
 def window_counts(events: DataFrame, time: str, size: str, late: str, *keys: str, slide: str | None = None) -> DataFrame:
@@ -67,3 +68,14 @@ def ingest(stream: DataFrame, path: str, key: str = "url", text: str = "cuerpo",
 
     query = stream.writeStream.foreachBatch(append).option("checkpointLocation", state_folder(stream.sparkSession, "ingest")).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def count_batches(stream: DataFrame, path: str, time: str, size: str, *keys: str) -> None:
+    """Append the window counts of each micro-batch to ``path``; windows that lie in several batches are summed by the reader."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        counted = batch.groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+        counted.write.mode("append").parquet(path)
+
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", state_folder(stream.sparkSession, "count")).trigger(availableNow=True).start()
+    query.awaitTermination()
