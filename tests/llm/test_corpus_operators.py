@@ -128,3 +128,19 @@ def test_name_variants(spark):
     people = {(a, b) for a in (1, 3) for b in (101, 102, 103, 104, 105, 114)} | {(1, 3)}
     assert {tuple(x) for x in names.variants(e, r).collect()} == people | {(2, 107), (2, 108), (4, 110)}
     assert names.variants(e.where("false"), r).count() == 0
+
+
+def test_gap_edits_and_passages():
+    assert spans.gap_edits("casa", "cosa") == 1 and spans.gap_edits("", "ab") == 2 and spans.gap_edits("kitten", "sitting") == 3
+    a, b = "x" * 5 + "A" * 20 + "bridge" + "C" * 20, "A" * 20 + "bride" + "C" * 20
+    assert spans.passage(a, b, [(5, 0), (31, 25)], 20) == (5, 51, 0, 45, round(1 - 1 / 46, 4))
+
+
+def test_fuzzy_passages(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    one, two = noise(250), noise(250)
+    df = spark.createDataFrame([(2, noise(50) + one + "ab" + two), (1, one + "xyz" + two + noise(40)), (3, one + "xyz" + two + noise(40)), (4, None)], "doc_id long, text string")
+    rows = {(r["doc_id_a"], r["doc_id_b"]): r for r in spans.passages(df).collect()}
+    fuzzy = rows[1, 2]
+    assert not fuzzy["exact"] and 0.98 < fuzzy["identity"] < 1 and fuzzy["end_a"] - fuzzy["start_a"] > 300 and rows[1, 3]["exact"]
