@@ -189,7 +189,7 @@ def normalise(df: DataFrame, value: str, zone: Column, month_first: Column, inte
         .withColumn("_year", F.least(F.greatest(F.year("_d"), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)))
     )
     lookup = intervals.select(F.col("zone").alias("_at"), F.col("year").alias("_year"), F.col("intervals").alias("_iv"))
-    x = x.join(bounded_broadcast(lookup, 599 * (LAST_YEAR - FIRST_YEAR + 1)), ["_at", "_year"], "left")
+    x = x.join(F.broadcast(lookup), ["_at", "_year"], "left")  # at most 599 zones x 201 years
     inside = F.filter("_iv", lambda i: (i["local_start"] <= F.col("_wall")) & (F.col("_wall") < i["local_end"]))
     before = F.filter("_iv", lambda i: i["local_end"] <= F.col("_wall"))
     looked = F.when(F.size("_in") > 0, F.array_max(F.transform("_in", lambda i: i["offset"]))).otherwise(F.array_max(F.transform(before, lambda i: F.struct(i["local_end"], i["offset"])))["offset"])
