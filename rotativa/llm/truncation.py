@@ -268,8 +268,8 @@ def scores(notes: DataFrame, posts: DataFrame, training_rows: int = TRAINING_ROW
     rows = []
     for tabla, source in (("notas", notes), ("publicaciones", posts)):
         part = texts.where(F.col("tabla") == tabla)
-        # thinned to a few times the sample first, so that few rows are ordered; the count comes from the files' footers
-        share = min(1.0, 4 * half / max(1, source.count()))
+        # thinned to half as much again as the sample first, so that few rows are ordered and sent; the count comes from the files' footers
+        share = min(1.0, 1.5 * half / max(1, source.count()))
         chosen = part.select("grupo", "texto", F.xxhash64("id", "texto").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
         chosen = chosen.orderBy("h", "texto").limit(half)
         rows += [(r["grupo"], r["texto"]) for r in chosen.select("grupo", "texto").collect()]
