@@ -202,11 +202,11 @@ class Model:
 
 
 def sound(word: str, back: str, chain: int) -> bool:
-    """Whether a reading may count. Chains that swap single characters must mend a letter that replaces no typographic sign."""
+    """Whether a reading may count. Chains that swap single characters must give a letter of the common Latin blocks where no typographic sign stands."""
     if CHAINS[chain][0][0] == "utf-8":
         return True
     wide = f" {word} "
-    return any(b.isalpha() and a not in TYPOGRAPHIC and (a.isalpha() or wide[i].isalpha() or wide[i + 2].isalpha()) for i, (a, b) in enumerate(zip(word, back, strict=True)) if a != b)
+    return any(b.isalpha() and b < "\u0180" and a not in TYPOGRAPHIC and (a.isalpha() or wide[i].isalpha() or wide[i + 2].isalpha()) for i, (a, b) in enumerate(zip(word, back, strict=True)) if a != b)
 
 
 def marks(word: str) -> int:
