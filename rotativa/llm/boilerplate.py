@@ -4,9 +4,11 @@ Pages are put in order of their URL path within each host and table, and each pa
 ``NEIGHBOURS`` pages: the longest common subsequence of their lines. Lines of one template count as equal:
 a line's signature masks names and numbers, drops letters that a wrong decoding may have changed, and takes
 lists, labelled lines and numbered items by their form and long lines by their opening. Lines found in common
-are furniture for that pair. As one pair may share too little, the evidence is pooled: for each signature, the
-share of alignments in which it was found in common decides, and lines are deleted by that verdict. A long
-line's opening that also starts sentences inside paragraphs belongs to running text and is never deleted.
+are furniture for that pair; long lines only if they are alike as a whole, by MinHash over all their words. As
+one pair may share too little, the evidence is pooled: for each signature, the share of alignments in which it
+was found in common decides, and lines are deleted by that verdict; long lines only if they are like the lines
+that brought it about, so that an article's sentence with the same opening stays. A long line's opening that
+also starts sentences inside paragraphs belongs to running text and is never deleted.
 A headline without full stop goes with the heading of its block.
 
 Only hashes of signatures are shuffled. Ordering is a range partitioning by (table, host, path), so that a
@@ -44,14 +46,20 @@ INNER_RATIO = 0.1
 OPENING, LONG = 4, 8
 #: Longer lines are compared whole as they are, shorter ones after masking.
 PARAGRAPH = 300
+#: Values of a long line's sketch, the least that two lines alike have in common, and the share of an opening's
+#: confirmed matches in which a value must stand to be part of its form.
+SKETCH, ALIKE, FORM_SHARE = 24, 12, 0.1
 SHORT_KIND, OPENING_KIND, HOST_KIND = 0, 1, 2
 
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+
 _LIST = re.compile(r"\s+[·|>/•–—\-]\s+|\s{2,}")
 _LABEL = re.compile(r"^(\[[^\]\n]{2,12}\]|[^\W\d][^.:→–—|·>,;«»\"“”¿?¡!()\d]{1,28}?)\s?(?::|→|–|—|·)(?=\s|$)|^(\[[^\]\n]{2,12}\])\s")
 _ITEM = re.compile(r"^\d{1,2}[.)]\s")
 _SENTENCE = re.compile(r"(?<=[.!?”»\"])\s+(?=[^\W_a-záéíóúñü]|[«¿¡“\"])")
 _TERMINAL = re.compile(r"[.!?…”»\")\]]$")
 _SIGN = re.compile(r"(?<![^ ])[^\x00-\x7f]{1,8}(?![^ ])")
+_QUOTED = re.compile(r"«[^»]*(?:»|$)|“[^”]*(?:”|$)")
 _DIGITS = re.compile(r"\d[\d.,:]*")
 
 
@@ -95,6 +103,37 @@ def opening(text: str) -> str:
     return " ".join(masked_tokens(text, OPENING))
 
 
+def common_words(line: str) -> list[str]:
+    """The words of a whole line but for names, numbers and quoted titles, which fill a template's slots."""
+    line = line.lower() if line.isupper() else line
+    for text in (_QUOTED.sub(" ", line), line):
+        words = text.encode("ascii", "ignore").decode().replace("?", "").split()
+        found = [w for w in (x.strip(".,;:\"')(") for x in words) if "a" <= w[:1] <= "z"]
+        # a line that is all quotation has no frame to compare
+        if len(found) >= OPENING:
+            break
+    return found
+
+
+def sketches(lines: list[str]) -> list[list[int]]:
+    """MinHash of the words of each line; a value holds its place, so that values in common are a set operation."""
+    words = [common_words(x) or [""] for x in lines]
+    if not words:
+        return []
+    coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
+    table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    starts = np.cumsum([0, *(len(x) for x in words[:-1])])
+    codes = coded.indices.to_numpy()
+    out = np.empty((len(lines), SKETCH), np.int16)
+    for place, odd in enumerate(_ODD):
+        mixed = table * odd
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= odd
+        least = np.minimum.reduceat(mixed[codes], starts)
+        out[:, place] = (least >> np.uint64(20) & np.uint64(255)).astype(np.int16) + 256 * place
+    return out.tolist()
+
+
 def line_signatures(line: str, brand: re.Pattern | None) -> tuple[str, int, bool] | None:
     """(signature, kind, looks like a headline) of a line; None if it is blank."""
     raw = re.sub(r"[^\S\n]", " ", line).strip()
@@ -122,9 +161,10 @@ def line_signatures(line: str, brand: re.Pattern | None) -> tuple[str, int, bool
     return opening(text), OPENING_KIND, not ended
 
 
-def page_lines(text: str, host: str, brand: re.Pattern | None) -> tuple[list[int], list[tuple[int, int, int]], list[int]]:
-    """(alignment signatures, (line, kind, signature) of each line, inner openings) of a page."""
+def page_lines(text: str, host: str, brand: re.Pattern | None) -> tuple[list[int], list[tuple[int, int, int]], list[int], list[tuple[int, str]]]:
+    """(alignment signatures, (line, kind, signature) of each line, inner openings, (place, line) of the long lines) of a page."""
     aligned: list[int] = []
+    long: list[tuple[int, str]] = []
     rows: list[tuple[int, int, int]] = []
     inner: list[int] = []
     opener: int | None = None
@@ -143,7 +183,8 @@ def page_lines(text: str, host: str, brand: re.Pattern | None) -> tuple[list[int
             opener = signature if kind == SHORT_KIND and not name.startswith("#") and len(name.split()) <= 4 else None
         if kind == OPENING_KIND:
             inner += [_hash(OPENING_KIND, opening(line[m.end() :])) for m in _SENTENCE.finditer(line)]
-    return aligned, rows, inner
+            long.append((len(aligned) - 1, brand.sub("Zz", line) if brand else line))
+    return aligned, rows, inner, long
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -180,67 +221,94 @@ def brand_pattern(brands: list[str]) -> re.Pattern | None:
 
 def _pages(batches: Iterator[pa.RecordBatch], brands: list[str]) -> Iterator[pa.RecordBatch]:
     brand = brand_pattern(brands)
-    line = pa.list_(pa.struct([("n", pa.int32()), ("k", pa.int32()), ("s", pa.int64())]))
+    whole = pa.list_(pa.int16())
+    line = pa.list_(pa.struct([("n", pa.int32()), ("k", pa.int32()), ("s", pa.int64()), ("w", whole)]))
     for batch in batches:
         for part in slices(batch, 4):
-            columns: tuple[list, list, list] = ([], [], [])
-            for text, host in zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True):
-                aligned, rows, inner = page_lines(text, host or "", brand)
+            pages = [page_lines(text, host or "", brand) for text, host in zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            made = iter(sketches([x for page in pages for _, x in page[3]]))
+            columns: tuple[list, list, list, list] = ([], [], [], [])
+            for aligned, rows, inner, long in pages:
+                own = {place: next(made) for place, _ in long}
                 columns[0].append(aligned)
-                columns[1].append([{"n": n, "k": k, "s": s} for n, k, s in rows])
-                columns[2].append(inner)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], line), pa.array(columns[2], pa.list_(pa.int64()))], ["tabla", "id", "host", "path", "aligned", "lines", "inner"])
+                columns[1].append([own.get(i) for i in range(len(aligned))])
+                at = -1
+                lines = []
+                for n, k, s in rows:
+                    at += k == HOST_KIND
+                    lines.append({"n": n, "k": k, "s": s, "w": own[at + 1] if k == OPENING_KIND else None})
+                columns[2].append(lines)
+                columns[3].append(inner)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.list_(whole)), pa.array(columns[2], line), pa.array(columns[3], pa.list_(pa.int64()))], ["tabla", "id", "host", "path", "aligned", "whole", "lines", "inner"])
 
 
 def _differences(batches: Iterator[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
-    """(tabla, s, seen, matched): alignments of each signature and those in which it was in common."""
+    """(tabla, s, v, seen, matched): alignments of each signature and those in which it was in common.
+
+    Rows with a ``v`` count the values of the sketches of an opening's confirmed matches, the others have -1.
+    """
     seen: dict[tuple[str, int], int] = defaultdict(int)
     matched: dict[tuple[str, int], int] = defaultdict(int)
-    before: list[tuple[str, str, list[int], list[int]]] = []
+    forms: dict[tuple[str, int, int], int] = defaultdict(int)
+    before: list[tuple[str, str, list[int], list, list[int]]] = []
     for batch in batches:
-        for tabla, host, aligned, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for tabla, host, aligned, whole, lines in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             before = [p for p in before if p[:2] == (tabla, host)][-neighbours:]
-            for _, _, other, wholes in before:
+            for _, _, other, others, wholes in before:
                 if len(set(wholes) & set(lines)) >= COPY * min(len(wholes), len(lines)):
                     continue
                 left, right = common_lines(other, aligned)
                 for x in (*other, *aligned, *wholes, *lines):
                     seen[tabla, x] += 1
                 for i, j in zip(left, right, strict=True):
+                    if (a := others[i]) is not None:
+                        # the same opening is no evidence unless the lines are alike as a whole
+                        if len(set(a).intersection(whole[j])) < ALIKE:
+                            continue
+                        for v in (*a, *whole[j]):
+                            forms[tabla, other[i], v] += 1
                     matched[tabla, other[i]] += 2
                 for x in set(wholes) & set(lines):
                     matched[tabla, x] += 2
-            before.append((tabla, host, aligned, lines))
-        if len(seen) > 500_000:
-            yield _counted(seen, matched)
-            seen.clear()
-            matched.clear()
+            before.append((tabla, host, aligned, whole, lines))
+        if len(seen) + len(forms) > 500_000:
+            yield _counted(seen, matched, forms)
+            for counts in (seen, matched, forms):
+                counts.clear()
     if seen:
-        yield _counted(seen, matched)
+        yield _counted(seen, matched, forms)
 
 
-def _counted(seen: dict, matched: dict) -> pa.RecordBatch:
-    keys = list(seen)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([matched.get(k, 0) for k in keys], pa.int64())], ["tabla", "s", "seen", "matched"])
+def _counted(seen: dict, matched: dict, forms: dict) -> pa.RecordBatch:
+    keys = [*((*k, -1) for k in seen), *forms]
+    counts = [*((n, matched.get(k, 0)) for k, n in seen.items()), *((0, n) for n in forms.values())]
+    columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int16()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(2))]
+    return pa.RecordBatch.from_arrays(columns, ["tabla", "s", "v", "seen", "matched"])
 
 
 def furniture(pages: DataFrame, brands: list[str], neighbours: int = NEIGHBOURS) -> DataFrame:
     """(tabla, id, linea) of the lines that are page furniture; ``pages(tabla, id, host, path, texto)``."""
-    kind = "array<struct<n:int,k:int,s:long>>"
+    kind = "array<struct<n:int,k:int,s:long,w:array<short>>>"
     texts = pages.where("texto is not null and texto != ''").select("tabla", F.col("id").cast("long").alias("id"), "host", "path", "texto")
-    read = cut(texts.mapInArrow(lambda b: _pages(b, brands), f"tabla string, id long, host string, path string, aligned array<long>, lines {kind}, inner array<long>"))
-    ordered = read.select("tabla", "host", "path", "id", "aligned", F.transform(F.filter("lines", lambda x: x["k"] == HOST_KIND), lambda x: x["s"]).alias("wholes")).repartitionByRange("tabla", "host", "path").sortWithinPartitions("tabla", "host", "path", "id")
-    pairs = ordered.select("tabla", "host", "aligned", "wholes").mapInArrow(lambda b: _differences(b, neighbours), "tabla string, s long, seen long, matched long")
-    rates = pairs.groupBy("tabla", "s").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where(F.col("matched") >= 2 * LEAST_MATCHES)
+    read = cut(texts.mapInArrow(lambda b: _pages(b, brands), f"tabla string, id long, host string, path string, aligned array<long>, whole array<array<short>>, lines {kind}, inner array<long>"))
+    ordered = read.select("tabla", "host", "path", "id", "aligned", "whole", F.transform(F.filter("lines", lambda x: x["k"] == HOST_KIND), lambda x: x["s"]).alias("wholes")).repartitionByRange("tabla", "host", "path").sortWithinPartitions("tabla", "host", "path", "id")
+    pairs = ordered.select("tabla", "host", "aligned", "whole", "wholes").mapInArrow(lambda b: _differences(b, neighbours), "tabla string, s long, v short, seen long, matched long")
+    counts = cut(pairs.groupBy("tabla", "s", "v").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where(F.col("matched") > 0))
+    rates = counts.where((F.col("v") < 0) & (F.col("matched") >= 2 * LEAST_MATCHES))
     # a signature is judged by the table in which it is shared most
     best = rates.groupBy("s").agg(F.max(F.col("matched") / F.col("seen")).alias("rate"), F.sum("seen").alias("seen"))
+    # an opening's form: the values that its confirmed matches share
+    confirmed = counts.where("v < 0").groupBy("s").agg(F.sum("matched").alias("all"))
+    values = counts.where("v >= 0").groupBy("s", "v").agg(F.sum("matched").alias("n")).join(confirmed, "s").where(F.col("n") >= FORM_SHARE * F.col("all"))
+    forms = values.groupBy("s").agg(F.collect_set("v").alias("form"))
     flat = read.select(F.explode("lines").alias("l")).select("l.k", "l.s").groupBy("s").agg(F.min("k").alias("k"), F.count("*").alias("first"))
     inner = read.select(F.explode("inner").alias("s")).groupBy("s").agg(F.count("*").alias("inner"))
     judged = best.join(flat, "s").join(inner, "s", "left").na.fill(0, ["inner"])
     least = F.when(F.col("k") == SHORT_KIND, SHORT_RATE).when(F.col("k") == OPENING_KIND, OPENING_RATE).otherwise(HOST_RATE)
-    guilty = cut(judged.where((F.col("rate") >= least) & ~((F.col("k") == OPENING_KIND) & (F.col("inner") >= INNER_RATIO * F.col("first")))).select("s"))
-    lines = read.select("tabla", "id", F.explode("lines").alias("l")).select("tabla", "id", F.col("l.n").alias("linea"), F.col("l.s").alias("s"))
-    return lines.join(bounded_broadcast(guilty, 1_000_000), "s", "left_semi").select("tabla", "id", "linea").distinct()
+    guilty = cut(judged.where((F.col("rate") >= least) & ~((F.col("k") == OPENING_KIND) & (F.col("inner") >= INNER_RATIO * F.col("first")))).select("s").join(forms, "s", "left"))
+    lines = read.select("tabla", "id", F.explode("lines").alias("l")).select("tabla", "id", F.col("l.n").alias("linea"), F.col("l.s").alias("s"), F.col("l.w").alias("w"))
+    alike = F.col("w").isNull() | (F.size(F.array_intersect("w", "form")) >= ALIKE)
+    return lines.join(bounded_broadcast(guilty, 1_000_000), "s").where(alike).select("tabla", "id", "linea").distinct()
 
 
 def url_parts(url: str) -> tuple:

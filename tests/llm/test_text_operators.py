@@ -57,6 +57,20 @@ def test_furniture_is_found_and_paragraphs_stay(spark):
     assert boilerplate.furniture(pages.where("false"), []).count() == 0
 
 
+def test_lines_are_judged_whole_not_by_their_opening(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    rows = []
+    for t, h, i, p, text in _site():
+        article = f"Unas {rng.randrange(99)} personas de Nardil " + " ".join(word() for _ in range(14)) + "."
+        rows.append((t, h, i, p, text + "\n" + article))
+    rows[7] = (*rows[7][:4], rows[7][4] + "\nReciba cada mañana el " + " ".join(word() for _ in range(14)) + ".")
+    pages = spark.createDataFrame(rows, "tabla string, id long, host string, path string, texto string")
+    found = {(r["id"], r["linea"]) for r in boilerplate.furniture(pages, ["Diario"]).collect()}
+    # every page has a sentence with that opening, and page 7 one that opens like the prompt
+    assert found == {(i, n) for i in range(60) for n in (0, 4, 5)}
+
+
 def test_residue(spark):
     long = "La comisión revisó el acuerdo de la sesión. " * 20_000
     rows = [
