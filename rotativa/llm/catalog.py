@@ -49,11 +49,11 @@ def _texts(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    return truncation.truncated(*_texts(spark, directory))
+    return truncation.truncated(*_texts(spark, directory), outlets=table(spark, directory, "medios", "medio", "dominio"))
 
 
 def p4_rates(spark: SparkSession, directory: str) -> DataFrame:
-    return truncation.rates(*_texts(spark, directory))
+    return truncation.rates(*_texts(spark, directory), outlets=table(spark, directory, "medios", "medio", "dominio"))
 
 
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:

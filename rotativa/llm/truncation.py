@@ -1,8 +1,8 @@
 """Texts cut off by field limits or mid-transfer, by hashed logistic regression on artificial cuts.
 
 Two statistics are counted over all texts: for each word (hashed to a fixed number of buckets) how often it
-stands before the end of a text and how often a sentence ends with it there, and for each group of sources the lengths at which texts pile up
-(field limits). Then intact values of a bounded sample are cut on purpose, at a limit or anywhere, with or
+stands before the end of a text and how often a sentence ends with it there, and for each source (an
+outlet under its brand and its domain, or a platform) the lengths at which its texts pile up (field limits). Then intact values of a bounded sample are cut on purpose, at a limit or anywhere, with or
 without a mark; a logistic regression on hashed features of the closing (last characters and words, how
 sentences end with that word, punctuation and marks, distance to a limit, opening of the last line) is
 fitted to tell the cut ones from the intact ones, and every record is scored.
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotativa.llm.arrays import slices
+from rotativa.session import bounded_broadcast, cut
 
 #: Buckets of the word statistics and of the hashed features.
 WORD_BUCKETS, FEATURE_BUCKETS = 1 << 21, 1 << 16
@@ -87,14 +88,26 @@ def _whole(text: Column) -> Column:
     return F.regexp_replace(text, MARK_SQL, "")
 
 
-def limits(texts: DataFrame) -> dict[str, set[int]]:
-    """Lengths without closing mark at which the texts of a group pile up."""
-    lengths = texts.select("grupo", F.length(_whole(F.col("texto"))).alias("n")).where("n > 20").groupBy("grupo", "n").agg(F.count("*").alias("texts"))
-    near = Window.partitionBy("grupo").orderBy("n").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    around = (F.sum("texts").over(near) - F.col("texts")) / (2 * NEIGHBOURS)
-    found: dict[str, set[int]] = {}
-    for row in lengths.withColumn("around", around).where((F.col("texts") >= LIMIT_TEXTS) & (F.col("texts") >= LIMIT_RATIO * (F.col("around") + 0.5))).collect():
-        found.setdefault(row["grupo"], set()).add(row["n"])
+def limits(texts: DataFrame, homes: dict[str, str] | None = None) -> dict[tuple[str, str], set[int]]:
+    """Lengths without closing mark at which the texts of a source pile up, by (grupo, source).
+
+    A source that is too small to show a limit by itself has those of its whole group at which its own texts pile up.
+    """
+    lengths = texts.select("grupo", "fuente", F.length(_whole(F.col("texto"))).alias("n")).where("n > 20").groupBy("grupo", "fuente", "n").agg(F.count("*").alias("texts"))
+    names = texts.sparkSession.createDataFrame(sorted((homes or {}).items()), "fuente string, _home string")
+    source = F.coalesce("_home", "fuente", F.lit("")).alias("source")
+    # one row for each source and length, so the texts are read once for both counts
+    own = cut(lengths.join(bounded_broadcast(names), "fuente", "left").groupBy("grupo", source, "n").agg(F.sum("texts").alias("texts")))
+
+    def piled(rows: DataFrame, *key: str) -> DataFrame:
+        near = Window.partitionBy(*key).orderBy("n").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+        around = (F.sum("texts").over(near) - F.col("texts")) / (2 * NEIGHBOURS)
+        return rows.withColumn("around", around).where(F.col("texts") >= LIMIT_RATIO * (F.col("around") + 0.5))
+
+    pooled = piled(own.groupBy("grupo", "n").agg(F.sum("texts").alias("texts")), "grupo").where(F.col("texts") >= LIMIT_TEXTS).select("grupo", "n", F.lit(True).alias("_pooled"))
+    found: dict[tuple[str, str], set[int]] = {}
+    for row in piled(own, "grupo", "source").join(pooled, ["grupo", "n"], "left").where((F.col("texts") >= LIMIT_TEXTS) | F.col("_pooled")).collect():
+        found.setdefault((row["grupo"], row["source"]), set()).add(row["n"])
     return found
 
 
@@ -200,12 +213,12 @@ def cut_text(text: str, bounds: list[int], rng: random.Random) -> str | None:
     return head + rng.choice(["", "", "", "…", "...", " [...]"])
 
 
-def fit(rows: list[tuple[str, str]], bounds: dict[str, set[int]], uses: np.ndarray, ends: np.ndarray, epochs: int = 6) -> np.ndarray:
+def fit(rows: list[tuple[str, str, str]], bounds: dict[tuple[str, str], set[int]], uses: np.ndarray, ends: np.ndarray, epochs: int = 6) -> np.ndarray:
     """Weights of the logistic regression; the last one is the bias."""
     rng = random.Random(7)
     x, y = [], []
-    for grupo, text in rows:
-        own = bounds.get(grupo, set())
+    for grupo, source, text in rows:
+        own = bounds.get((grupo, source), set())
         bare = MARK.sub("", text)
         sound = ends_sentence(text.rstrip().split()[-1]) and not MARK.search(text)
         if not sound and (len(text) in own or len(bare) in own or MARK.search(text) and not ends_sentence(bare.rstrip()[-1:] or "x")):
@@ -239,15 +252,15 @@ def fit(rows: list[tuple[str, str]], bounds: dict[str, set[int]], uses: np.ndarr
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.RecordBatch]:
-    bounds, uses, ends, weights = shared
+    bounds, homes, uses, ends, weights = shared
     none: set[int] = set()
     for batch in batches:
         scores = []
-        for grupo, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for grupo, text, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             if _CODE.match(text.split()[-1]):
                 scores.append(-30.0)  # a reference number ends a notice
                 continue
-            at = hashed(features(text, grupo, bounds.get(grupo, none), uses, ends))
+            at = hashed(features(text, grupo, bounds.get((grupo, homes.get(source, source or "")), none), uses, ends))
             scores.append(float(weights[at].sum() + weights[-1]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(1 / (1 + np.exp(-np.clip(scores, -30, 30))), pa.float64())], ["tabla", "id", "fuente", "score"])
 
@@ -259,32 +272,40 @@ def text_rows(notes: DataFrame, posts: DataFrame) -> DataFrame:
     return a.unionByName(b).where(r"texto rlike '\\S'")
 
 
-def scores(notes: DataFrame, posts: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """(tabla, id, fuente, score) of every text that is not blank."""
+def outlet_homes(outlets: DataFrame | None) -> dict[str, str]:
+    """Domain of each outlet's brand, so that both names are one source; outlets are few."""
+    if outlets is None:
+        return {}
+    return {r["medio"]: r["dominio"] for r in outlets.where("medio is not null and dominio is not null").groupBy("medio").agg(F.min("dominio").alias("dominio")).collect()}
+
+
+def scores(notes: DataFrame, posts: DataFrame, training_rows: int = TRAINING_ROWS, outlets: DataFrame | None = None) -> DataFrame:
+    """(tabla, id, fuente, score) of every text that is not blank; ``outlets(medio, dominio)`` joins an outlet's names."""
     texts = text_rows(notes, posts)
+    homes = outlet_homes(outlets)
     uses, ends = word_counts(texts)
-    bounds = limits(texts)
+    bounds = limits(texts, homes)
     half = training_rows // 2
     rows = []
     for tabla, source in (("notas", notes), ("publicaciones", posts)):
         part = texts.where(F.col("tabla") == tabla)
         # thinned to half as much again as the sample first, so that few rows are ordered and sent; the count comes from the files' footers
         share = min(1.0, 1.5 * half / max(1, source.count()))
-        chosen = part.select("grupo", "texto", F.xxhash64("id", "texto").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+        chosen = part.select("grupo", "fuente", "texto", F.xxhash64("id", "texto").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
         chosen = chosen.orderBy("h", "texto").limit(half)
-        rows += [(r["grupo"], r["texto"]) for r in chosen.select("grupo", "texto").collect()]
+        rows += [(r["grupo"], homes.get(r["fuente"], r["fuente"] or ""), r["texto"]) for r in chosen.select("grupo", "fuente", "texto").collect()]
     weights = fit(rows, bounds, uses, ends)
-    shared = notes.sparkSession.sparkContext.broadcast((bounds, uses, ends, weights))
+    shared = notes.sparkSession.sparkContext.broadcast((bounds, homes, uses, ends, weights))
     return texts.mapInArrow(lambda b: _score(b, shared.value), "tabla string, id long, fuente string, score double")
 
 
-def truncated(notes: DataFrame, posts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def truncated(notes: DataFrame, posts: DataFrame, threshold: float = THRESHOLD, outlets: DataFrame | None = None) -> DataFrame:
     """(tabla, id): the texts whose end was lost."""
-    return scores(notes, posts).where(F.col("score") > threshold).select("tabla", "id").distinct()
+    return scores(notes, posts, outlets=outlets).where(F.col("score") > threshold).select("tabla", "id").distinct()
 
 
-def rates(notes: DataFrame, posts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def rates(notes: DataFrame, posts: DataFrame, threshold: float = THRESHOLD, outlets: DataFrame | None = None) -> DataFrame:
     """(tabla, fuente, textos, cortados, cuota): how often each source truncates; blank texts do not count."""
-    cut = (F.col("score") > threshold).cast("long")
-    grouped = scores(notes, posts).groupBy("tabla", "fuente").agg(F.count("*").alias("textos"), F.sum(cut).alias("cortados"))
+    lost = (F.col("score") > threshold).cast("long")
+    grouped = scores(notes, posts, outlets=outlets).groupBy("tabla", "fuente").agg(F.count("*").alias("textos"), F.sum(lost).alias("cortados"))
     return grouped.withColumn("cuota", F.round(F.col("cortados") / F.col("textos"), 6))

@@ -146,3 +146,13 @@ def test_truncation_held_out_accuracy(spark):
     rates = {r["fuente"]: r for r in truncation.rates(notes, table).collect()}
     assert rates["x"]["textos"] == 1500 and rates["x"]["cortados"] == len([i for i in found])
     assert truncation.truncated(notes.where("false"), table.where("false")).count() == 0
+
+
+def test_field_limits_are_those_of_a_source(spark):
+    # eight notes of one outlet, under its brand and its domain, have 300 characters; other outlets' lengths drown them when pooled
+    rows = [(i, "El Faro" if i % 2 else "faro.example", None, "x" * 300) for i in range(8)]
+    rows += [(100 + i, f"m{i % 20}", None, "y" * (280 + i % 41)) for i in range(41 * 20)]
+    notes = spark.createDataFrame(rows, NOTES)
+    posts = spark.createDataFrame([], "seq long, plataforma string, texto string")
+    homes = truncation.outlet_homes(spark.createDataFrame([("El Faro", "faro.example")], "medio string, dominio string"))
+    assert truncation.limits(truncation.text_rows(notes, posts), homes) == {("notas", "faro.example"): {300}}
