@@ -55,8 +55,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return labels
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank): weighted ranks of an undirected graph after a fixed number of rounds."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): weighted ranks of an undirected graph; rounds end when the ranks change by less than nodes x ``tolerance`` in sum."""
     links = both_ways(edges)
     out = links.groupBy("src").agg(F.sum("weight").alias("_w"))
     links = cut(links.join(out, "src").select("src", "dst", (F.col("weight").cast("double") / F.col("_w")).alias("share")))
@@ -64,10 +64,16 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for turn in range(rounds):
+        before = ranks
         sent = links.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         ranks = nodes.join(sent, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("rank"))
+        # the change is measured where lineage is cut, every fifth round
         if turn % 5 == 4:
-            ranks = cut(ranks)
+            both = cut(ranks.join(before.withColumnRenamed("rank", "_before"), "node"))
+            ranks = both.select("node", "rank")
+            change = both.agg(F.sum(F.abs(F.col("rank") - F.col("_before")))).first()[0]
+            if change is None or change < n * tolerance:
+                break
     return ranks
 
 

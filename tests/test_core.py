@@ -172,3 +172,11 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame([(5, "u3", "tres"), (6, "u6", "UNO"), (7, "u7", "cuatro")], "id long, url string, cuerpo string").write.parquet(str(tmp_path / "in2"))
     incremental.ingest(incremental.event_stream(spark, str(tmp_path / "in2")), out)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 4, 7]
+
+
+def test_pagerank_runs_until_it_converges(spark):
+    star = spark.createDataFrame([("hub", f"leaf{i:02}", 1) for i in range(50)], "src string, dst string, weight long")
+    ranks = {r["node"]: r["rank"] for r in graph.pagerank(star).collect()}
+    # hub = 0.15 / 51 + 0.85 x leaves, leaves = 50 x 0.15 / 51 + 0.85 x hub
+    exact = (0.15 / 51 + 0.85 * 50 * 0.15 / 51) / (1 - 0.85**2)
+    assert abs(ranks["hub"] - exact) < 51e-6 * 6 and abs(sum(ranks.values()) - 1) < 1e-9
