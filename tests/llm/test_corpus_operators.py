@@ -86,6 +86,65 @@ def test_leakage_against_brute_force(spark):
     assert leakage.leaks(docs, its.where("false")).count() == 0
 
 
+def _found_pairs(documents, items, fuzzy=False):
+    edits = leakage.FUZZY_EDITS if fuzzy else leakage.EDITS
+    index = leakage.ItemIndex([i for i, _ in items], [x for _, x in items], leakage.Q, leakage.WORDS, edits, leakage.BLOCKS)
+    return {(r[0], items[r[1]][0]) for r in leakage.find(documents, index, leakage.Q, leakage.WORDS, edits, fuzzy)}
+
+
+def test_last_item_and_last_document_keep_their_closing_word():
+    thirteen = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece"
+    assert _found_pairs([thirteen, "otra cosa " + thirteen], [(1, "uno dos tres"), (2, thirteen)]) == {(0, 2), (1, 2)}
+    assert _found_pairs([thirteen.rsplit(" ", 1)[0], thirteen], [(2, thirteen)]) == {(1, 2)}
+    assert _found_pairs([], [(2, thirteen)]) == set() and _found_pairs([thirteen], []) == set()
+    codes, bounds = leakage.fold(["Ñu", None, "fin"])
+    assert len(bounds) == 4 and [codes[a] == 0 and codes[b - 1] == 32 for a, b in zip(bounds, bounds[1:], strict=False)] == [True] * 3
+
+
+def test_an_item_of_short_words_does_not_loosen_the_others():
+    short, long = "a b c d e f g h i j k l m", "la comisión revisadora presentó ayer su informe definitivo sobre las cuentas municipales del periodo anterior"
+    index = leakage.ItemIndex([1, 2], [short, long], leakage.Q, leakage.WORDS, 1, 1)
+    assert index.bound[0] == 1 and index.bound[1] > 50
+    assert _found_pairs([f"y {short} z", long.upper()], [(1, short), (2, long)]) == {(0, 1), (1, 2)}
+
+
+def test_leakage_of_exactly_thirteen_words_anywhere():
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for _ in range(40):
+        items = [(i, " ".join(text(rng.randrange(13, 40)))) for i in range(5)]
+        documents, expected = [], set()
+        for d in range(8):
+            item, source = items[rng.randrange(5)]
+            words = source.split()
+            size = rng.choice([12, 13])
+            start = rng.randrange(len(words) - size + 1)
+            own = text(rng.randrange(0, 30))
+            at = rng.choice([0, len(own), rng.randrange(len(own) + 1)])
+            documents.append(" ".join([*own[:at], *words[start : start + size], *own[at:]]))
+            w = _words(documents[-1])
+            grams = {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+            expected |= {(d, i) for i, x in items if any(tuple(x.split()[j : j + 13]) in grams for j in range(len(x.split()) - 12))}
+        assert _found_pairs(documents, items) == expected
+
+
+def test_fuzzy_passages_of_items_by_banded_alignment(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10))) for _ in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(60))) for i in range(40)]
+    documents = []
+    for i, item in items:
+        edited = [rng.choice(vocabulary) if k % 12 == 11 else w for k, w in enumerate(item.split())]
+        documents.append((i, " ".join([*text(30), *edited, *text(30)])))
+    documents += [(100 + i, " ".join(text(100))) for i in range(20)] + [(200, None), (201, "")]
+    rows = leakage.passages(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert found <= {(i, i) for i, _ in items} and len(found) >= 0.9 * len(items)
+    assert all(r["words_aligned"] > 40 and r["words_shared"] < 13 and r["edits"] > 0 for r in rows)
+
+
 def test_shared_spans_against_brute_force(spark):
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz ñé日"
