@@ -24,7 +24,7 @@ def _pages(spark: SparkSession, directory: str) -> tuple[DataFrame, list[str]]:
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     pages, brands = _pages(spark, directory)
-    bad = residue.residue(table(spark, directory, "notas", "id", "cuerpo"), columns=("cuerpo",)).select(F.lit("notas").alias("tabla"), "id")
+    bad = residue.residue(table(spark, directory, "notas", "id", "cuerpo", "titular"), columns=("cuerpo",)).select(F.lit("notas").alias("tabla"), "id")
     return boilerplate.furniture(pages.join(bad, ["tabla", "id"], "left_anti"), brands)
 
 
@@ -77,6 +77,10 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p9_passages(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.passages(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "eval_items", "item_id", "text"))
+
+
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     return spans.document_pairs(table(spark, directory, "documents", "doc_id", "text"))
 
@@ -90,7 +94,7 @@ def p10_passages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10_passages}
+    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10_passages}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.

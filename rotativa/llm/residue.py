@@ -1,12 +1,25 @@
 r"""Template residue and texts standing in for content that never came.
 
-Message templates are mined with a fixed-depth prefix tree: each line is masked (case, blanks, digits and
-hexadecimal marks) and takes the path of its number of tokens and its first ``DEPTH`` tokens; the leaf is the
-template. Each template is classified once in a worker, and its verdict goes to all lines that take its path.
-A verdict depends on the path alone, so it is the same in every partition and nothing has to be shuffled.
-Unresolved slots, which can stand inside any ordinary line, are detected apart, on the raw field.
+Message templates are mined with a fixed-depth prefix tree. A field is taken apart into its sentences and
+lines; each is masked (quotations, numbers, addresses and marks with digits, runs of names, letters beyond ASCII) and takes
+the path of its number of tokens and its first ``DEPTH`` tokens; the leaf is the template. Counts of all leaves
+come from partial sums over the whole table:
 
-Lines are split, masked and coded by Arrow's kernels; Python sees each distinct path of a slice once.
+* a leaf is *supported* if it stands in at least ``SUPPORT`` records that differ in their other field (bodies
+  under different titles, titles over different bodies), so that captures of one article do not support themselves;
+* a record is *bare* if nearly all of its tokens lie in supported leaves: it says nothing of its own;
+* a template is a notice if it stands in bare records: the lower confidence bound of that share decides, which
+  asks for the same certainty at every size. Furniture and an article's sentences mostly stand beside text of
+  their own, so they are never notices, whatever they say.
+
+Each template is so classified once, and its verdict goes to all records that hold its leaf by a join. Templates
+seen too seldom are judged by closeness to the notices: the weights of tokens, log-odds between the mined notices
+together with some known ones (``KNOWN``) and all other text. A title's own template, which has no text beside
+it, counts as a notice if it is supported, is free of names and is close to the notices. Unresolved slots,
+which can stand inside any ordinary record, are detected apart, on the raw field.
+
+The model's notices are a sample of at most ``SAMPLE`` units of bare records; everything else is counted over all
+records. Hashes are shuffled, not texts; a field is scanned twice.
 
 Defined results: null, empty and blank fields are no residue; a field counts once whatever it holds;
 square brackets, braces, error numbers and scripts that an article merely reports on are no residue.
@@ -14,9 +27,12 @@ square brackets, braces, error numbers and scripts that an article merely report
 
 from __future__ import annotations
 
-import re
+import math
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -24,14 +40,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotativa.llm.arrays import slices
+from rotativa.session import cut
 
-#: Tokens of a line that make its path in the tree.
-DEPTH = 10
-#: Paths kept by a worker before its tree starts anew.
-TREE_PATHS = 500_000
+#: Tokens of a unit that make its path in the tree, beside their number.
+DEPTH = 8
+#: Records with different other fields that support a leaf; share of a bare record's tokens in supported leaves.
+SUPPORT, BARE = 4, 0.8
+#: Share of bare records, at the lower end of its confidence interval of ``Z`` deviations, that makes a notice.
+NOTICE_SHARE, Z = 0.5, 1.64
+#: Units of bare records that the token weights are fitted to, at most.
+SAMPLE = 20_000
+#: A known notice counts as so many units; what a token not seen in notices takes off and the most that any token
+#: adds, so that no single one decides; the least sum and mean of a notice.
+KNOWN_WEIGHT, STRANGE, MOST, LEAST_SCORE, LEAST_MEAN = 5, 1.0, 3.0, 4.0, 0.8
 #: What a field must hold for a slot to be looked for (no lookaround, so that it runs in one pass).
 _SLOT_HINT = r"[{$%@#_*<]|\[[^.\]]|\bNaN|undefined|XX"
-_BLANKS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 #: Unresolved slots of common template languages and editors' placeholders.
 SLOTS = (
@@ -60,125 +83,155 @@ SLOTS = (
     r"\bX{2} de X{2,}\b|\b20XX\b|\bX{4,}\b|\bXX/XX/",
 )
 
-#: Openings of error, denial, robot-check and script notices, and of filler and test text.
-#: A letter with a mark stands for up to four characters, so that wrongly decoded notices match as well.
-NOTICES = (
-    r"http(?:/\d\S*)? 000\b.{0,60}$",
-    r"(?:http )?(?:error|estado|status|código)(?: http)?:? ?000\b.{0,60}$",
-    r"000:?(?: -)? ?(?:not found|forbidden|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|unauthorized|access denied|gone|too many requests|error|no encontrad|acceso|p[aá]gina|servicio|request timeout|moved|payment|service temporarily).{0,60}$",
-    r"(?:nginx|apache|openresty|varnish|cloudflare|microsoft-iis|lighttpd|caddy)(?:[/ (].{0,40})?$",
-    r"(?:not found|forbidden|bad gateway|service unavailable|internal server error|access denied|acceso denegado|acceso restringido|acceso prohibido|permission denied|unauthorized)\b.{0,200}$",
-    r"the requested (?:url|page|resource)\b",
-    r"(?:no|usted no) tiene (?:permiso|autorización|acceso) (?:para|a) ",
-    r"you (?:don.?t|do not) have (?:permission|access)",
-    r"¡?(?:vaya|ups|oops|uy)\b.{0,120}$",
-    r"¡?(?:algo salió mal|something went wrong)",
-    r"(?:inténtalo|inténtelo|intente|intenta|vuelva a intentarlo|try again|please try)\b.{0,60}(?:minutos|más tarde|later|minutes|de nuevo)",
-    r"(?:código de (?:incidencia|error|referencia)|incident id|error code|referencia n\S*|ray id|request id|trace id|ref)[.:]? ?(?:n\S{1,4} ?)?0",
-    r"traceback \(most recent call",
-    r"file \".{1,80}\", line \d",
-    r"(?:\w+)?(?:keyerror|typeerror|valueerror|nameerror|attributeerror|indexerror|syntaxerror|runtimeerror|nullpointerexception|exception)\b: ?\S",
-    r"(?:fatal error|parse error|warning|notice|deprecated)(?: error)?: ?(?:uncaught|mysql|undefined|call to|include|require|cannot|unexpected|syntax|[a-z_]+\()",
-    r"(?:error al (?:establecer|conectar|cargar|procesar)|error establishing|error de (?:conexión|servidor|base de datos|carga))",
-    r"(?:esta|la|este|el) (?:nota|página|pagina|contenido|artículo|enlace|noticia)(?: que (?:buscas|busca|solicita|solicitó|intenta\w*)\b.{0,30})? (?:ya )?no (?:está|existe|se encuentra|fue encontrad|se encontró|disponible)",
-    r"página no (?:encontrada|disponible|existe)",
-    r"page not found|this page (?:isn.t|is not|doesn.t|does not)|no encontramos (?:lo que|la página|esta)",
-    r"vuelve a la portada|volver a la portada|regresa(?:r)? (?:al inicio|a la portada)",
-    r"(?:hemos )?detecta(?:do|mos) (?:un )?tráfico inusual|unusual traffic|we have detected unusual",
-    r"complet[ea] la (?:verificación|captcha)",
-    r"(?:verifying|checking|verify|confirm)(?: that)? (?:you are|you.re|if you are|your browser)(?: a| not a)?",
-    r"(?:comprobando|verificando|comprueba|verifique|confirme|confirma)(?: que)? (?:no )?(?:eres|es|si|usted|su|tu)\b.{0,30}(?:robot|human|navegador|conexión|persona)",
-    r"(?:just a moment|one moment|un momento|espere un momento|please wait|cargando|loading)(?:,? please)?[.… ]*$",
-    r"(?:please )?(?:enable|activate|turn on) (?:javascript|java script|scripts|cookies)",
-    r"(?:you need to|you must|this (?:site|app|page) (?:requires|needs)).{0,40}(?:script|cookies)",
-    r"(?:javascript|java script|scripts?)(?: y cookies)? (?:requerid|required|is required|is disabled|desactivad|deshabilitad|necesari|must be)",
-    r"(?:para ver|para leer|para continuar|necesita|debe|debes|necesitas|por favor,?|active|activa|habilite|habilita|este (?:sitio|contenido)).{0,60}\b(?:javascript|java script|scripts)\b",
-    r"(?:su|tu) navegador (?:no|tiene|bloquea).{0,40}(?:script|java)",
-    r"your browser .{0,60}(?:script|supported)",
-    r"(?:contenido|texto|cuerpo|titular|nota|artículo) pendiente(?: de (?:redacción|redactar|publicar|edición|revisión))?[. ]*(?:$|contenido|texto|cuerpo|titular|nota|artículo)",
-    r"aquí va (?:el|la|un) (?:cuerpo|texto|nota|titular|entradilla|contenido|párrafo)",
-    r"(?:texto|párrafo|nota|titular|contenido|artículo) de (?:prueba|relleno|ejemplo|muestra)\b",
-    r"(?:this is a test|esto es una prueba|sample text|dummy text|placeholder|test post|hello world|hola mundo)\b",
-    r"lorem ipsum",
-    r"(?:bla ){3,}|(?:asdf|qwer|qwerty|xyz|foo bar|aaaa)\b",
-    r"(?:prueba|test|testing|borrador)(?:[ .:_\-]*(?:prueba|test|testing|borrador|n\S*|\d+))*[ .]*$",
-    r"no publicar\b|do not publish|no borrar\b",
-    r"(?:sin título|untitled|titular|título)(?:[ \-–:_]*(?:borrador|draft|aquí|pendiente|prueba|\d+))*[ .]*$",
-    r"(?:null|none|undefined|n/a|n/d|\(vacío\)|\[vacío\]|tbd|todo:.*|fixme.*)$",
-)
+#: Notices of errors, denial, robot checks and scripts, filler and test text, as they are usually worded.
+KNOWN = """404 Not Found
+Error 404
+HTTP Error 500 Internal Server Error
+HTTP 502 Bad Gateway nginx
+503 Service Unavailable
+Request ID 1
+Access Denied. You don't have permission to access this page on this server
+Acceso denegado. No tiene permiso para ver esta página en este servidor
+Acceso restringido. Usted no tiene autorización para acceder
+Página no encontrada
+La página que buscas no existe o fue movida
+Esta nota ya no está disponible
+Contenido no disponible
+Page not found
+Not found. The requested URL was not found on this server
+Vaya, algo salió mal. Inténtalo de nuevo en unos minutos
+Something went wrong. Please try again later
+Servicio no disponible, vuelva más tarde
+Código de error 1
+Ray ID 1
+Just a moment
+Cargando
+Loading please wait
+Checking your browser. Verify you are human
+Verificando que no es un robot. Complete la verificación para continuar
+Hemos detectado tráfico inusual desde su red
+JavaScript requerido
+Please enable JavaScript and cookies to continue
+Active JavaScript en su navegador para ver este contenido
+Necesita activar Java Script para leer la nota
+Su navegador no admite scripts
+Error al conectar con la base de datos
+Warning mysql undefined index
+Traceback most recent call last File line in module KeyError TypeError
+Fatal error uncaught exception
+Texto de prueba
+Esto es una prueba
+Prueba prueba
+Test test testing
+NO PUBLICAR test
+No borrar
+Contenido pendiente de redacción
+Titular pendiente
+Título de la nota aquí
+Aquí va el cuerpo de la nota
+Sin título borrador
+Borrador
+Párrafo de relleno
+Sample text placeholder
+bla bla bla
+asdf qwerty
+null
+undefined
+Untitled draft"""
 
 #: Words of the customary Latin filler.
 FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 
 
-def _loose(pattern: str) -> str:
-    """Letters with marks match themselves, their plain letter or what a wrong decoding makes of them."""
-    plain = dict(zip("áéíóúñü¡¿", "aeiounu!?", strict=True))
-    loose = "".join(rf"(?:{c}|{'[!?]' if c in '¡¿' else plain[c]}|\S{{1,4}})" if c in plain else c for c in pattern)
-    return loose.replace("[a(?:á|a|\\S{1,4})]", r"\S{1,4}")
-
 
 _SLOT = regex.compile("|".join(f"(?:{s})" for s in SLOTS))
-_NOTICE = regex.compile(r"[\s\p{P}]*(?:" + "|".join(f"(?:{_loose(p)})" for p in NOTICES) + ")", regex.IGNORECASE)
-_FILLER = frozenset(FILLER.split())
 
 
-class PrefixTree:
-    """Paths (number of tokens, first tokens) with the verdict of each template."""
+def has_slot(text: str) -> bool:
+    return _SLOT.search(text) is not None
 
-    def __init__(self) -> None:
-        self.root: dict = {}
-        self.paths = 0
 
-    def verdict(self, count: int, tokens: list[str]) -> bool:
-        node = self.root.setdefault(count, {})
-        for token in tokens:
-            node = node.setdefault(token, {})
-        if "" not in node:
-            node[""] = classify(" ".join(tokens))
-            self.paths += 1
-        return node[""]
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(masked sentences and lines, the row of each); 0 stands for numbers, addresses and quotations, 1 for names."""
+    x = pc.replace_substring_regex(texts, r"«[^»\n]*»|“[^”\n]*”", "0")
+    x = pc.split_pattern(pc.replace_substring_regex(x, r"([.!?…]) +", "\\1\n"), "\n")
+    rows = pc.list_parent_indices(x).to_numpy(zero_copy_only=False)
+    x = pc.replace_substring_regex(x.flatten(), r"\S*[0-9/]\S*", "0")
+    # a unit of capitalised words only has no names that stand out
+    named = pc.match_substring_regex(x, r"(?:^|\s)\p{P}*\p{Ll}")
+    x = pc.utf8_lower(pc.if_else(named, pc.replace_substring_regex(x, r"(?:\s+\p{Lu}\p{Ll}\S*)+", " 1"), x))
+    x = pc.replace_substring_regex(pc.replace_substring_regex(x, r"[^a-z01\s]+", ""), r"\s+", " ")
+    return pc.utf8_trim_whitespace(x), rows
 
 
-def classify(template: str) -> bool:
-    """True for templates of notices, filler and test text; ``template`` is a masked opening in lower case."""
-    if _NOTICE.match(template):
-        return True
-    words = re.findall(r"[^\W\d_]+", template)
-    latin = sum(w in _FILLER for w in words)
-    return len(words) >= 4 and latin >= 0.7 * len(words) or len(words) >= 9 and len(set(words)) <= 0.34 * len(words)
+def leaves(masked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the path, number of tokens) of each masked unit; an empty unit has no tokens."""
+    coded = masked.dictionary_encode()
+    unique = coded.dictionary
+    count = (pc.count_substring(unique, " ").to_numpy(zero_copy_only=False) + (pc.binary_length(unique).to_numpy(zero_copy_only=False) > 0)).astype(np.int64)
+    opening = pc.replace_substring_regex(unique, rf"^((?:\S+ ){{{DEPTH - 1}}}\S+) .*$", r"\1")
+    path = pd.util.hash_array(opening.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(unique) else np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        path = (path ^ count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    return path[index], count[index]
 
 
-def has_slot(text: str) -> bool:
-    return _SLOT.search(text) is not None
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, leaves, sizes, slot, token, n): the leaves of each record, and rows with the counts of tokens."""
+    for batch in batches:
+        for part in slices(batch, 1):
+            texts = pc.fill_null(part.column(1), "")
+            hinted = pc.match_substring_regex(texts, _SLOT_HINT).to_pylist()
+            slot = [hint and has_slot(texts[i].as_py()) for i, hint in enumerate(hinted)]
+            masked, rows = units(texts)
+            path, size = leaves(masked)
+            kept = size > 0
+            offsets = pa.array(np.searchsorted(rows[kept], np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[kept].astype(t))) for x, t in ((path, np.int64), (size, np.int32))]
+            tokens = pc.split_pattern(masked.filter(pa.array(kept)), " ").flatten().value_counts()
+            many, few = part.num_rows, len(tokens)
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(slot, pa.bool_()), pa.nulls(many, pa.string()), pa.nulls(many, pa.int64())], ["r", "leaf", "size", "slot", "token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(few, pa.int64()), pa.nulls(few, lists[0].type), pa.nulls(few, lists[1].type), pa.nulls(few, pa.bool_()), tokens.field(0), tokens.field(1)], ["r", "leaf", "size", "slot", "token", "n"])
+
+
+def token_weights(notices: Counter, others: Counter) -> dict[str, float]:
+    """Log-odds of the tokens of notices against all other text; a token of other text only has none."""
+    n, m, size = sum(notices.values()), sum(others.values()), len(notices) + 1
+    return {t: min(math.log((k + 0.5) / (n + 0.5 * size)) - math.log((others.get(t, 0) + 0.5) / (m + 0.5 * size)), MOST) for t, k in notices.items()}
+
+
+def known_tokens() -> Counter:
+    masked, _ = units(pa.array(KNOWN.split("\n")))
+    lines = Counter(t for x in masked.to_pylist() for t in x.split())
+    return Counter({t: KNOWN_WEIGHT * n for t, n in (lines + Counter(set(FILLER.split()))).items()})
+
+
+def scores(masked: pa.Array, weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, mean) of the weights of each unit's tokens."""
+    tokens = pc.split_pattern(masked, " ")
+    coded = tokens.flatten().dictionary_encode()
+    table = np.array([weights.get(t, -STRANGE) if t else 0.0 for t in coded.dictionary.to_pylist()])
+    if not len(table):
+        return np.zeros(0), np.zeros(0)
+    offsets = tokens.offsets.to_numpy()
+    total = np.add.reduceat(table[coded.indices.to_numpy(zero_copy_only=False)], offsets[:-1])
+    return total, total / np.diff(offsets)
 
 
-def _residue(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    tree = PrefixTree()
+def _close(batches: Iterator[pa.RecordBatch], weights: dict[str, float], least: float) -> Iterator[pa.RecordBatch]:
+    """(record, leaf, sure, nameless): the units close to the notices, for sure if close enough or worded like a known one."""
+    known = pa.array(sorted(filter(None, units(pa.array(KNOWN.split("\n")))[0].to_pylist())), pa.string())
     for batch in batches:
-        for part in slices(batch, 2):
-            texts = pc.fill_null(part.column(2), "")
-            hinted = pc.match_substring_regex(texts, _SLOT_HINT)
-            found = {i for i, hint in enumerate(hinted.to_pylist()) if hint and has_slot(texts[i].as_py())}
-            lines = pc.split_pattern(texts, "\n")
-            rows = pc.list_parent_indices(lines).to_numpy()
-            masked = pc.utf8_lower(pc.utf8_trim_whitespace(pc.replace_substring_regex(lines.flatten(), _BLANKS, " ")))
-            count = pc.count_substring(masked, " ")
-            opening = pc.replace_substring_regex(masked, rf"^((?:\S+ ){{{DEPTH - 1}}}\S+) .*$", r"\1")
-            # the opening is masked; what ends it tells whether the line goes on
-            opening = pc.replace_substring_regex(pc.replace_substring_regex(opening, r"\b[0-9a-f]{6,}\b", "000000"), "[0-9]", "0")
-            coded = pc.binary_join_element_wise(count.cast(pa.string()), opening, "\t").dictionary_encode()
-            bad = []
-            for path in coded.dictionary.to_pylist():
-                n, _, words = path.partition("\t")
-                if tree.paths > TREE_PATHS:
-                    tree = PrefixTree()
-                bad.append(bool(words) and tree.verdict(int(n), words.split(" ")))
-            verdicts = pa.array(bad, pa.bool_())
-            found.update(rows[verdicts.take(coded.indices).to_numpy(zero_copy_only=False)].tolist())
-            if found:
-                at = pa.array(sorted(found))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], [key, "campo"])
+        for part in slices(batch, 1):
+            masked, rows = units(pc.fill_null(part.column(1), ""))
+            total, mean = scores(masked, weights)
+            sure = (total >= LEAST_SCORE) & (mean >= LEAST_MEAN) | pc.is_in(masked, known).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(sure | (total >= least) & (mean >= LEAST_MEAN / 2))
+            if len(at):
+                path, _ = leaves(masked.take(pa.array(at)))
+                nameless = [" 1 " not in f" {x} " for x in masked.take(pa.array(at)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[at])), pa.array(path), pa.array(sure[at]), pa.array(nameless, pa.bool_())], ["r", "leaf", "sure", "nameless"])
 
 
 def fields(notes: DataFrame, key: str, columns: tuple[str, ...], *others: str) -> DataFrame:
@@ -187,7 +240,47 @@ def fields(notes: DataFrame, key: str, columns: tuple[str, ...], *others: str) -
     return notes.select(key, *others, F.explode(pairs).alias("f")).select(key, "f.campo", "f.texto", *others).where("texto is not null")
 
 
-def residue(notes: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cuerpo", "titular")) -> DataFrame:
-    """(key, campo): the fields with residue."""
-    texts = fields(notes, key, columns).select(F.col(key).cast("long").alias(key), "campo", "texto")
-    return texts.mapInArrow(lambda b: _residue(b, key), f"`{key}` long, campo string")
+def residue(notes: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cuerpo", "titular"), body: str = "cuerpo", title: str = "titular") -> DataFrame:
+    """(key, campo): the fields with residue; ``body`` and ``title`` are counted, those of ``columns`` are reported."""
+    pair = F.array(*[F.struct(F.lit(a).alias("campo"), F.col(a).alias("texto"), F.xxhash64(b).alias("o")) for a, b in ((body, title), (title, body))])
+    texts = notes.select(F.col(key).cast("long").alias("k"), F.explode(pair).alias("f")).select("k", "f.campo", "f.texto", "f.o").where("texto is not null and texto != ''")
+    texts = texts.select(F.xxhash64("k", "campo", "texto").alias("r"), "texto", "k", "campo", "o")
+    read = cut(texts.select("r", "texto").mapInArrow(_paths, "r long, leaf array<long>, size array<int>, slot boolean, token string, n long"))
+    records = read.where("r is not null")
+    whose = texts.select("r", "k", "campo", "o")
+    held = records.select("r", F.arrays_zip("leaf", "size").alias("u")).join(whose.select("r", "campo", "o").distinct(), "r").select("r", "campo", "o", F.explode("u").alias("u")).select("r", "campo", "o", "u.leaf", "u.size")
+    held = cut(held)
+    support = held.groupBy("campo", "leaf", "o").agg(F.count("*").alias("x")).groupBy("campo", "leaf").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    support = cut(support)
+    # a record says nothing of its own where nearly all of its tokens lie in supported leaves
+    covered = held.where(F.col("campo") == body).join(support.where(F.col("campo") == body).select("leaf", F.lit(True).alias("s")), "leaf", "left")
+    bare = covered.groupBy("r").agg((F.sum(F.when(F.col("s"), F.col("size")).otherwise(0)) >= BARE * F.sum("size")).alias("bare")).where("bare").select("r")
+    bare = cut(bare)
+    in_bare = held.join(bare, "r", "left_semi").groupBy("leaf", "o").agg(F.count("*").alias("x")).groupBy("leaf").agg(F.count("*").alias("b"))
+    share = F.col("b") / F.col("n")
+    # Wilson's lower bound
+    low = (share + Z * Z / (2 * F.col("n")) - Z * F.sqrt(share * (1 - share) / F.col("n") + Z * Z / (4 * F.col("n") * F.col("n")))) / (1 + Z * Z / F.col("n"))
+    notice = cut(support.where(F.col("campo") == body).join(in_bare, "leaf").where(low >= NOTICE_SHARE).select("leaf"))
+    # token weights: a sample of the units of bare records with a notice, against all text
+    mined = held.where(F.col("campo") == body).join(notice, "leaf", "left_semi").select("r").distinct()
+    sample = texts.join(mined.join(bare, "r", "left_semi"), "r", "left_semi").select("r", "texto").dropDuplicates(["texto"]).orderBy("r").limit(SAMPLE)
+    guilty = {row["leaf"] for row in notice.orderBy("leaf").limit(SAMPLE).collect()}
+    found: Counter = Counter()
+    drawn = [row["texto"] for row in sample.select("texto").toLocalIterator()]
+    if drawn:
+        masked, _ = units(pa.array(drawn, pa.string()))
+        path, _ = leaves(masked)
+        found.update(t for x, p in zip(masked.to_pylist(), path.tolist(), strict=True) if p in guilty for t in x.split())
+    seen = found + known_tokens()
+    others = Counter({row["token"]: row["n"] for row in read.where(F.col("token").isin(list(seen))).groupBy("token").agg(F.sum("n").alias("n")).collect()})
+    weights = token_weights(seen, Counter({t: max(others.get(t, 0) - found.get(t, 0), 0) for t in others}) if others else Counter())
+    close = cut(texts.select("r", "texto").mapInArrow(lambda b: _close(b, weights, LEAST_SCORE / 2), "r long, leaf long, sure boolean, nameless boolean"))
+    titles = support.where(F.col("campo") == title).select("leaf")
+    guilty_records = (
+        records.where("slot").select("r")
+        .unionByName(held.join(notice, "leaf", "left_semi").select("r"))
+        .unionByName(close.where("sure").select("r"))
+        .unionByName(close.where("nameless").select("r", "leaf").join(titles, "leaf", "left_semi").join(whose.where(F.col("campo") == title).select("r"), "r", "left_semi").select("r"))
+        .distinct()
+    )
+    return whose.where(F.col("campo").isin(list(columns))).join(guilty_records, "r", "left_semi").select(F.col("k").alias(key), "campo")

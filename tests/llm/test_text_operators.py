@@ -91,6 +91,43 @@ def test_residue(spark):
     assert residue.residue(df.where("false")).count() == 0
 
 
+def _newsroom(n=60):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    article = lambda: "\n".join(" ".join(["la", *(word() for _ in range(12))]) + "." for _ in range(4))
+    return [(i, f"m{i % 7}", f"Un título {word()} {word()}", article() + "\nSíguenos en redes") for i in range(n)], article
+
+
+def test_notices_on_no_list_are_mined(spark):
+    rows, article = _newsroom()
+    # wordings unknown to the operator: they stand alone in several records, once beside text
+    rows += [(200 + i, "m1", f"Otro título {'abcdefgh'[i]}", f"Servidor saturado, vuelva dentro de unos instantes\nTurno {i}77") for i in range(8)]
+    rows += [(300, "m2", "Un caso mixto", article() + "\nServidor saturado, vuelva dentro de unos instantes")]
+    # furniture alone on a page is no notice, nor is an article captured six times, nor are leads that begin like notices
+    rows += [(400, "m3", "Solo enlaces", "Síguenos en redes")] + [(410 + i, "m4", "El mismo", rows[0][3]) for i in range(6)]
+    rows += [(420, "m4", "Obras", "Acceso restringido al centro histórico desde mañana por las obras del puente viejo."), (421, "m4", "Web", "La página no existe para los vecinos del barrio que siguen sin conexión, dijo el alcalde.")]
+    df = spark.createDataFrame(rows, NOTES)
+    found = sorted({(r["id"], r["campo"]) for r in residue.residue(df).collect()})
+    assert found == [*((200 + i, "cuerpo") for i in range(8)), (300, "cuerpo")]
+
+
+def test_titles_of_a_notice(spark):
+    rows, article = _newsroom()
+    rows += [(500 + i, "m5", "Nota sin redactar aquí", article()) for i in range(6)] + [(600 + i, "m5", "Editorial", article()) for i in range(6)]
+    rows += [(700, "m5", "404 Not Found", article()), (701, "m5", "Título de la nota aquí", None)]
+    found = {(r["id"], r["campo"]) for r in residue.residue(spark.createDataFrame(rows, NOTES)).collect()}
+    assert {(700, "titular"), (701, "titular")} <= found and not {x for x in found if 600 <= x[0] < 700 or x[0] < 100}
+
+
+def test_masked_units_and_paths():
+    import pyarrow as pa
+
+    masked, rows = residue.units(pa.array(["Ayer Ana Ruiz dijo «Hola. Sí» en 3f2. Otra vez\n404 Not Found", ""]))
+    assert masked.to_pylist() == ["ayer 1 dijo 0 en 0", "otra vez", "0 not found", ""] and rows.tolist() == [0, 0, 0, 1]
+    path, size = residue.leaves(pa.array(["a b", "a b", "a", ""]))
+    assert path[0] == path[1] != path[2] and size.tolist() == [2, 2, 1, 0]
+
+
 def test_repeated_lines(spark):
     rows = [(i, "m", None, f"Línea propia {chr(97 + i)}\n  SÍGUENOS en {i}\xa0redes ") for i in range(8)] + [(20, None, None, "Síguenos en 3 redes"), (21, "m", None, None), (22, "m", None, ""), (0, "m", None, "síguenos en 99 redes\nsíguenos en 7 redes")]
     df = spark.createDataFrame(rows, NOTES).selectExpr("*", "1 h", "2 linea")
