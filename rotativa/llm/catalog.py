@@ -93,8 +93,12 @@ def p10_passages(spark: SparkSession, directory: str) -> DataFrame:
     return spans.passages(table(spark, directory, "documents", "doc_id", "text"))
 
 
+def p10_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return spans.membership(table(spark, directory, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10_passages}
+    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10_passages, "p10_classes": p10_classes}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.

@@ -163,12 +163,58 @@ def test_shared_spans_against_brute_force(spark):
     assert len(share) == len(documents) and share[50]["share"] == 1.0 and share[52]["shared_chars"] == 0 and share[56]["shared_chars"] == 0
     assert share[55]["shared_chars"] == 4000
     assert spans.document_pairs(df.where("false")).count() == 0
+    member = {r["doc_id"]: r for r in spans.membership(df).collect()}
+    assert member[50]["class_id"] == member[0]["class_id"] == 0 and member[50]["copies"] == 3
+    degree = {d: sum(d in p for p in expected) for d in member}
+    assert {d: r["links"] for d, r in member.items()} == degree and 52 not in member
+
+
+def test_hot_seeds_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(16)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ñé日") for _ in range(n))
+    notice, long = noise(150), noise(320)
+    # a notice that all hold makes no pair; a stretch around it that some hold does
+    texts = [noise(rng.randrange(100, 300)) + (notice if i % 3 else noise(90) + notice + noise(10) + long[:150] + notice + long[150:]) + noise(rng.randrange(100, 300)) for i in range(30)]
+    rows = list(enumerate(texts))
+    expected = {(a, b) for a, x in rows for b, y in rows if a < b and any(x[k : k + 300] in y for k in range(len(x) - 299))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert expected
+    for hot in (64, 2):
+        monkeypatch.setattr(spans, "HOT", hot)
+        assert {tuple(r) for r in spans.document_pairs(df).collect()} == expected
+
+
+def test_minimizers_are_the_first_smallest_of_each_window():
+    rng = random.Random(2)
+    for _ in range(60):
+        codes = np.array([rng.randrange(2 if rng.random() < 0.5 else 50) for _ in range(rng.randrange(0, 80))], np.uint32)
+        h = polynomial(codes, 4)
+        expected = {min(range(j, j + 7), key=lambda p: (h[p], p)) for j in range(len(h) - 6)}
+        assert set(spans.minimizers(codes, 4, 7)[0].tolist()) == expected
+
+
+def test_passages_with_an_edit_in_a_hundred_characters(spark):
+    rng = random.Random(14)
+    noise = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz ñé") for _ in range(n)]
+    rows, expected = [], set()
+    for i in range(60):
+        passage = noise(rng.randrange(600, 1500))
+        edited = list(passage)
+        for at in range(50, len(edited), 100):
+            edited[at] = rng.choice(["", "#", "##"])
+        rows += [(2 * i, "".join([*noise(200), *passage, *noise(200)])), (2 * i + 1, "".join([*noise(99), *edited, *noise(300)]))]
+        expected.add((2 * i, 2 * i + 1))
+    found = {(r["doc_id_a"], r["doc_id_b"]): r for r in spans.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) <= expected and len(found) >= 0.9 * len(expected)
+    assert all(not r["exact"] and r["identity"] > 0.95 for r in found.values())
 
 
 def test_chain_takes_ordered_matches():
     score, best = spans.chain([(0, 0), (100, 100), (200, 20), (300, 300), (300, 300)], 50)
     assert best == [(0, 0), (100, 100), (300, 300)] and score > 50
     assert spans.chain([(5, 7)], 50) == (50.0, [(5, 7)])
+    made = spans.chains([(0, 0), (100, 100), (200, 20), (300, 300)], 50)
+    assert [sorted(m) for _, m in made] == [[(0, 0), (100, 100), (300, 300)], [(200, 20)]]
 
 
 def test_band_count_follows_the_collision_curve():
