@@ -39,19 +39,21 @@ def summary(edges: DataFrame) -> DataFrame:
     return nodes.crossJoin(size).select("nodes", "edges", F.round(F.when(n > 1, 2.0 * e / (n * (n - 1.0))).otherwise(0.0), 4).alias("density"), F.round(F.when(n > 0, 2.0 * e / n).otherwise(0.0), 4).alias("mean_degree"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): connected components by least label, with a jump to the label's label each round."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): connected components by least label, with a jump to the label's label each round, to the end.
+
+    Labels only fall and jumps double the way they travel, so the rounds end after some log2 of the longest path.
+    """
     links = cut(both_ways(edges).select("src", "dst").distinct())
     labels = cut(links.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(rounds):
+    changed = 1
+    while changed:
         seen = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("_near"))
         nearer = labels.join(seen, labels["node"] == seen["src"]).select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
         jump = nearer.select(F.col("node").alias("_k"), F.col("component").alias("_to"))
         new = cut(nearer.join(jump, nearer["component"] == jump["_k"], "left").select("node", F.least("component", F.coalesce("_to", "component")).alias("component"), "_old"))
         changed = new.where("component != _old").limit(1).count()
         labels = new.select("node", "component")
-        if not changed:
-            break
     return labels
 
 

@@ -21,21 +21,22 @@ def tables(results: dict[str, DataFrame], path: str) -> None:
 
 
 def node_link(nodes: DataFrame, edges: DataFrame, most: int = 300) -> DataFrame:
-    """One JSON document of at most ``most`` nodes, the strongest first, and the edges among them."""
+    """One JSON document of at most ``most`` nodes, the strongest first, the edges among them, and how many nodes there are in all."""
     kept = nodes.orderBy(F.desc("strength"), "node").limit(most)
     inner = edges.join(F.broadcast(kept.select(F.col("node").alias("src"))), "src", "left_semi").join(F.broadcast(kept.select(F.col("node").alias("dst"))), "dst", "left_semi")
     n = kept.agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("id"), "degree", "strength"))).alias("nodes"))
     e = inner.agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "weight"))).alias("links"))
-    return n.crossJoin(e).select(F.to_json(F.struct("nodes", "links")).alias("json"))  # one row each
+    total = nodes.agg(F.count("*").alias("nodes_total"))
+    return n.crossJoin(e).crossJoin(total).select(F.to_json(F.struct("nodes", "links", "nodes_total")).alias("json"))  # one row each
 
 
 def gexf(nodes: DataFrame, edges: DataFrame, most: int = 300) -> str:
-    """A graph of at most ``most`` nodes as a GEXF document."""
+    """A graph of at most ``most`` nodes, the strongest first, as a GEXF document that says how many there are in all."""
     kept = nodes.orderBy(F.desc("strength"), "node").limit(most)
     names = [r["node"] for r in kept.select("node").collect()]
     place = {n: i for i, n in enumerate(names)}
     inner = edges.join(F.broadcast(kept.select(F.col("node").alias("src"))), "src", "left_semi").join(F.broadcast(kept.select(F.col("node").alias("dst"))), "dst", "left_semi")
-    lines = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>']
+    lines = ['<?xml version="1.0" encoding="UTF-8"?>', f"<!-- {len(names)} of {nodes.count()} nodes -->", '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>']
     lines += [f'<node id="{i}" label={quoteattr(n)}/>' for n, i in place.items()]
     lines += ["</nodes><edges>"]
     lines += [f'<edge id="{k}" source="{place[r["src"]]}" target="{place[r["dst"]]}" weight="{r["weight"]}"/>' for k, r in enumerate(inner.orderBy("src", "dst").toLocalIterator())]

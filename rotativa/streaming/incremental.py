@@ -5,19 +5,24 @@ Windows are an extension over the events table; batches of new notes stand for t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotativa.functions import text as T
+from rotativa.session import shared_folder
 
 
 def state_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state in the session's shared checkpoint folder; a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='rotativa-stream-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a stream's state in the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +62,8 @@ def ingest(stream: DataFrame, path: str, key: str = "url", text: str = "cuerpo",
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  the table does not exist before its first batch
-            stored = None
+        # the table does not exist before its first batch; one that cannot be read is an error
+        stored = spark.read.parquet(path) if exists(spark, path) else None
         fresh = new_notes(batch, stored, key, text, order).persist()
         fresh.count()
         fresh.write.mode("append").parquet(path)
