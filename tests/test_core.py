@@ -130,7 +130,7 @@ def test_entities_and_graph(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1, 1) for i in range(60)] + [(100, 101, 1)], "src int, dst int, weight int")
-    found = {r["node"]: r["component"] for r in graph.components(edges, 60).collect()}
+    found = {r["node"]: r["component"] for r in graph.components(edges).collect()}
     assert set(found.values()) == {0, 100} and found[60] == 0
 
 
