@@ -1,61 +1,63 @@
 """Page furniture mixed with main content, by differencing each page with its nearest pages by URL.
 
-Pages are put in order of their URL path within each host and table, and each page is aligned with its next
-``NEIGHBOURS`` pages: the longest common subsequence of their lines. Lines of one template count as equal:
-a line's signature masks names and numbers, drops letters that a wrong decoding may have changed, and takes
-lists, labelled lines and numbered items by their form and long lines by their opening. Lines found in common
-are furniture for that pair; long lines only if they are alike as a whole, by MinHash over all their words. As
-one pair may share too little, the evidence is pooled: for each signature, the share of alignments in which it
-was found in common decides, and lines are deleted by that verdict; long lines only if they are like the lines
-that brought it about, so that an article's sentence with the same opening stays. A long line's opening that
-also starts sentences inside paragraphs belongs to running text and is never deleted.
-A headline without full stop goes with the heading of its block.
-
-Only hashes of signatures are shuffled. Ordering is a range partitioning by (table, host, path), so that a
-host with a third of all pages is spread over tasks; verdicts come from partial sums.
+Pages are put in order of their URL path within each host and table, and each page is aligned with the
+``NEIGHBOURS`` pages before and after it: the longest common subsequence of their lines. What two lines share need
+not be every letter, so a line stands in the sequence by its keys:
+
+* itself, as it is written on its host (numbers apart);
+* a short line, its words with names and numbers masked; a line of listed parts, each part like a short line;
+  a line that begins with a head parted by a sign ("Tags:", "3.", "[Video]"), the head;
+* a long line, the bands of a MinHash sketch over all its words, so that lines of one wording meet whatever
+  fills their slots.
+
+Keys in the common subsequence are shared by that pair of pages. One pair may share a line by chance, and a page
+may lie beside pages without one of its lines, so verdicts are per key: the share of the alignments of its pages in
+which it was in common, at the lower end of its confidence interval, over each host and over the whole table. Lines
+whose keys are shared are deleted; of a list, if most of its parts are. A key under which sentences
+stand in the midst of paragraphs, or twice on a page, belongs to running text and deletes nothing. A headline without full stop goes
+with the heading of its block.
+
+Only hashes are shuffled. Ordering is a range partitioning by (table, host, path, id), so that a host with a third
+of all pages, or pages without URL, are spread over tasks; the pages at the borders of the partitions are aligned
+across them in a second step, so that the pairs do not depend on the partitions. Verdicts come from partial sums.
 
 Defined results: null and empty texts have no lines, blank lines are never reported; pages without URL form
-one group by their table; very long pages are aligned like any other (bit-parallel, linear in memory).
+one group by their table; very long pages are aligned like any other (bit-parallel, linear in memory). Pages that
+share most of their long lines are captures of one page and tell nothing of each other.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotativa.llm.arrays import slices
 from rotativa.session import bounded_broadcast, cut
 
 #: Pages that follow a page in URL order and are aligned with it.
-NEIGHBOURS = 2
-#: Least share of alignments in which a signature is found in common, for short lines, openings and whole lines of one host.
-SHORT_RATE, OPENING_RATE, HOST_RATE = 0.015, 0.01, 0.03
-LEAST_MATCHES = 2
-#: Pages that share this part of their whole lines are captures of one page; they tell nothing.
-COPY = 0.7
-#: Openings that start sentences inside paragraphs at least this often, as against starting lines, are running text.
-INNER_RATIO = 0.1
-#: Tokens of an opening, and of a line that is taken by its opening.
-OPENING, LONG = 4, 8
-#: Longer lines are compared whole as they are, shorter ones after masking.
-PARAGRAPH = 300
-#: Values of a long line's sketch, the least that two lines alike have in common, and the share of an opening's
-#: confirmed matches in which a value must stand to be part of its form.
-SKETCH, ALIKE, FORM_SHARE = 24, 12, 0.1
-SHORT_KIND, OPENING_KIND, HOST_KIND = 0, 1, 2
-
-_ODD = np.random.default_rng(11).integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
-
+NEIGHBOURS = 6
+#: Least share of alignments, less ``Z`` deviations, in which a key is in common: of short lines, of long lines, of
+#: whole lines of one host.
+SHORT_RATE, LONG_RATE, HOST_RATE, Z = 0.0065, 0.0095, 0.03, 2.0
+#: Part of their long lines that captures of one page share; part of a list's parts that must be shared.
+COPY, PARTS = 0.7, 0.6
+#: Keys whose sentences stand inside paragraphs at least this often, as against making a line, are running text.
+#: and the share of such lines at which a key is.
+INNER_RATIO, RUNNING_SHARE = 0.1, 0.25
+#: Tokens of a long line; bands of its sketch and values in each, and bands that must be shared.
+LONG, BANDS, ROWS, LEAST_BANDS = 8, 16, 3, 2
+HOST_KIND, SHORT_KIND, LONG_KIND = 0, 1, 2
+
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LIST = re.compile(r"\s+[·|>/•–—\-]\s+|\s{2,}")
-_LABEL = re.compile(r"^(\[[^\]\n]{2,12}\]|[^\W\d][^.:→–—|·>,;«»\"“”¿?¡!()\d]{1,28}?)\s?(?::|→|–|—|·)(?=\s|$)|^(\[[^\]\n]{2,12}\])\s")
-_ITEM = re.compile(r"^\d{1,2}[.)]\s")
+_HEAD = re.compile(r"^(\d{1,2}[.)]|\[[^\]\n]{2,12}\]|[^\W\d][^.:→–—|·>,;«»\"“”¿?¡!()\d]{1,28}?\s?(?::|→|–|—|·))(?=\s|$)")
 _SENTENCE = re.compile(r"(?<=[.!?”»\"])\s+(?=[^\W_a-záéíóúñü]|[«¿¡“\"])")
 _TERMINAL = re.compile(r"[.!?…”»\")\]]$")
 _SIGN = re.compile(r"(?<![^ ])[^\x00-\x7f]{1,8}(?![^ ])")
@@ -68,10 +70,9 @@ def _plain(text: str) -> str:
     return text.encode("ascii", "ignore").decode().replace("?", "").lower()
 
 
-def masked_tokens(text: str, limit: int | None = None) -> list[str]:
-    """Tokens with names and numbers masked; runs of names are one."""
-    # runs of names count as one, so an opening may take more tokens than it keeps
-    tokens = text.split(None, 5 * limit)[: 5 * limit] if limit else text.split()
+def masked(text: str) -> str:
+    """The words of a line with names and numbers masked; runs of names are one."""
+    tokens = text.split()
     upper = len(text) > 5 and text.isupper()
     out: list[str] = []
     for i, token in enumerate(tokens):
@@ -86,56 +87,58 @@ def masked_tokens(text: str, limit: int | None = None) -> list[str]:
             word = "A"
         else:
             word = _plain(core).strip(".,;:\"')]")
-        if word == "A" and out and out[-1] == "A":
-            continue
-        if word:
+        if word and not (word == "A" and out and out[-1] == "A"):
             out.append(word)
-        if limit and len(out) >= limit:
-            break
-    return out
-
-
-def _hash(kind: int, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{kind}|{text}") - (1 << 63)
-
+    return " ".join(out)
 
-def opening(text: str) -> str:
-    return " ".join(masked_tokens(text, OPENING))
 
-
-def common_words(line: str) -> list[str]:
+def wording(line: str) -> list[str]:
     """The words of a whole line but for names, numbers and quoted titles, which fill a template's slots."""
-    line = line.lower() if line.isupper() else line
+    if line.isupper():
+        line = line.lower()
+    # a line that is all quotation has no frame to compare
     for text in (_QUOTED.sub(" ", line), line):
-        words = text.encode("ascii", "ignore").decode().replace("?", "").split()
-        found = [w for w in (x.strip(".,;:\"')(") for x in words) if "a" <= w[:1] <= "z"]
-        # a line that is all quotation has no frame to compare
-        if len(found) >= OPENING:
+        tokens = text.split()
+        kept = [t for i, t in enumerate(tokens) if not i or not t.lstrip("«“\"'(¿¡[")[:1].isupper()]
+        found = [w for w in (x.strip(".,;:\"')(") for x in _plain(" ".join(kept)).split()) if "a" <= w[:1] <= "z"]
+        if len(found) >= ROWS:
             break
     return found
 
 
-def sketches(lines: list[str]) -> list[list[int]]:
-    """MinHash of the words of each line; a value holds its place, so that values in common are a set operation."""
-    words = [common_words(x) or [""] for x in lines]
+def sketch_bands(lines: list[list[str]]) -> np.ndarray:
+    """A key for each band of the MinHash sketch of each line's words; lines of the same words have the same keys."""
+    words = [x or [""] for x in lines]
     if not words:
-        return []
+        return np.empty((0, BANDS), np.int64)
     coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     starts = np.cumsum([0, *(len(x) for x in words[:-1])])
     codes = coded.indices.to_numpy()
-    out = np.empty((len(lines), SKETCH), np.int16)
+    out = np.zeros((len(lines), BANDS), np.uint64)
     for place, odd in enumerate(_ODD):
         mixed = table * odd
         mixed ^= mixed >> np.uint64(32)
         mixed *= odd
-        least = np.minimum.reduceat(mixed[codes], starts)
-        out[:, place] = (least >> np.uint64(20) & np.uint64(255)).astype(np.int16) + 256 * place
-    return out.tolist()
+        band = place // ROWS
+        out[:, band] = (out[:, band] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat(mixed[codes], starts)
+    return (out * np.uint64(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _hash(kind: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{kind}|{text}") - (1 << 63)
 
 
-def line_signatures(line: str, brand: re.Pattern | None) -> tuple[str, int, bool] | None:
-    """(signature, kind, looks like a headline) of a line; None if it is blank."""
+def part_keys(parts: list[str], brand: re.Pattern | None) -> list[str]:
+    spelt = [brand.sub("Zz", p) if brand else p for p in parts]
+    return [masked(p) if len(p.split()) > 1 else _plain(p) for p in spelt]
+
+
+def line_keys(line: str, brand: re.Pattern | None) -> tuple[list[str], int, int, bool, str] | None:
+    """(short keys, how many must be shared of how many parts, looks like a headline, the line to sketch or nothing); None if blank.
+
+    Keys after the parts stand for the line by themselves.
+    """
     raw = re.sub(r"[^\S\n]", " ", line).strip()
     if not raw:
         return None
@@ -143,48 +146,69 @@ def line_signatures(line: str, brand: re.Pattern | None) -> tuple[str, int, bool
     raw = _SIGN.sub(lambda m: m[0] if m[0].isalpha() or m[0] in "·•→–—«»" else "·", raw)
     squeezed = " ".join(raw.split())
     text = brand.sub("ZZ" if squeezed.isupper() else "Zz", squeezed) if brand else squeezed
-    if _ITEM.match(text):
-        return "#item", SHORT_KIND, False
     tokens = text.split()
     ended = bool(_TERMINAL.search(text))
     parts = [] if ended else [p for p in _LIST.split(raw.strip(" ·|>/•–-")) if p]
     if len(parts) >= 3 and all(len(p.split()) <= 6 and len(p) <= 40 for p in parts):
-        return "#list", SHORT_KIND, False
-    if (label := _LABEL.match(text)) and len((label[1] or label[2]).split()) <= 6:
-        return "#label " + _plain(label[1] or label[2]), SHORT_KIND, not ended and len(tokens) >= 5
-    if len(tokens) >= 3 and not ended and not text.isupper() and sum(t[0].isupper() or not t[0].isalnum() for t in tokens) >= 0.75 * len(tokens):
-        return "#names", SHORT_KIND, False
+        return part_keys(parts, brand), -int(-PARTS * len(parts) // 1), len(parts), False, ""
+    if (head := _HEAD.match(text)) and len(head[1].split()) <= 7:
+        # numbers of items are one head
+        name = _DIGITS.sub("0", _plain(head[1]).rstrip(" :")) if head[1][:1].isdigit() else _plain(head[1]).rstrip(" :")
+        return [f"{name} *"], 1, 1, not ended and len(tokens) >= 5 and not head[1][:1].isdigit(), ""
+    # parts between commas, or words that are all names of something
+    parts = [] if ended or len(tokens) < 3 or text.isupper() else squeezed.split(", ")
+    if parts and any(len(p.split()) > 3 for p in parts):
+        parts = squeezed.split() if sum(t[:1].isupper() for t in tokens) >= 0.75 * len(tokens) else []
+    if len(parts) >= 3:
+        whole = [masked(text)] if len(tokens) < LONG or all(" " not in p for p in parts) else []
+        return [*part_keys(parts, brand), *whole], -int(-PARTS * len(parts) // 1), len(parts), False, ""
     if len(tokens) < LONG:
-        short = masked_tokens(text)
         # a line of one word keeps it
-        return " ".join(short) if len(tokens) > 1 else _plain(text), SHORT_KIND, not ended and len(tokens) >= 5
-    return opening(text), OPENING_KIND, not ended
-
-
-def page_lines(text: str, host: str, brand: re.Pattern | None) -> tuple[list[int], list[tuple[int, int, int]], list[int], list[tuple[int, str]]]:
-    """(alignment signatures, (line, kind, signature) of each line, inner openings, (place, line) of the long lines) of a page."""
-    aligned: list[int] = []
-    long: list[tuple[int, str]] = []
-    rows: list[tuple[int, int, int]] = []
-    inner: list[int] = []
-    opener: int | None = None
-    for number, line in enumerate(text.split("\n")):
-        found = line_signatures(line, brand)
-        if found is None:
-            continue
-        name, kind, headline = found
-        signature = _hash(kind, name)
-        whole = _hash(HOST_KIND, host + "|" + (line.strip() if len(line) > PARAGRAPH else _DIGITS.sub("0", _plain(" ".join(line.split())))))
-        aligned.append(signature)
-        rows += [(number, kind, signature), (number, HOST_KIND, whole)]
-        if headline and opener is not None:
-            rows.append((number, SHORT_KIND, opener))
-        elif name != "#item":
-            opener = signature if kind == SHORT_KIND and not name.startswith("#") and len(name.split()) <= 4 else None
-        if kind == OPENING_KIND:
-            inner += [_hash(OPENING_KIND, opening(line[m.end() :])) for m in _SENTENCE.finditer(line)]
-            long.append((len(aligned) - 1, brand.sub("Zz", line) if brand else line))
-    return aligned, rows, inner, long
+        return [masked(text) if len(tokens) > 1 else _plain(text)], 1, 1, not ended and len(tokens) >= 5, ""
+    return [], 1, 1, not ended, text
+
+
+def page_keys(texts: list[str], hosts: list[str], brand: re.Pattern | None) -> list[tuple[list[tuple], list[int], list[int]]]:
+    """For each page: rows (line, part, parts wanted, kind, key, key of its first sentence), keys of sentences inside paragraphs, keys of its long lines."""
+    pages, sketched = [], []
+    for text, host in zip(texts, hosts, strict=True):
+        rows: list[tuple[int, int, int, int, int | None]] = []
+        inner: list[int] = []
+        long: list[int] = []
+        opener: int | None = None
+        for number, line in enumerate(text.split("\n")):
+            found = line_keys(line, brand)
+            if found is None:
+                continue
+            short, wanted, parts, headline, whole = found
+            own = _hash(HOST_KIND, host + "|" + _DIGITS.sub("0", _plain(" ".join(line.split()))))
+            rows.append((number, 0, 1, HOST_KIND, own))
+            keys = [_hash(SHORT_KIND, x) for x in short]
+            rows += [(number, i, 1 if i >= parts else wanted, SHORT_KIND, k) for i, k in enumerate(keys)]
+            if headline and opener is not None:
+                rows.append((number, 0, 1, SHORT_KIND, opener))
+            elif not short or not short[0].startswith("0"):
+                opener = keys[0] if len(keys) == 1 and len(short[0].split()) <= 4 and not short[0].endswith("*") else None
+            if whole:
+                long.append(own)
+                rows.append((number, len(sketched), LEAST_BANDS, LONG_KIND, None))
+                sketched.append(wording(whole))
+                opening, *others = _SENTENCE.split(whole)
+                sketched.append(wording(opening) if others else sketched[-1])
+                inner += range(len(sketched), len(sketched) + len(others))
+                sketched += map(wording, others)
+        pages.append((rows, inner, long))
+    bands = sketch_bands(sketched).tolist()
+    out = []
+    for rows, inner, long in pages:
+        full = []
+        for n, part, wanted, kind, key in rows:
+            full += [(n, part, wanted, kind, key, None)] if key is not None else [(n, b, wanted, kind, k, f) for b, (k, f) in enumerate(zip(bands[part], bands[part + 1], strict=True))]
+        # furniture stands once on a page; wording that a page uses again is running text
+        first = [r[5] for r in full if r[5] is not None]
+        again = [k for k, n in Counter(first).items() if n > 1 for _ in range(n - 1)]
+        out.append((full, [*again, *(k for i in inner for k in bands[i])], long))
+    return out
 
 
 def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -221,94 +245,197 @@ def brand_pattern(brands: list[str]) -> re.Pattern | None:
 
 def _pages(batches: Iterator[pa.RecordBatch], brands: list[str]) -> Iterator[pa.RecordBatch]:
     brand = brand_pattern(brands)
-    whole = pa.list_(pa.int16())
-    line = pa.list_(pa.struct([("n", pa.int32()), ("k", pa.int32()), ("s", pa.int64()), ("w", whole)]))
+    line = pa.list_(pa.struct([("n", pa.int32()), ("u", pa.int32()), ("q", pa.int32()), ("k", pa.int32()), ("s", pa.int64()), ("f", pa.int64())]))
+    many = pa.list_(pa.int64())
     for batch in batches:
         for part in slices(batch, 4):
-            pages = [page_lines(text, host or "", brand) for text, host in zip(part.column(4).to_pylist(), part.column(2).to_pylist(), strict=True)]
-            made = iter(sketches([x for page in pages for _, x in page[3]]))
-            columns: tuple[list, list, list, list] = ([], [], [], [])
-            for aligned, rows, inner, long in pages:
-                own = {place: next(made) for place, _ in long}
-                columns[0].append(aligned)
-                columns[1].append([own.get(i) for i in range(len(aligned))])
-                at = -1
-                lines = []
-                for n, k, s in rows:
-                    at += k == HOST_KIND
-                    lines.append({"n": n, "k": k, "s": s, "w": own[at + 1] if k == OPENING_KIND else None})
-                columns[2].append(lines)
-                columns[3].append(inner)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.list_(whole)), pa.array(columns[2], line), pa.array(columns[3], pa.list_(pa.int64()))], ["tabla", "id", "host", "path", "aligned", "whole", "lines", "inner"])
+            made = page_keys(part.column(4).to_pylist(), [h or "" for h in part.column(2).to_pylist()], brand)
+            lines = pa.array([[dict(zip("nuqksf", r, strict=True)) for r in rows] for rows, _, _ in made], line)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), lines, pa.array([x for _, x, _ in made], many), pa.array([x for _, _, x in made], many)], ["tabla", "id", "host", "path", "lines", "inner", "long"])
+
+
+Page = tuple[str, str, list[int], list[int], set[int], set[int]]
+
+
+def shared_keys(a: Page, b: Page) -> set[int] | None:
+    """Keys in the longest common subsequence of two pages; None for captures of one page."""
+    if a[5] and b[5] and len(a[5] & b[5]) >= COPY * min(len(a[5]), len(b[5])):
+        return None
+    common = a[4] & b[4]
+    if len(common) < 2:
+        return common
+    # keys of one page only are in no common subsequence
+    x, y = [k for k in a[2] if k in common], [k for k in b[2] if k in common]
+    left, _ = common_lines(x, y)
+    return {x[i] for i in left}
+
+
+class Evidence:
+    """Alignments of the pages of each (table, host, key) and those in which the key was in common."""
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple[str, str, int], int] = defaultdict(int)
+        self.matched: dict[tuple[str, str, int], int] = defaultdict(int)
+
+    def pair(self, a: Page, b: Page) -> bool:
+        shared = shared_keys(a, b)
+        for k in shared or ():
+            self.matched[*a[:2], k] += 2
+        return shared is not None
+
+    def page(self, page: Page, alignments: int) -> None:
+        if alignments:
+            for k in page[4]:
+                self.seen[*page[:2], k] += alignments
+
+    def rows(self) -> pa.RecordBatch:
+        keys = list(self.seen.keys() | self.matched.keys())
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        columns += [pa.array([d.get(k, 0) for k in keys], pa.int64()) for d in (self.seen, self.matched)]
+        size, none = len(keys), pa.nulls
+        self.seen.clear()
+        self.matched.clear()
+        return pa.RecordBatch.from_arrays([*columns, none(size, pa.int32()), none(size, pa.int64()), none(size, pa.list_(pa.int64())), none(size, pa.list_(pa.int64()))], NAMES)
+
+
+NAMES = ["tabla", "host", "s", "seen", "matched", "part", "place", "keys", "long"]
+KINDS = "tabla string, host string, s long, seen long, matched long, part int, place long, keys array<long>, long array<long>"
 
 
 def _differences(batches: Iterator[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
-    """(tabla, s, v, seen, matched): alignments of each signature and those in which it was in common.
+    """Counts of the pairs inside a partition, and the pages of each group near the partition's borders.
 
-    Rows with a ``v`` count the values of the sketches of an opening's confirmed matches, the others have -1.
+    A page with all its neighbours inside the partition is done; of the others the number of alignments made is
+    kept with the page, and its pairs across the border are made by ``_across``.
     """
-    seen: dict[tuple[str, int], int] = defaultdict(int)
-    matched: dict[tuple[str, int], int] = defaultdict(int)
-    forms: dict[tuple[str, int, int], int] = defaultdict(int)
-    before: list[tuple[str, str, list[int], list, list[int]]] = []
+    from pyspark import TaskContext
+
+    part, place = TaskContext.get().partitionId(), 0
+    evidence = Evidence()
+    # the last pages of the group with their number of alignments, and the first ones
+    near: list[list] = []
+    first: list[list] = []
+    opening = True
+
+    def edge(held: list[list]) -> pa.RecordBatch:
+        pages = [h[0] for h in held]
+        size = len(held)
+        kind = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pages], pa.string()), pa.array([p[1] for p in pages], pa.string()), pa.nulls(size, pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.nulls(size, pa.int64()), pa.array([part] * size, pa.int32()), pa.array([h[2] for h in held], pa.int64()), pa.array([p[2] for p in pages], kind), pa.array([p[3] for p in pages], kind)], NAMES)
+
+    def close(last: bool) -> Iterator[pa.RecordBatch]:
+        held = {h[2]: h for h in first + near}
+        # a group between two others cannot go on in another partition
+        if held and (last or opening):
+            yield edge([held[k] for k in sorted(held)])
+        else:
+            for h in held.values():
+                evidence.page(h[0], h[1])
+
+    for batch in batches:
+        for tabla, host, keys, long in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            page: Page = (tabla, host, keys, long, set(keys), set(long))
+            if near and near[-1][0][:2] != page[:2]:
+                yield from close(False)
+                near, first, opening = [], [], False
+            entry = [page, 0, place]
+            place += 1
+            for other in near:
+                if evidence.pair(other[0], page):
+                    other[1] += 1
+                    entry[1] += 1
+            if len(first) < neighbours:
+                first.append(entry)
+            near.append(entry)
+            if len(near) > neighbours:
+                done = near.pop(0)
+                # one of the first may have neighbours in the partition before
+                if not any(done is x for x in first):
+                    evidence.page(done[0], done[1])
+        if len(evidence.seen) + len(evidence.matched) > 500_000:
+            yield evidence.rows()
+    yield from close(True)
+    yield evidence.rows()
+
+
+def _across(batches: Iterator[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the pages near borders: their pairs across partitions, and all their alignments."""
+    evidence = Evidence()
+    near: list[list] = []
     for batch in batches:
-        for tabla, host, aligned, whole, lines in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            before = [p for p in before if p[:2] == (tabla, host)][-neighbours:]
-            for _, _, other, others, wholes in before:
-                if len(set(wholes) & set(lines)) >= COPY * min(len(wholes), len(lines)):
+        for tabla, host, made, part, place, keys, long in zip(*(batch.column(c).to_pylist() for c in ("tabla", "host", "seen", "part", "place", "keys", "long")), strict=True):
+            page: Page = (tabla, host, keys, long, set(keys), set(long))
+            if near and near[-1][0][:2] != page[:2]:
+                for done in near:
+                    evidence.page(done[0], done[1])
+                near = []
+            entry = [page, made, part, place]
+            # places count within a partition; what lies between two pages of one partition is no border
+            for back, other in enumerate(reversed(near), 1):
+                if back > neighbours or (other[2] != part and back > neighbours):
+                    break
+                if other[2] == part:
+                    if place - other[3] != back:
+                        break
                     continue
-                left, right = common_lines(other, aligned)
-                for x in (*other, *aligned, *wholes, *lines):
-                    seen[tabla, x] += 1
-                for i, j in zip(left, right, strict=True):
-                    if (a := others[i]) is not None:
-                        # the same opening is no evidence unless the lines are alike as a whole
-                        if len(set(a).intersection(whole[j])) < ALIKE:
-                            continue
-                        for v in (*a, *whole[j]):
-                            forms[tabla, other[i], v] += 1
-                    matched[tabla, other[i]] += 2
-                for x in set(wholes) & set(lines):
-                    matched[tabla, x] += 2
-            before.append((tabla, host, aligned, whole, lines))
-        if len(seen) + len(forms) > 500_000:
-            yield _counted(seen, matched, forms)
-            for counts in (seen, matched, forms):
-                counts.clear()
-    if seen:
-        yield _counted(seen, matched, forms)
-
-
-def _counted(seen: dict, matched: dict, forms: dict) -> pa.RecordBatch:
-    keys = [*((*k, -1) for k in seen), *forms]
-    counts = [*((n, matched.get(k, 0)) for k, n in seen.items()), *((0, n) for n in forms.values())]
-    columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int16()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(2))]
-    return pa.RecordBatch.from_arrays(columns, ["tabla", "s", "v", "seen", "matched"])
-
-
-def furniture(pages: DataFrame, brands: list[str], neighbours: int = NEIGHBOURS) -> DataFrame:
+                if evidence.pair(other[0], page):
+                    other[1] += 1
+                    entry[1] += 1
+            near.append(entry)
+            if len(near) > 2 * neighbours:
+                done = near.pop(0)
+                evidence.page(done[0], done[1])
+        if len(evidence.seen) + len(evidence.matched) > 500_000:
+            yield evidence.rows()
+    for done in near:
+        evidence.page(done[0], done[1])
+    yield evidence.rows()
+
+
+def _low(matched: str, seen: str) -> Column:
+    """Lower end of the confidence interval of a share, from the pairs of pages that were in common (Poisson's deviation)."""
+    pairs = F.col(matched) / 2
+    return 2 * (pairs - Z * F.sqrt(pairs)) / F.col(seen)
+
+
+def keys_of(pages: DataFrame, brands: list[str]) -> DataFrame:
+    """(tabla, id, host, path, lines, inner, long) of ``pages(tabla, id, host, path, texto)``; only hashes of the texts."""
+    kind = "array<struct<n:int,u:int,q:int,k:int,s:long,f:long>>"
+    texts = pages.where("texto is not null and texto != ''").select("tabla", F.col("id").cast("long").alias("id"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "texto")
+    return cut(texts.mapInArrow(lambda b: _pages(b, brands), f"tabla string, id long, host string, path string, lines {kind}, inner array<long>, long array<long>"))
+
+
+def evidence(read: DataFrame, neighbours: int = NEIGHBOURS, partitions: int | None = None) -> DataFrame:
+    """(tabla, host, s, seen, matched): for each key, the alignments of the pages that hold it and those in which it was in common."""
+    place = ["tabla", "host", "path", "id"]
+    keyed = read.select(*place, F.transform("lines", lambda x: x["s"]).alias("keys"), "long")
+    ordered = (keyed.repartitionByRange(partitions, *place) if partitions else keyed.repartitionByRange(*place)).sortWithinPartitions(*place)
+    inside = cut(ordered.select("tabla", "host", "keys", "long").mapInArrow(lambda b: _differences(b, neighbours), KINDS))
+    borders = inside.where("part is not null").repartition("tabla", "host").sortWithinPartitions("tabla", "host", "part", "place")
+    across = borders.mapInArrow(lambda b: _across(b, neighbours), KINDS)
+    return inside.where("part is null").unionByName(across).groupBy("tabla", "host", "s").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where("seen > 0 or matched > 0")
+
+
+def furniture(pages: DataFrame, brands: list[str], neighbours: int = NEIGHBOURS, partitions: int | None = None) -> DataFrame:
     """(tabla, id, linea) of the lines that are page furniture; ``pages(tabla, id, host, path, texto)``."""
-    kind = "array<struct<n:int,k:int,s:long,w:array<short>>>"
-    texts = pages.where("texto is not null and texto != ''").select("tabla", F.col("id").cast("long").alias("id"), "host", "path", "texto")
-    read = cut(texts.mapInArrow(lambda b: _pages(b, brands), f"tabla string, id long, host string, path string, aligned array<long>, whole array<array<short>>, lines {kind}, inner array<long>"))
-    ordered = read.select("tabla", "host", "path", "id", "aligned", "whole", F.transform(F.filter("lines", lambda x: x["k"] == HOST_KIND), lambda x: x["s"]).alias("wholes")).repartitionByRange("tabla", "host", "path").sortWithinPartitions("tabla", "host", "path", "id")
-    pairs = ordered.select("tabla", "host", "aligned", "whole", "wholes").mapInArrow(lambda b: _differences(b, neighbours), "tabla string, s long, v short, seen long, matched long")
-    counts = cut(pairs.groupBy("tabla", "s", "v").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where(F.col("matched") > 0))
-    rates = counts.where((F.col("v") < 0) & (F.col("matched") >= 2 * LEAST_MATCHES))
-    # a signature is judged by the table in which it is shared most
-    best = rates.groupBy("s").agg(F.max(F.col("matched") / F.col("seen")).alias("rate"), F.sum("seen").alias("seen"))
-    # an opening's form: the values that its confirmed matches share
-    confirmed = counts.where("v < 0").groupBy("s").agg(F.sum("matched").alias("all"))
-    values = counts.where("v >= 0").groupBy("s", "v").agg(F.sum("matched").alias("n")).join(confirmed, "s").where(F.col("n") >= FORM_SHARE * F.col("all"))
-    forms = values.groupBy("s").agg(F.collect_set("v").alias("form"))
-    flat = read.select(F.explode("lines").alias("l")).select("l.k", "l.s").groupBy("s").agg(F.min("k").alias("k"), F.count("*").alias("first"))
-    inner = read.select(F.explode("inner").alias("s")).groupBy("s").agg(F.count("*").alias("inner"))
-    judged = best.join(flat, "s").join(inner, "s", "left").na.fill(0, ["inner"])
-    least = F.when(F.col("k") == SHORT_KIND, SHORT_RATE).when(F.col("k") == OPENING_KIND, OPENING_RATE).otherwise(HOST_RATE)
-    guilty = cut(judged.where((F.col("rate") >= least) & ~((F.col("k") == OPENING_KIND) & (F.col("inner") >= INNER_RATIO * F.col("first")))).select("s").join(forms, "s", "left"))
-    lines = read.select("tabla", "id", F.explode("lines").alias("l")).select("tabla", "id", F.col("l.n").alias("linea"), F.col("l.s").alias("s"), F.col("l.w").alias("w"))
-    alike = F.col("w").isNull() | (F.size(F.array_intersect("w", "form")) >= ALIKE)
-    return lines.join(bounded_broadcast(guilty, 1_000_000), "s").where(alike).select("tabla", "id", "linea").distinct()
+    read = keys_of(pages, brands)
+    counts = evidence(read, neighbours, partitions)
+    # a key is judged by the table in which it is shared most, over its hosts together and by each host for itself
+    rates = cut(counts.groupBy("tabla", "s").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where("matched > 0"))
+    best = rates.groupBy("s").agg(F.max(_low("matched", "seen")).alias("rate"))
+    lines = read.select("tabla", "id", F.explode("lines").alias("l")).select("tabla", "id", F.col("l.n").alias("linea"), "l.u", "l.q", "l.k", "l.s", "l.f")
+    kinds = lines.groupBy("s").agg(F.min("k").alias("k"))
+    least = F.when(F.col("k") == SHORT_KIND, SHORT_RATE).when(F.col("k") == LONG_KIND, LONG_RATE).otherwise(HOST_RATE)
+    guilty = best.join(kinds, "s").where(F.col("rate") >= least).select("s")
+    hit = cut(lines.join(bounded_broadcast(guilty, 1_000_000), "s"))
+    # sentences that stand inside paragraphs as well as at their beginning are running text, and so are the keys of
+    # lines that mostly begin with such sentences
+    inner = read.select(F.explode("inner").alias("f")).groupBy("f").agg(F.count("*").alias("inner"))
+    running = lines.where("f is not null").groupBy("f").agg(F.count("*").alias("first")).join(inner, "f").where(F.col("inner") >= INNER_RATIO * F.col("first")).select("f", F.lit(1).alias("x"))
+    text = hit.where("f is not null").select("s", "f").join(running, "f", "left").groupBy("s").agg(F.avg(F.coalesce("x", F.lit(0))).alias("share")).where(F.col("share") >= RUNNING_SHARE).select("s")
+    kept = hit.join(text, "s", "left_anti")
+    hit = kept.groupBy("tabla", "id", "linea", "q").agg(F.countDistinct("u").alias("c"))
+    return hit.where("c >= q").select("tabla", "id", "linea").distinct()
 
 
 def url_parts(url: str) -> tuple:

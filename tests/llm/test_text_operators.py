@@ -27,22 +27,31 @@ def test_longest_common_lines_against_brute_force():
         assert left == sorted(left) and right == sorted(right)
 
 
-def test_signatures_group_lines_of_one_template():
+def test_keys_of_lines():
     brand = boilerplate.brand_pattern(["El Faro"])
-    same = lambda a, b: boilerplate.line_signatures(a, brand)[0] == boilerplate.line_signatures(b, brand)[0]
-    assert same("Vida · Cultura · Gente", "Mundo · Salud · Política · Cocina")
-    assert same("Lea también: Otra nota", "Lea también: Una nota muy distinta de la otra")
-    assert same("El Faro es miembro de la red de periódicos de Talgaral hoy", "EL FARO ES MIEMBRO DE LA RED DE PERIÓDICOS DE NARDIL HOY")
-    assert not same("Una pausa", "El contexto")
-    assert boilerplate.line_signatures("  \t ", brand) is None
+    keys = lambda x: boilerplate.line_keys(x, brand)
+    assert keys("Vida · Cultura · Gente")[:3] == (["vida", "cultura", "gente"], 2, 3)
+    assert keys("Lea también: Otra nota")[0] == keys("Lea también: Una nota muy distinta de la otra, con muchas más palabras")[0] == ["lea tambin *"]
+    assert keys("3. Uno")[0] == keys("12. Dos tres")[0] == ["0 *"]
+    assert keys("Una pausa")[0] != keys("El contexto")[0] and keys("  \t ") is None
+    # a long line is taken whole
+    lead = "El presidente del consejo anunció ayer un plan de obras para los barrios del norte"
+    other = "El presidente del consejo desmintió hoy que la empresa haya cerrado sus plantas costeras"
+    bands = boilerplate.sketch_bands([boilerplate.wording(x) for x in (lead, other, lead.replace("ayer", "hoy"))])
+    assert not keys(lead)[0] and (bands[0] == bands[1]).sum() <= 1 and (bands[0] == bands[2]).sum() >= 2
+    whole = boilerplate.sketch_bands([["uno", "dos"], [], ["dos", "uno"]])
+    assert (whole[0] == whole[2]).all() and len(whole) == 3 and len(boilerplate.sketch_bands([])) == 0
 
 
 def _site():
     rng = random.Random(5)
     verbs = ["firmó", "revisó", "frenó", "amplió", "negó", "pidió"]
     rows = []
+    one = lambda: f"{rng.choice(['Ayer', 'Hoy', 'Luego'])} la {rng.choice('abcdefgh')}{rng.randrange(999)} {rng.choice(verbs)} el {rng.choice('abcdefgh')}{rng.randrange(999)} del {rng.randrange(999)}o barrio."
+    two = lambda: f"Después el {rng.randrange(99)}x {rng.choice(verbs)} la {rng.randrange(99)}y."
     for i in range(60):
-        body = [f"{rng.choice(['Ayer', 'Hoy', 'Luego'])} la {rng.choice('abcdefgh')}{rng.randrange(999)} {rng.choice(verbs)} el {rng.choice('abcdefgh')}{rng.randrange(999)} del {rng.randrange(999)}o barrio. Después el {rng.randrange(99)}x {rng.choice(verbs)} la {rng.randrange(99)}y." for _ in range(3)]
+        # running text: its sentences come in any order
+        body = [" ".join(rng.sample([one(), two()], 2)) for _ in range(3)]
         lines = ["Vida · Cultura · Gente · Mundo", *body, f"Etiquetas: {rng.choice(['Ana', 'Luz'])}, Paz", "Reciba cada mañana el boletín del diario en su correo"]
         rows.append(("notas", i, "diario.example", f"/a/{i:03}", "\n".join(lines)))
     return rows
@@ -71,6 +80,32 @@ def test_lines_are_judged_whole_not_by_their_opening(spark):
     assert found == {(i, n) for i in range(60) for n in (0, 4, 5)}
 
 
+def test_pairs_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    rows = []
+    for t, i, _, p, text in _site():
+        rows.append((t, i, rng.choice(["a.example", "b.example", None]), rng.choice([p, None]), text + ("\nHazte socio y apoya" if i % 9 == 0 else "")))
+    pages = spark.createDataFrame(rows, "tabla string, id long, host string, path string, texto string")
+    read = [(r["tabla"], r["host"] or "", r["path"] or "", r["id"], r["texto"]) for r in pages.where("texto is not null").collect()]
+    made = boilerplate.page_keys([r[4] for r in read], [r[1] for r in read], None)
+    ordered = sorted((r[:4], [k[4] for k in m[0]], m[2]) for r, m in zip(read, made, strict=True))
+    seen, matched = {}, {}
+    for x, (a, keys_a, long_a) in enumerate(ordered):
+        for b, keys_b, long_b in ordered[x + 1 : x + 1 + boilerplate.NEIGHBOURS]:
+            if a[:2] == b[:2]:
+                shared = boilerplate.shared_keys((*a[:2], keys_a, long_a, set(keys_a), set(long_a)), (*b[:2], keys_b, long_b, set(keys_b), set(long_b)))
+                for page, keys in ((a, keys_a), (b, keys_b)) if shared is not None else ():
+                    for k in set(keys):
+                        seen[a[0], a[1], k] = seen.get((a[0], a[1], k), 0) + 1
+                for k in shared or ():
+                    matched[a[0], a[1], k] = matched.get((a[0], a[1], k), 0) + 2
+    for partitions in (1, 4, 23):
+        counts = {(r["tabla"], r["host"], r["s"]): (r["seen"], r["matched"]) for r in boilerplate.evidence(boilerplate.keys_of(pages, []), boilerplate.NEIGHBOURS, partitions).collect()}
+        assert counts == {k: (n, matched.get(k, 0)) for k, n in seen.items()}
+    rows = [sorted(tuple(r) for r in boilerplate.furniture(pages, [], partitions=n).collect()) for n in (8, 200)]
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_residue(spark):
     long = "La comisión revisó el acuerdo de la sesión. " * 20_000
     rows = [
