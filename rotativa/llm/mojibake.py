@@ -64,8 +64,6 @@ STRUCTURE = 3.0
 ROUNDS = 4
 #: Weight of the shares over all sources in the shares of one.
 POOL = 50.0
-#: A record needs this gain in all, in nats, to enter the EM.
-LEAST_GAIN = 2.0
 #: Evidence in nats of a lost letter: a replacement sign, and a question mark inside a word.
 SIGN_GAIN, MARK_GAIN = 14.0, 8.0
 #: Signs that stand in sound text next to letters.
@@ -190,11 +188,11 @@ class Model:
             base = self.logp(word)
             for chain in range(len(CHAINS)):
                 back = unread(word, chain)
-                if back is not None and back != word and "�" not in back and back.isprintable() and sound(word, back, chain) and (gain := self.logp(back) - base) > 1:
-                    found[chain] = min(gain + STRUCTURE * (CHAINS[chain][0][0] == "utf-8"), 30.0)
+                if back is not None and back != word and "�" not in back and back.isprintable() and sound(word, back, chain) and (gain := self.logp(back) - base) > 0:
+                    found[chain] = gain + STRUCTURE * (CHAINS[chain][0][0] == "utf-8")
         lost = word.count("�") * SIGN_GAIN + marks(word) * MARK_GAIN
         if lost:
-            found[LOST] = min(lost, 30.0)
+            found[LOST] = lost
         if len(self.cache) > 500_000:
             self.cache.clear()
         self.cache[word] = found
@@ -229,10 +227,9 @@ def _evidence(batches: Iterator[pa.RecordBatch], counts: list) -> Iterator[pa.Re
                 row = table.setdefault(int(rows[at]), np.zeros(LOST + 1))
                 for chain, gain in gains[which[at]].items():
                     row[chain] += gain
-            kept = {r: v for r, v in table.items() if v.max() >= LEAST_GAIN}
-            if kept:
-                at = pa.array(list(kept))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array([v.tolist() for v in kept.values()], pa.list_(pa.float64()))], ["key", "campo", "source", "gain"])
+            if table:
+                at = pa.array(list(table))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array([v.tolist() for v in table.values()], pa.list_(pa.float64()))], ["key", "campo", "source", "gain"])
 
 
 def character_counts(texts: DataFrame) -> list[tuple[tuple[int, str, int], int]]:

@@ -34,6 +34,8 @@ from rotativa.session import bounded_broadcast, cut
 WORD_BUCKETS, FEATURE_BUCKETS = 1 << 21, 1 << 16
 #: Rows of the training sample (a bound, not a share).
 TRAINING_ROWS = 30_000
+#: Bytes of the training sample, at most; a sample of very long texts has fewer rows.
+TRAINING_BYTES = 64 << 20
 #: A length is a limit if at least this many texts have it and it holds this multiple of its neighbours' mean.
 LIMIT_TEXTS, LIMIT_RATIO, NEIGHBOURS = 6, 5.0, 15
 THRESHOLD = 0.5
@@ -257,9 +259,6 @@ def _score(batches: Iterator[pa.RecordBatch], shared: tuple) -> Iterator[pa.Reco
     for batch in batches:
         scores = []
         for grupo, text, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            if _CODE.match(text.split()[-1]):
-                scores.append(-30.0)  # a reference number ends a notice
-                continue
             at = hashed(features(text, grupo, bounds.get((grupo, homes.get(source, source or "")), none), uses, ends))
             scores.append(float(weights[at].sum() + weights[-1]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(1 / (1 + np.exp(-np.clip(scores, -30, 30))), pa.float64())], ["tabla", "id", "fuente", "score"])
@@ -293,6 +292,8 @@ def scores(notes: DataFrame, posts: DataFrame, training_rows: int = TRAINING_ROW
         share = min(1.0, 1.5 * half / max(1, source.count()))
         chosen = part.select("grupo", "fuente", "texto", F.xxhash64("id", "texto").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
         chosen = chosen.orderBy("h", "texto").limit(half)
+        held = F.sum(F.octet_length("texto")).over(Window.orderBy("h", "texto"))  # at most ``half`` rows
+        chosen = chosen.withColumn("held", held).where(F.col("held") <= TRAINING_BYTES // 2)
         rows += [(r["grupo"], homes.get(r["fuente"], r["fuente"] or ""), r["texto"]) for r in chosen.select("grupo", "fuente", "texto").collect()]
     weights = fit(rows, bounds, uses, ends)
     shared = notes.sparkSession.sparkContext.broadcast((bounds, homes, uses, ends, weights))
