@@ -68,6 +68,10 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return names.variants(table(spark, directory, "entidades_interes", "ent_id", "nombre", "formas"), table(spark, directory, "revision_entidades", "rev_id", "nombre"))
 
 
+def p7_members(spark: SparkSession, directory: str) -> DataFrame:
+    return names.members(table(spark, directory, "entidades_interes", "ent_id", "nombre", "formas"), table(spark, directory, "revision_entidades", "rev_id", "nombre"))
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encoding.encode(table(spark, directory, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -98,7 +102,7 @@ def p10_classes(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10_passages, "p10_classes": p10_classes}
+    return {"p1_found": p1_found, "p1_content": p1_content, "p2_found": p2_found, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_repaired": p5_repaired, "p7_found": p7_found, "p7_members": p7_members, "p8_ids": p8_ids, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_shares": p10_shares, "p10_passages": p10_passages, "p10_classes": p10_classes}
 
 
 #: Lines of ``notas`` with the key under which two lines are the same, and the lines repeated in a ``medio``.

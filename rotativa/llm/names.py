@@ -3,10 +3,10 @@
 Distinct names are compared by MinHash banding over padded q-grams of their tokens; the number of bands is
 taken from the collision curve for a wanted recall at a given similarity. Entities enter with their typed
 forms and with the short forms people use (surnames, initial and surname, acronym), so that a short name is
-near one of them. Candidates are verified by Monge-Elkan similarity (mean best token similarity, where a
-token may be misspelt, shortened, an initial or a nickname) under the condition that no token of the name
-contradicts the entity. Star clustering joins entities entered twice: an entity of greatest degree among its
-neighbours is a star's centre, the others are its satellites, and a name goes to its best star.
+near one of them. Candidates are verified by Monge-Elkan similarity (mean best token similarity: the edit
+distance as a share of the token, or a shortening, an initial or a nickname) under the condition that no token of the name
+contradicts the entity. Star clustering joins entities entered twice: a free entity of greatest degree among its
+free neighbours is a star's centre, these are its satellites, and a name goes to its best star.
 
 Names are made distinct before anything else, so an entity that holds a third of all rows costs its distinct
 spellings only, and rows come back by a join on the spelling. Bands are joined between names and entities.
@@ -21,6 +21,7 @@ import json
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ Q = 3
 ROWS = 3
 #: Bands are as many as give this recall at this Jaccard similarity.
 SIMILARITY, RECALL = 0.42, 0.99
-LEAST_SCORE = 0.86
+LEAST_SCORE, LEAST_TOKEN = 0.8, 0.75
 
 #: Words that join the parts of a name.
 PARTICLES = frozenset("de del la las los el y e da do dos das por para en of the and al".split())
@@ -121,8 +122,9 @@ def token_similarity(typed: str, true: str, known: frozenset[str] = frozenset())
         return 0.92
     if a in known and b in known:
         return 0.95 if a in _NICKNAMES.get(b, ()) or b in _NICKNAMES.get(a, ()) else 0.0
-    if edits(a, b) <= 1 and (max(len(a), len(b)) >= 4 or a[0] == b[0] and len(a) == len(b) == 3):
-        return 0.9 + 0.05 * (max(len(a), len(b)) > 6)
+    if (changed := edits(a, b)) <= 1 and (max(len(a), len(b)) >= 4 or a[0] == b[0] and len(a) == len(b) == 3):
+        # the edit distance as a share of the longer token
+        return 1 - changed / (max(len(a), len(b)) + 1)
     for x, y in ((a, b), (b, a)):
         for nick in _NICKNAMES.get(y, ()):
             if x == nick or len(nick) >= 4 and edits(x, nick) <= 1:
@@ -153,7 +155,7 @@ def similarity(name: str, entity: str, given: frozenset[str]) -> float:
     taken_a: dict[int, tuple[int, float]] = {}
     taken_b: set[int] = set()
     for score, i, j in pairs:
-        if score >= 0.8 and -i not in taken_a and -j not in taken_b:
+        if score >= LEAST_TOKEN and -i not in taken_a and -j not in taken_b:
             taken_a[-i] = (-j, score)
             taken_b.add(-j)
     if len(taken_a) < len(typed):
@@ -258,17 +260,27 @@ def _verified(batches: Iterator[pa.RecordBatch], given: frozenset[str]) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["nombre", "ent_id", "score"])
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, opens, closes): the words that open a person's name of three or more, and those that close one."""
+    for batch in batches:
+        opens, closes = Counter(), Counter()
+        for name in batch.column(0).to_pylist():
+            tokens = [t.rstrip(".") for t in words(name)]
+            if is_body(tokens) or "," in name or len(tokens) < 3:
+                continue
+            opens.update(tokens[: len(tokens) - 2])
+            closes.update(tokens[-2:])
+        keys = list(opens | closes)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (opens, closes))], ["token", "opens", "closes"])
+
+
 def given_names(entities: DataFrame) -> frozenset[str]:
-    """Given names among the declared persons: words that open a name of three or more and close none."""
-    opening: set[str] = set()
-    closing: set[str] = set()
-    for row in entities.select("nombre").where("nombre is not null").distinct().toLocalIterator():
-        tokens = [t.rstrip(".") for t in words(row["nombre"])]
-        if is_body(tokens) or "," in row["nombre"] or len(tokens) < 3:
-            continue
-        opening |= set(tokens[: len(tokens) - 2])
-        closing |= set(tokens[-2:])
-    return frozenset(t for t in opening - closing if len(t) > 1) | frozenset(_NICKNAMES)
+    """Given names among the declared persons: words that open a name of three or more and close none.
+
+    They are counted over all names by partial sums; what is gathered is the vocabulary of given names.
+    """
+    counted = entities.select("nombre").where("nombre is not null").mapInArrow(_ends, "token string, opens long, closes long").groupBy("token").agg(F.sum("opens").alias("o"), F.sum("closes").alias("c"))
+    return frozenset(r["token"] for r in counted.where("o > 0 and c = 0 and length(token) > 1").select("token").collect()) | frozenset(_NICKNAMES)
 
 
 def links(entities: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -287,25 +299,53 @@ def links(entities: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def stars(entities: DataFrame, linked: DataFrame) -> DataFrame:
-    """(ent_id, star): the centre to which each entity belongs."""
-    own = entities.select(F.col("ent_id").cast("long"), "nombre")
+    """(ent_id, star): star clustering of the entities, each with the centre of its star.
+
+    In each round a free entity of greatest degree among its free neighbours becomes a centre (ties by the lesser
+    id), and the free neighbours of centres become their satellites, of the greatest one if there are several. The
+    free entity of greatest degree of all always becomes a centre, so the rounds end; no centre is a satellite.
+    """
+    own = entities.select(F.col("ent_id").cast("long"), "nombre").where("ent_id is not null")
     edges = own.withColumnRenamed("ent_id", "a").join(linked.withColumnRenamed("ent_id", "b"), "nombre").where("a != b").select("a", "b")
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = edges.groupBy("a").agg(F.count("*").alias("d"))
-    ranked = edges.join(degree.select(F.col("a").alias("b"), "d"), "b")
-    best = ranked.groupBy("a").agg(F.max(F.struct(F.col("d"), (-F.col("b")).alias("i"))).alias("other"))
-    mine = best.join(degree, "a").select(F.col("a").alias("ent_id"), F.when(F.struct(F.col("other.d").alias("d"), F.col("other.i").alias("i")) > F.struct(F.col("d"), (-F.col("a")).alias("i")), -F.col("other.i")).otherwise(F.col("a")).alias("star"))
-    return own.select("ent_id").distinct().join(mine, "ent_id", "left").select("ent_id", F.coalesce("star", "ent_id").alias("star"))
+    rank = lambda d, i: F.struct(F.col(d).alias("d"), (-F.col(i)).alias("i"))
+    free = cut(edges.join(degree.select("a", F.col("d").alias("da")), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b").select("a", "b", rank("da", "a").alias("ra"), rank("db", "b").alias("rb")))
+    placed = own.select("ent_id").distinct().join(free.select(F.col("a").alias("ent_id")).distinct(), "ent_id", "left_anti").select("ent_id", F.col("ent_id").alias("star"))
+    alone = own.select("ent_id").where("false")
+    while True:
+        # entities whose neighbours are all placed are free by themselves
+        centres = cut(free.groupBy("a").agg(F.max("rb").alias("top"), F.first("ra").alias("ra")).where("ra > top").select("a").unionByName(alone.select(F.col("ent_id").alias("a"))).distinct())
+        if centres.isEmpty():
+            break
+        satellites = cut(free.join(centres.select(F.col("a").alias("b")), "b", "left_semi").groupBy("a").agg((-F.max("rb")["i"]).alias("star")).join(centres, "a", "left_anti"))
+        gone = cut(centres.unionByName(satellites.select("a")))
+        placed = placed.unionByName(centres.select(F.col("a").alias("ent_id"), F.col("a").alias("star"))).unionByName(satellites.select(F.col("a").alias("ent_id"), "star"))
+        rest = free.join(gone, "a", "left_anti")
+        kept = cut(rest.join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b", "ra", "rb"))
+        alone = cut(rest.select("a").distinct().join(kept.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("ent_id")))
+        free = kept
+    return placed
+
+
+def members(entities: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(clave, star): every row with the stars that it belongs to; the pairs of a star's rows need not be made to be known."""
+    star, rows = _members(entities, reviews)
+    return rows.select("clave", "star")
 
 
 def variants(entities: DataFrame, reviews: DataFrame) -> DataFrame:
     """(clave_a, clave_b): rows that mean the same, the first one a declared entity."""
+    star, rows = _members(entities, reviews)
+    pairs = star.withColumnRenamed("ent_id", "clave_a").join(rows.withColumnRenamed("clave", "clave_b"), "star").where("clave_a < clave_b")
+    return pairs.select("clave_a", "clave_b").distinct()
+
+
+def _members(entities: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = cut(links(entities, reviews))
     star = cut(stars(entities, linked))
     scored = linked.join(star, "ent_id").groupBy("nombre", "star").agg(F.max("score").alias("score"))
     best = scored.groupBy("nombre").agg(F.max("score").alias("best"))
     chosen = scored.join(best, "nombre").where(F.col("score") >= F.col("best") - 0.005).select("nombre", "star")
     rows = entities.select(F.col("ent_id").cast("long").alias("clave"), "nombre").unionByName(reviews.select(F.col("rev_id").cast("long").alias("clave"), "nombre"))
-    members = rows.join(chosen, "nombre").select("clave", "star").unionByName(star.select(F.col("ent_id").alias("clave"), "star")).distinct()
-    pairs = star.withColumnRenamed("ent_id", "clave_a").join(members.withColumnRenamed("clave", "clave_b"), "star").where("clave_a < clave_b")
-    return pairs.select("clave_a", "clave_b").distinct()
+    return star, rows.join(chosen, "nombre").select("clave", "star").unionByName(star.select(F.col("ent_id").alias("clave"), "star")).where("clave is not null").distinct()

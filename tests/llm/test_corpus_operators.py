@@ -235,6 +235,28 @@ def test_name_variants(spark):
     assert names.variants(e.where("false"), r).count() == 0
 
 
+def test_a_centre_is_never_a_satellite(spark):
+    rng = random.Random(13)
+    for _ in range(3):
+        n = 14
+        links = {(rng.randrange(n), rng.randrange(n)) for _ in range(18)} | {(0, 1), (1, 2), (2, 3)}
+        entities = spark.createDataFrame([(i, f"n{i}") for i in range(n + 1)], "ent_id long, nombre string")
+        linked = spark.createDataFrame([(f"n{a}", b) for a, b in links], "nombre string, ent_id long")
+        star = {r["ent_id"]: r["star"] for r in names.stars(entities, linked).collect()}
+        near = {i: {j for a, b in links for j in ((b,) if a == i else (a,) if b == i else ()) if j != i} for i in range(n + 1)}
+        # greedy stars by falling degree
+        expected, left = {}, set(range(n + 1))
+        for i in sorted(left, key=lambda i: (-len(near[i]), i)):
+            if i in left:
+                for j in near[i] & left:
+                    expected[j] = i
+                expected[i] = i
+                left -= near[i] | {i}
+        centres = {i for i, c in star.items() if i == c}
+        assert len(star) == n + 1 and set(star.values()) == centres and all(i == c or c in near[i] for i, c in star.items())
+        assert centres == {i for i, c in expected.items() if i == c}
+
+
 def test_gap_edits_and_passages():
     assert spans.gap_edits("casa", "cosa") == 1 and spans.gap_edits("", "ab") == 2 and spans.gap_edits("kitten", "sitting") == 3
     a, b = "x" * 5 + "A" * 20 + "bridge" + "C" * 20, "A" * 20 + "bride" + "C" * 20
