@@ -12,7 +12,7 @@ not be every letter, so a line stands in the sequence by its keys:
 
 Keys in the common subsequence are shared by that pair of pages. One pair may share a line by chance, and a page
 may lie beside pages without one of its lines, so verdicts are per key: the share of the alignments of its pages in
-which it was in common, at the lower end of its confidence interval, over each host and over the whole table. Lines
+which it was in common, at the lower end of its confidence interval. Lines
 whose keys are shared are deleted; of a list, if most of its parts are. A key under which sentences
 stand in the midst of paragraphs, or twice on a page, belongs to running text and deletes nothing. A headline without full stop goes
 with the heading of its block.
@@ -31,9 +31,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +53,8 @@ COPY, PARTS = 0.7, 0.6
 #: Keys whose sentences stand inside paragraphs at least this often, as against making a line, are running text.
 #: and the share of such lines at which a key is.
 INNER_RATIO, RUNNING_SHARE = 0.1, 0.25
-#: Tokens of a long line; bands of its sketch and values in each, and bands that must be shared.
-LONG, BANDS, ROWS, LEAST_BANDS = 8, 16, 3, 2
+#: Tokens of a long line; bands of its sketch, values in each, bands that must be shared, bands of a sentence.
+LONG, BANDS, ROWS, LEAST_BANDS, FIRST_BANDS = 8, 8, 3, 2, 4
 HOST_KIND, SHORT_KIND, LONG_KIND = 0, 1, 2
 
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,7 +63,6 @@ _HEAD = re.compile(r"^(\d{1,2}[.)]|\[[^\]\n]{2,12}\]|[^\W\d][^.:→–—|·>,;
 _SENTENCE = re.compile(r"(?<=[.!?”»\"])\s+(?=[^\W_a-záéíóúñü]|[«¿¡“\"])")
 _TERMINAL = re.compile(r"[.!?…”»\")\]]$")
 _SIGN = re.compile(r"(?<![^ ])[^\x00-\x7f]{1,8}(?![^ ])")
-_QUOTED = re.compile(r"«[^»]*(?:»|$)|“[^”]*(?:”|$)")
 _DIGITS = re.compile(r"\d[\d.,:]*")
 
 
@@ -92,49 +93,56 @@ def masked(text: str) -> str:
     return " ".join(out)
 
 
-def wording(line: str) -> list[str]:
-    """The words of a whole line but for names, numbers and quoted titles, which fill a template's slots."""
-    if line.isupper():
-        line = line.lower()
+def wordings(lines: list[str]) -> pa.ListArray:
+    """The words of whole lines but for names, numbers and quoted titles, which fill a template's slots."""
+    texts = pa.array([x.lower() if x.isupper() else x for x in lines], pa.string())
+    frame = _words_of(pc.replace_substring_regex(texts, r"«[^»]*(?:»|$)|“[^”]*(?:”|$)", " "))
     # a line that is all quotation has no frame to compare
-    for text in (_QUOTED.sub(" ", line), line):
-        tokens = text.split()
-        kept = [t for i, t in enumerate(tokens) if not i or not t.lstrip("«“\"'(¿¡[")[:1].isupper()]
-        found = [w for w in (x.strip(".,;:\"')(") for x in _plain(" ".join(kept)).split()) if "a" <= w[:1] <= "z"]
-        if len(found) >= ROWS:
-            break
-    return found
+    few = pc.less(pc.add(pc.count_substring(frame, " "), 1), ROWS)
+    whole = pc.if_else(few, _words_of(texts), frame) if pc.any(few).as_py() else frame
+    return pc.split_pattern(whole, " ")
 
 
-def sketch_bands(lines: list[list[str]]) -> np.ndarray:
+def _words_of(texts: pa.Array) -> pa.Array:
+    plain = pc.replace_substring_regex(texts, r"(?:\s+[«“\"'(¿¡\[]*\p{Lu}\S*)+", " ")
+    plain = pc.replace_substring_regex(pc.utf8_lower(plain), r"[^\x00-\x7f]+|\?", "")
+    plain = pc.replace_substring_regex(plain, r"[.,;:\"')(]+(\s|$)|(^|\s)[.,;:\"')(]+", r"\1\2")
+    plain = pc.replace_substring_regex(plain, r"(?:^|\s)[^a-z\s]\S*", " ")
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(plain, r"\s+", " "))
+
+
+def sketch_bands(words: pa.ListArray, bands: int = BANDS) -> np.ndarray:
     """A key for each band of the MinHash sketch of each line's words; lines of the same words have the same keys."""
-    words = [x or [""] for x in lines]
-    if not words:
-        return np.empty((0, BANDS), np.int64)
-    coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
+    if not len(words):
+        return np.empty((0, bands), np.int64)
+    coded = words.flatten().dictionary_encode()
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    starts = np.cumsum([0, *(len(x) for x in words[:-1])])
+    starts = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
     codes = coded.indices.to_numpy()
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    for place, odd in enumerate(_ODD):
-        mixed = table * odd
+    out = np.zeros((len(words), bands), np.uint64)
+    for place in range(bands * ROWS):
+        mixed = table * _ODD[place]
         mixed ^= mixed >> np.uint64(32)
-        mixed *= odd
+        mixed *= _ODD[place]
         band = place // ROWS
         out[:, band] = (out[:, band] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat(mixed[codes], starts)
-    return (out * np.uint64(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return _of_kind((out * np.uint64(0xBF58476D1CE4E5B9) + np.arange(bands, dtype=np.uint64)).view(np.int64), LONG_KIND)
+
+
+def _of_kind(keys, kind: int):
+    """A key tells its kind by its lowest bits."""
+    return keys & ~3 | kind
 
 
 def _hash(kind: int, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{kind}|{text}") - (1 << 63)
+    return _of_kind(xxhash.xxh3_64_intdigest(text) - (1 << 63), kind)
 
 
-def part_keys(parts: list[str], brand: re.Pattern | None) -> list[str]:
-    spelt = [brand.sub("Zz", p) if brand else p for p in parts]
-    return [masked(p) if len(p.split()) > 1 else _plain(p) for p in spelt]
+def part_keys(parts: list[str]) -> list[str]:
+    return [masked(p) if len(p.split()) > 1 else _plain(p) for p in parts]
 
 
-def line_keys(line: str, brand: re.Pattern | None) -> tuple[list[str], int, int, bool, str] | None:
+def line_keys(line: str) -> tuple[list[str], int, int, bool, str] | None:
     """(short keys, how many must be shared of how many parts, looks like a headline, the line to sketch or nothing); None if blank.
 
     Keys after the parts stand for the line by themselves.
@@ -144,13 +152,12 @@ def line_keys(line: str, brand: re.Pattern | None) -> tuple[list[str], int, int,
         return None
     # a sign that a wrong decoding has changed still parts
     raw = _SIGN.sub(lambda m: m[0] if m[0].isalpha() or m[0] in "·•→–—«»" else "·", raw)
-    squeezed = " ".join(raw.split())
-    text = brand.sub("ZZ" if squeezed.isupper() else "Zz", squeezed) if brand else squeezed
+    text = squeezed = " ".join(raw.split())
     tokens = text.split()
     ended = bool(_TERMINAL.search(text))
     parts = [] if ended else [p for p in _LIST.split(raw.strip(" ·|>/•–-")) if p]
     if len(parts) >= 3 and all(len(p.split()) <= 6 and len(p) <= 40 for p in parts):
-        return part_keys(parts, brand), -int(-PARTS * len(parts) // 1), len(parts), False, ""
+        return part_keys(parts), -int(-PARTS * len(parts) // 1), len(parts), False, ""
     if (head := _HEAD.match(text)) and len(head[1].split()) <= 7:
         # numbers of items are one head
         name = _DIGITS.sub("0", _plain(head[1]).rstrip(" :")) if head[1][:1].isdigit() else _plain(head[1]).rstrip(" :")
@@ -161,53 +168,81 @@ def line_keys(line: str, brand: re.Pattern | None) -> tuple[list[str], int, int,
         parts = squeezed.split() if sum(t[:1].isupper() for t in tokens) >= 0.75 * len(tokens) else []
     if len(parts) >= 3:
         whole = [masked(text)] if len(tokens) < LONG or all(" " not in p for p in parts) else []
-        return [*part_keys(parts, brand), *whole], -int(-PARTS * len(parts) // 1), len(parts), False, ""
+        return [*part_keys(parts), *whole], -int(-PARTS * len(parts) // 1), len(parts), False, ""
     if len(tokens) < LONG:
         # a line of one word keeps it
         return [masked(text) if len(tokens) > 1 else _plain(text)], 1, 1, not ended and len(tokens) >= 5, ""
     return [], 1, 1, not ended, text
 
 
-def page_keys(texts: list[str], hosts: list[str], brand: re.Pattern | None) -> list[tuple[list[tuple], list[int], list[int]]]:
-    """For each page: rows (line, part, parts wanted, kind, key, key of its first sentence), keys of sentences inside paragraphs, keys of its long lines."""
-    pages, sketched = [], []
-    for text, host in zip(texts, hosts, strict=True):
-        rows: list[tuple[int, int, int, int, int | None]] = []
-        inner: list[int] = []
+class PageKeys(NamedTuple):
+    """Keys of a page in order, with the line, the part and the parts wanted of each, and for long lines the key of the
+    first sentence; keys of its long lines as they are written; of their first sentences; of sentences inside paragraphs."""
+
+    keys: list[int]
+    line: list[int]
+    part: list[int]
+    wanted: list[int]
+    opening: list[int | None]
+    long: list[int]
+    first: list[int]
+    inner: list[int]
+
+
+def page_keys(texts: list[str], hosts: list[str], brands: list[str]) -> list[PageKeys]:
+    """The keys of each page; ``brands`` are masked in its lines."""
+    masked_texts = pa.array(texts, pa.string())
+    # outlets' names in capitals keep a line in capitals
+    for spelt, name in ((sorted({x.upper() for x in brands}), "ZZ"), (sorted({*brands, *(x.lower() for x in brands)}), "Zz")):
+        if spelt and len(masked_texts):
+            masked_texts = pc.replace_substring_regex(masked_texts, "|".join(re.escape(x) for x in sorted(spelt, key=lambda x: (-len(x), x))), name)
+    pages, whole_lines, openings, inner_sentences = [], [], [], []
+    for text, host in zip(masked_texts.to_pylist(), hosts, strict=True):
+        rows: list[tuple[int, int, int, int | None, int]] = []
         long: list[int] = []
+        inner_from = len(inner_sentences)
         opener: int | None = None
         for number, line in enumerate(text.split("\n")):
-            found = line_keys(line, brand)
+            found = line_keys(line)
             if found is None:
                 continue
             short, wanted, parts, headline, whole = found
             own = _hash(HOST_KIND, host + "|" + _DIGITS.sub("0", _plain(" ".join(line.split()))))
-            rows.append((number, 0, 1, HOST_KIND, own))
+            rows.append((number, 0, 1, own, 0))
             keys = [_hash(SHORT_KIND, x) for x in short]
-            rows += [(number, i, 1 if i >= parts else wanted, SHORT_KIND, k) for i, k in enumerate(keys)]
+            rows += [(number, i, 1 if i >= parts else wanted, k, 0) for i, k in enumerate(keys)]
             if headline and opener is not None:
-                rows.append((number, 0, 1, SHORT_KIND, opener))
+                rows.append((number, 0, 1, opener, 0))
             elif not short or not short[0].startswith("0"):
                 opener = keys[0] if len(keys) == 1 and len(short[0].split()) <= 4 and not short[0].endswith("*") else None
             if whole:
                 long.append(own)
-                rows.append((number, len(sketched), LEAST_BANDS, LONG_KIND, None))
-                sketched.append(wording(whole))
+                rows.append((number, 0, LEAST_BANDS, None, len(whole_lines)))
                 opening, *others = _SENTENCE.split(whole)
-                sketched.append(wording(opening) if others else sketched[-1])
-                inner += range(len(sketched), len(sketched) + len(others))
-                sketched += map(wording, others)
-        pages.append((rows, inner, long))
-    bands = sketch_bands(sketched).tolist()
+                whole_lines.append(whole)
+                openings.append(opening)
+                inner_sentences += others
+        pages.append((rows, long, inner_from, len(inner_sentences)))
+    bands = sketch_bands(wordings(whole_lines)).tolist()
+    firsts = sketch_bands(wordings(openings), FIRST_BANDS).tolist()
+    inside = sketch_bands(wordings(inner_sentences), FIRST_BANDS).tolist()
     out = []
-    for rows, inner, long in pages:
-        full = []
-        for n, part, wanted, kind, key in rows:
-            full += [(n, part, wanted, kind, key, None)] if key is not None else [(n, b, wanted, kind, k, f) for b, (k, f) in enumerate(zip(bands[part], bands[part + 1], strict=True))]
+    for rows, long, start, end in pages:
+        page = PageKeys([], [], [], [], [], long, [], [])
+        for n, part, wanted, key, at in rows:
+            own = [key] if key is not None else bands[at]
+            page.keys.extend(own)
+            page.line.extend([n] * len(own))
+            page.part.extend([part] if key is not None else range(BANDS))
+            page.wanted.extend([wanted] * len(own))
+            page.opening.extend([None] if key is not None else (firsts[at] * (BANDS // FIRST_BANDS + 1))[:BANDS])
+            if key is None:
+                page.first.extend(firsts[at])
         # furniture stands once on a page; wording that a page uses again is running text
-        first = [r[5] for r in full if r[5] is not None]
-        again = [k for k, n in Counter(first).items() if n > 1 for _ in range(n - 1)]
-        out.append((full, [*again, *(k for i in inner for k in bands[i])], long))
+        page.inner.extend(k for k, n in Counter(page.first).items() if n > 1 for _ in range(n - 1))
+        for i in range(start, end):
+            page.inner.extend(inside[i])
+        out.append(page)
     return out
 
 
@@ -237,21 +272,16 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return left[::-1], right[::-1]
 
 
-def brand_pattern(brands: list[str]) -> re.Pattern | None:
-    """Outlets' names as written, in capitals or small letters; with case told apart, the search can skip by first letter."""
-    spelt = {y for x in brands for y in (x, x.upper(), x.lower())}
-    return re.compile("|".join(sorted(map(re.escape, spelt), key=lambda x: (-len(x), x)))) if spelt else None
+def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), pa.array([x for v in values for x in v], kind))
 
 
 def _pages(batches: Iterator[pa.RecordBatch], brands: list[str]) -> Iterator[pa.RecordBatch]:
-    brand = brand_pattern(brands)
-    line = pa.list_(pa.struct([("n", pa.int32()), ("u", pa.int32()), ("q", pa.int32()), ("k", pa.int32()), ("s", pa.int64()), ("f", pa.int64())]))
-    many = pa.list_(pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         for part in slices(batch, 4):
-            made = page_keys(part.column(4).to_pylist(), [h or "" for h in part.column(2).to_pylist()], brand)
-            lines = pa.array([[dict(zip("nuqksf", r, strict=True)) for r in rows] for rows, _, _ in made], line)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), lines, pa.array([x for _, x, _ in made], many), pa.array([x for _, _, x in made], many)], ["tabla", "id", "host", "path", "lines", "inner", "long"])
+            made = page_keys(part.column(4).to_pylist(), part.column(2).to_pylist(), brands)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), *(_lists([m[i] for m in made], k) for i, k in enumerate(kinds))], ["tabla", "id", "host", "path", "s", "n", "u", "q", "f", "long", "first", "inner"])
 
 
 Page = tuple[str, str, list[int], list[int], set[int], set[int]]
@@ -271,26 +301,26 @@ def shared_keys(a: Page, b: Page) -> set[int] | None:
 
 
 class Evidence:
-    """Alignments of the pages of each (table, host, key) and those in which the key was in common."""
+    """Alignments of the pages of each (table, key) and those in which the key was in common."""
 
     def __init__(self) -> None:
-        self.seen: dict[tuple[str, str, int], int] = defaultdict(int)
-        self.matched: dict[tuple[str, str, int], int] = defaultdict(int)
+        self.seen: dict[tuple[str, int], int] = defaultdict(int)
+        self.matched: dict[tuple[str, int], int] = defaultdict(int)
 
     def pair(self, a: Page, b: Page) -> bool:
         shared = shared_keys(a, b)
         for k in shared or ():
-            self.matched[*a[:2], k] += 2
+            self.matched[a[0], k] += 2
         return shared is not None
 
     def page(self, page: Page, alignments: int) -> None:
         if alignments:
             for k in page[4]:
-                self.seen[*page[:2], k] += alignments
+                self.seen[page[0], k] += alignments
 
     def rows(self) -> pa.RecordBatch:
         keys = list(self.seen.keys() | self.matched.keys())
-        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.nulls(len(keys), pa.string()), pa.array([k[1] for k in keys], pa.int64())]
         columns += [pa.array([d.get(k, 0) for k in keys], pa.int64()) for d in (self.seen, self.matched)]
         size, none = len(keys), pa.nulls
         self.seen.clear()
@@ -399,43 +429,42 @@ def _low(matched: str, seen: str) -> Column:
 
 
 def keys_of(pages: DataFrame, brands: list[str]) -> DataFrame:
-    """(tabla, id, host, path, lines, inner, long) of ``pages(tabla, id, host, path, texto)``; only hashes of the texts."""
-    kind = "array<struct<n:int,u:int,q:int,k:int,s:long,f:long>>"
+    """The ``PageKeys`` of ``pages(tabla, id, host, path, texto)``; only hashes of the texts."""
+    many = "s array<long>, n array<int>, u array<short>, q array<short>, f array<long>, long array<long>, first array<long>, inner array<long>"
     texts = pages.where("texto is not null and texto != ''").select("tabla", F.col("id").cast("long").alias("id"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "texto")
-    return cut(texts.mapInArrow(lambda b: _pages(b, brands), f"tabla string, id long, host string, path string, lines {kind}, inner array<long>, long array<long>"))
+    return cut(texts.mapInArrow(lambda b: _pages(b, brands), f"tabla string, id long, host string, path string, {many}"))
 
 
 def evidence(read: DataFrame, neighbours: int = NEIGHBOURS, partitions: int | None = None) -> DataFrame:
-    """(tabla, host, s, seen, matched): for each key, the alignments of the pages that hold it and those in which it was in common."""
+    """(tabla, s, seen, matched): for each key, the alignments of the pages that hold it and those in which it was in common."""
     place = ["tabla", "host", "path", "id"]
-    keyed = read.select(*place, F.transform("lines", lambda x: x["s"]).alias("keys"), "long")
+    keyed = read.select(*place, F.col("s").alias("keys"), "long")
     ordered = (keyed.repartitionByRange(partitions, *place) if partitions else keyed.repartitionByRange(*place)).sortWithinPartitions(*place)
     inside = cut(ordered.select("tabla", "host", "keys", "long").mapInArrow(lambda b: _differences(b, neighbours), KINDS))
     borders = inside.where("part is not null").repartition("tabla", "host").sortWithinPartitions("tabla", "host", "part", "place")
     across = borders.mapInArrow(lambda b: _across(b, neighbours), KINDS)
-    return inside.where("part is null").unionByName(across).groupBy("tabla", "host", "s").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where("seen > 0 or matched > 0")
+    counts = inside.where("part is null").unionByName(across).where("seen > 0 or matched > 0")
+    return counts.groupBy("tabla", "s").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched"))
 
 
 def furniture(pages: DataFrame, brands: list[str], neighbours: int = NEIGHBOURS, partitions: int | None = None) -> DataFrame:
     """(tabla, id, linea) of the lines that are page furniture; ``pages(tabla, id, host, path, texto)``."""
     read = keys_of(pages, brands)
-    counts = evidence(read, neighbours, partitions)
-    # a key is judged by the table in which it is shared most, over its hosts together and by each host for itself
-    rates = cut(counts.groupBy("tabla", "s").agg(F.sum("seen").alias("seen"), F.sum("matched").alias("matched")).where("matched > 0"))
-    best = rates.groupBy("s").agg(F.max(_low("matched", "seen")).alias("rate"))
-    lines = read.select("tabla", "id", F.explode("lines").alias("l")).select("tabla", "id", F.col("l.n").alias("linea"), "l.u", "l.q", "l.k", "l.s", "l.f")
-    kinds = lines.groupBy("s").agg(F.min("k").alias("k"))
-    least = F.when(F.col("k") == SHORT_KIND, SHORT_RATE).when(F.col("k") == LONG_KIND, LONG_RATE).otherwise(HOST_RATE)
-    guilty = best.join(kinds, "s").where(F.col("rate") >= least).select("s")
-    hit = cut(lines.join(bounded_broadcast(guilty, 1_000_000), "s"))
+    # a key is judged by the table in which it is shared most
+    best = evidence(read, neighbours, partitions).where("matched > 0").groupBy("s").agg(F.max(_low("matched", "seen")).alias("rate"))
+    kind = F.col("s").bitwiseAND(3)
+    least = F.when(kind == SHORT_KIND, SHORT_RATE).when(kind == LONG_KIND, LONG_RATE).otherwise(HOST_RATE)
+    guilty = bounded_broadcast(best.where(F.col("rate") >= least).select("s"), 1_000_000)
+    lines = read.select("tabla", "id", F.explode(F.arrays_zip("s", "n", "u", "q", "f")).alias("l")).select("tabla", "id", "l.s", "l.n", "l.u", "l.q", "l.f")
+    hit = cut(lines.join(guilty, "s"))
     # sentences that stand inside paragraphs as well as at their beginning are running text, and so are the keys of
     # lines that mostly begin with such sentences
-    inner = read.select(F.explode("inner").alias("f")).groupBy("f").agg(F.count("*").alias("inner"))
-    running = lines.where("f is not null").groupBy("f").agg(F.count("*").alias("first")).join(inner, "f").where(F.col("inner") >= INNER_RATIO * F.col("first")).select("f", F.lit(1).alias("x"))
+    asked = bounded_broadcast(hit.where("f is not null").select("f").distinct(), 1_000_000)
+    uses = lambda name: read.select(F.explode(name).alias("f")).join(asked, "f", "left_semi").groupBy("f").agg(F.count("*").alias(name))
+    running = uses("inner").join(uses("first"), "f", "left").where(F.col("inner") >= INNER_RATIO * F.coalesce("first", F.lit(0))).select("f", F.lit(1).alias("x"))
     text = hit.where("f is not null").select("s", "f").join(running, "f", "left").groupBy("s").agg(F.avg(F.coalesce("x", F.lit(0))).alias("share")).where(F.col("share") >= RUNNING_SHARE).select("s")
-    kept = hit.join(text, "s", "left_anti")
-    hit = kept.groupBy("tabla", "id", "linea", "q").agg(F.countDistinct("u").alias("c"))
-    return hit.where("c >= q").select("tabla", "id", "linea").distinct()
+    shared = hit.join(text, "s", "left_anti").groupBy("tabla", "id", "n", "q").agg(F.countDistinct("u").alias("c"))
+    return shared.where("c >= q").select("tabla", "id", F.col("n").alias("linea")).distinct()
 
 
 def url_parts(url: str) -> tuple:

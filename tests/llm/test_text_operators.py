@@ -28,8 +28,7 @@ def test_longest_common_lines_against_brute_force():
 
 
 def test_keys_of_lines():
-    brand = boilerplate.brand_pattern(["El Faro"])
-    keys = lambda x: boilerplate.line_keys(x, brand)
+    keys = boilerplate.line_keys
     assert keys("Vida · Cultura · Gente")[:3] == (["vida", "cultura", "gente"], 2, 3)
     assert keys("Lea también: Otra nota")[0] == keys("Lea también: Una nota muy distinta de la otra, con muchas más palabras")[0] == ["lea tambin *"]
     assert keys("3. Uno")[0] == keys("12. Dos tres")[0] == ["0 *"]
@@ -37,10 +36,13 @@ def test_keys_of_lines():
     # a long line is taken whole
     lead = "El presidente del consejo anunció ayer un plan de obras para los barrios del norte"
     other = "El presidente del consejo desmintió hoy que la empresa haya cerrado sus plantas costeras"
-    bands = boilerplate.sketch_bands([boilerplate.wording(x) for x in (lead, other, lead.replace("ayer", "hoy"))])
+    bands = boilerplate.sketch_bands(boilerplate.wordings([lead, other, lead.replace("ayer", "hoy")]))
     assert not keys(lead)[0] and (bands[0] == bands[1]).sum() <= 1 and (bands[0] == bands[2]).sum() >= 2
-    whole = boilerplate.sketch_bands([["uno", "dos"], [], ["dos", "uno"]])
-    assert (whole[0] == whole[2]).all() and len(whole) == 3 and len(boilerplate.sketch_bands([])) == 0
+    assert boilerplate.wordings(["Ayer Ana Ruiz leyó «Un título» en 3f2 casas, dijo.", "«Todo»", ""]).to_pylist() == [["ayer", "ley", "en", "casas", "dijo"], ["todo"], [""]]
+    whole = boilerplate.sketch_bands(boilerplate.wordings(["uno dos", "", "dos uno"]))
+    assert (whole[0] == whole[2]).all() and len(whole) == 3 and len(boilerplate.sketch_bands(boilerplate.wordings([]))) == 0
+    one, two = boilerplate.page_keys(["Noticias de El Faro hoy", "Noticias de EL OTRO hoy"], ["h", "h"], ["El Faro", "El Otro"])
+    assert one.keys[1] == two.keys[1] and one.line == [0, 0]
 
 
 def _site():
@@ -87,20 +89,20 @@ def test_pairs_do_not_depend_on_partitions(spark):
         rows.append((t, i, rng.choice(["a.example", "b.example", None]), rng.choice([p, None]), text + ("\nHazte socio y apoya" if i % 9 == 0 else "")))
     pages = spark.createDataFrame(rows, "tabla string, id long, host string, path string, texto string")
     read = [(r["tabla"], r["host"] or "", r["path"] or "", r["id"], r["texto"]) for r in pages.where("texto is not null").collect()]
-    made = boilerplate.page_keys([r[4] for r in read], [r[1] for r in read], None)
-    ordered = sorted((r[:4], [k[4] for k in m[0]], m[2]) for r, m in zip(read, made, strict=True))
+    made = boilerplate.page_keys([r[4] for r in read], [r[1] for r in read], [])
+    ordered = sorted((r[:4], m.keys, m.long) for r, m in zip(read, made, strict=True))
     seen, matched = {}, {}
     for x, (a, keys_a, long_a) in enumerate(ordered):
         for b, keys_b, long_b in ordered[x + 1 : x + 1 + boilerplate.NEIGHBOURS]:
             if a[:2] == b[:2]:
                 shared = boilerplate.shared_keys((*a[:2], keys_a, long_a, set(keys_a), set(long_a)), (*b[:2], keys_b, long_b, set(keys_b), set(long_b)))
-                for page, keys in ((a, keys_a), (b, keys_b)) if shared is not None else ():
+                for keys in (keys_a, keys_b) if shared is not None else ():
                     for k in set(keys):
-                        seen[a[0], a[1], k] = seen.get((a[0], a[1], k), 0) + 1
+                        seen[a[0], k] = seen.get((a[0], k), 0) + 1
                 for k in shared or ():
-                    matched[a[0], a[1], k] = matched.get((a[0], a[1], k), 0) + 2
+                    matched[a[0], k] = matched.get((a[0], k), 0) + 2
     for partitions in (1, 4, 23):
-        counts = {(r["tabla"], r["host"], r["s"]): (r["seen"], r["matched"]) for r in boilerplate.evidence(boilerplate.keys_of(pages, []), boilerplate.NEIGHBOURS, partitions).collect()}
+        counts = {(r["tabla"], r["s"]): (r["seen"], r["matched"]) for r in boilerplate.evidence(boilerplate.keys_of(pages, []), boilerplate.NEIGHBOURS, partitions).collect()}
         assert counts == {k: (n, matched.get(k, 0)) for k, n in seen.items()}
     rows = [sorted(tuple(r) for r in boilerplate.furniture(pages, [], partitions=n).collect()) for n in (8, 200)]
     assert rows[0] == rows[1] and rows[0]
