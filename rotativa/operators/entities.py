@@ -12,8 +12,6 @@ from rotativa.session import bounded_broadcast
 
 #: Runs of capitalised words.
 NAME = r"\p{Lu}[\p{Ll}\p{Lu}]+(?: \p{Lu}[\p{Ll}\p{Lu}]+)+"
-#: Words that join the parts of a name.
-PARTICLES = ("de", "del", "la", "las", "los", "el", "y", "san")
 
 
 def mentions(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rotativa.session import cut
 
 
-def cooccurrence(index: DataFrame, key: str, item: str, least: int = 2, most_per_key: int | None = None) -> DataFrame:
+def cooccurrence(index: DataFrame, key: str, item: str, least: int = 2) -> DataFrame:
     """(src, dst, weight): keys that hold both items, ``src < dst``.
 
     Items that stand in fewer than ``least`` keys cannot make an edge and are dropped before the self-join.
@@ -111,3 +111,127 @@ def by_period(index: DataFrame, periods: DataFrame, key: str, item: str, period:
     counted = edges.groupBy("period").agg(F.count("*").alias("edges")).join(nodes, "period")
     n, e = F.col("nodes").cast("double"), F.col("edges").cast("double")
     return counted.select("period", "nodes", "edges", F.round(F.when(n > 1, 2.0 * e / (n * (n - 1.0))).otherwise(0.0), 4).alias("density"))
+
+
+def strongest(edges: DataFrame, most: int) -> DataFrame:
+    """Edges among the ``most`` nodes of greatest strength (ties by name): the graph that is shown and measured as a whole."""
+    kept = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("_s")).orderBy(F.desc("_s"), "node").limit(most).select("node")
+    side = F.broadcast(cut(kept))  # at most ``most`` rows
+    return edges.join(side.withColumnRenamed("node", "src"), "src", "left_semi").join(side.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+
+
+def distances(edges: DataFrame) -> DataFrame:
+    """(src, dst, d): lengths of shortest paths between the nodes of each component, by joins of the frontier.
+
+    The result has the square of the nodes; it is meant for a graph cut by ``strongest``.
+    """
+    links = cut(both_ways(edges).select("src", "dst").distinct())
+    found = links.select(F.col("src"), F.col("src").alias("dst"), F.lit(0).alias("d")).distinct()
+    frontier, turn = found, 0
+    while True:
+        turn += 1
+        step = frontier.select("src", F.col("dst").alias("_via")).join(links.withColumnRenamed("src", "_via"), "_via").select("src", "dst").distinct()
+        frontier = cut(step.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("d", F.lit(turn)))
+        if frontier.isEmpty():
+            return found
+        found = cut(found.unionByName(frontier))
+
+
+def closeness(edges: DataFrame) -> DataFrame:
+    """(node, closeness, eccentricity): ((r - 1) / sum of distances) x ((r - 1) / (n - 1)), r the nodes reached with itself."""
+    reached = distances(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("r"), F.sum("d").alias("s"), F.max("d").alias("eccentricity"))
+    n = reached.agg(F.count("*").alias("_n"))
+    near = (F.col("r") - 1).cast("double")
+    return reached.crossJoin(F.broadcast(n)).select("node", F.round(F.when((F.col("s") > 0) & (F.col("_n") > 1), near / F.col("s") * near / (F.col("_n") - 1)).otherwise(0.0), 6).alias("closeness"), "eccentricity")  # one row
+
+
+def shape(edges: DataFrame) -> DataFrame:
+    """(nodes, edges, most, least, diameter, bipartite): sizes, greatest and least degree, longest shortest path, and whether two colours suffice.
+
+    A component has an odd cycle if an edge joins two nodes equally far from its least node.
+    """
+    all_ = cut(distances(edges))
+    level = all_.groupBy(F.col("src").alias("node")).agg(F.min_by("d", "dst").alias("d")).select("node", (F.col("d") % 2).alias("colour"))
+    a, b = level.select(F.col("node").alias("src"), F.col("colour").alias("_a")), level.select(F.col("node").alias("dst"), F.col("colour").alias("_b"))
+    odd = edges.join(a, "src").join(b, "dst").agg(F.count_if(F.col("_a") == F.col("_b")).alias("odd"))
+    ends = both_ways(edges).groupBy("src").agg(F.count("*").alias("k")).agg(F.count("*").alias("nodes"), F.max("k").alias("most"), F.min("k").alias("least"))
+    longest = all_.agg(F.max("d").alias("diameter"))
+    size = edges.agg(F.count("*").alias("edges"))
+    return ends.crossJoin(size).crossJoin(longest).crossJoin(odd).select("nodes", "edges", "most", "least", "diameter", (F.col("odd") == 0).alias("bipartite"))  # one row each
+
+
+def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, community): label propagation in step, each node taking the heaviest label around it and its own (ties by the least label).
+
+    A node's own label weighs as much as its heaviest edge, which keeps pairs from swapping labels for ever; the
+    rounds end when no label changes, and at ``rounds`` at the latest.
+    """
+    links = cut(both_ways(edges))
+    own = links.groupBy(F.col("src").alias("node")).agg(F.max("weight").alias("_own"))
+    labels = cut(own.select("node", F.col("node").alias("community")))
+    for _ in range(rounds):
+        heard = links.join(labels.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
+        kept = labels.join(own, "node").select("node", "community", F.col("_own").alias("weight"))
+        summed = heard.unionByName(kept).groupBy("node", "community").agg(F.sum("weight").alias("w"))
+        new = summed.groupBy("node").agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), "community")).alias("community"))
+        both = cut(new.join(labels.withColumnRenamed("community", "_old"), "node"))
+        labels = both.select("node", "community")
+        if both.where("community != _old").isEmpty():
+            break
+    return labels
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(communities, modularity) of a partition of a weighted graph."""
+    ways = both_ways(edges)
+    total = ways.agg(F.sum("weight").cast("double").alias("_m"))  # twice the weight of all edges
+    a, b = labels.select(F.col("node").alias("src"), F.col("community").alias("_a")), labels.select(F.col("node").alias("dst"), F.col("community").alias("_b"))
+    placed = ways.join(a, "src").join(b, "dst")
+    each = placed.groupBy(F.col("_a").alias("community")).agg(F.sum("weight").cast("double").alias("k"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("weight")).otherwise(0)).cast("double").alias("inside"))
+    return each.crossJoin(F.broadcast(total)).agg(F.count("*").alias("communities"), F.round(F.sum(F.col("inside") / F.col("_m") - (F.col("k") / F.col("_m")) * (F.col("k") / F.col("_m"))), 4).alias("modularity"))  # one row
+
+
+def betweenness(edges: DataFrame, most: int = 300) -> DataFrame:
+    """(node, betweenness) on the ``most`` strongest nodes, weights read as lengths, normalised by (n - 1)(n - 2) / 2.
+
+    Shortest path counts from every source, in one task over the bounded graph, which every source needs as a whole.
+    """
+    import pandas as pd
+
+    def measure(table: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        near: dict[str, list[tuple[str, float]]] = {}
+        for a, b, w in zip(table["src"], table["dst"], table["weight"], strict=True):
+            near.setdefault(a, []).append((b, float(w)))
+            near.setdefault(b, []).append((a, float(w)))
+        score = dict.fromkeys(near, 0.0)
+        for source in near:
+            length, paths, before, done = {source: 0.0}, {source: 1.0}, {source: []}, []
+            heap, settled = [(0.0, source)], set()
+            while heap:
+                d, v = heapq.heappop(heap)
+                if v in settled:
+                    continue
+                settled.add(v)
+                done.append(v)
+                for u, w in near[v]:
+                    reach = d + w
+                    if u not in length or reach < length[u]:
+                        length[u], paths[u], before[u] = reach, paths[v], [v]
+                        heapq.heappush(heap, (reach, u))
+                    elif reach == length[u] and u not in settled:
+                        paths[u] += paths[v]
+                        before[u].append(v)
+            share = dict.fromkeys(done, 0.0)
+            for v in reversed(done):
+                for u in before[v]:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+                if v != source:
+                    score[v] += share[v]
+        n = len(near)
+        scale = (n - 1) * (n - 2) if n > 2 else 1
+        return pd.DataFrame({"node": list(score), "betweenness": [round(x / scale, 6) for x in score.values()]})
+
+    whole = strongest(edges, most).withColumn("_all", F.lit(1))
+    return whole.groupBy("_all").applyInPandas(lambda t: measure(t), "node string, betweenness double")

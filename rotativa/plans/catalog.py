@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rotativa.operators import timestamps
-from rotativa.plans import reference_queries
+from rotativa.plans import reference_queries, rollup_queries
 from rotativa.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,8 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found} | reference_queries.QUERIES
+    return {"p6_found": p6_found} | reference_queries.QUERIES | rollup_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(reference_queries.SQL)
+    return reference_queries.SQL | rollup_queries.SQL

@@ -202,7 +202,7 @@ def search_hits(spark, d):
     return corpus.search_hits(hits, ("elfaroharsoigan.co.example",), F.lit("2025-10-01").cast("date"), F.lit("2026-06-30").cast("date"), day, ("tribunal", "comisión")).select("resultado_id", "url")
 
 
-@query(r"""SELECT captura_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p[^>]*>([^<]*)</p>', 1), lambda x: trim(x)), lambda x: length(x) > 30), chr(10)) AS body FROM capturas WHERE html IS NOT NULL""")
+@query(r"""SELECT captura_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: length(x) > 30), chr(10)) AS body FROM capturas WHERE html IS NOT NULL""")
 def html_article(spark, d):
     from rotativa.sources import html
 
