@@ -63,8 +63,11 @@ def upsert(stored: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame
     return both.groupBy(*key).agg(F.max_by(F.struct(*rest), "_p").alias("_r")).select(*key, "_r.*")
 
 
-def extraction_quality(notes: DataFrame, key: str, text: str, headline: str, interface: str, least: int = 120, short: int = 250) -> DataFrame:
-    """(key, words, score, verdict): how far a text looks like a well extracted article."""
+def extraction_quality(notes: DataFrame, key: str, text: str, headline: str, interface: str, wall: str, least: int = 120, short: int = 250) -> DataFrame:
+    """(key, words, score, verdict, reasons): how far a text looks like a well extracted article, and what speaks against it.
+
+    ``interface`` and ``wall`` are patterns of interface phrases and of a wall before the content.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 15)
     base = notes.select(
@@ -72,22 +75,35 @@ def extraction_quality(notes: DataFrame, key: str, text: str, headline: str, int
         F.coalesce(F.col(headline), F.lit("")).alias("_t"),
         T.word_count(body).alias("words"),
         F.regexp_count(F.lower(body), F.lit(interface)).alias("_ui"),
+        F.lower(body).rlike(wall).alias("_wall"),
         F.size(lines).alias("_lines"),
         F.size(F.array_distinct(lines)).alias("_unique"),
         F.length(body).alias("_chars"),
         F.length(F.regexp_replace(body, r"[\p{L}\p{N}\s.,;:!?¡¿()\"'«»“”–—-]", "")).alias("_odd"),
     )
     density = F.col("_ui").cast("double") * 100.0 / F.greatest("words", F.lit(1))
+    repeated = (F.col("_lines") > 0) & (F.col("_unique").cast("double") / F.greatest("_lines", F.lit(1)) < 0.6)
+    odd = F.col("_odd").cast("double") / F.greatest("_chars", F.lit(1)) > 0.08
+    named = F.array(
+        F.when(F.col("words") == 0, "sin texto"),
+        F.when(F.col("words").between(1, least - 1), "cuerpo corto").when(F.col("words").between(least, short - 1), "cuerpo breve"),
+        F.when((F.col("words") > 0) & F.col("_wall"), "muro"),
+        F.when((F.col("words") > 0) & (density > 1.2), F.when(density > 3, "mucha interfaz").otherwise("algo de interfaz")),
+        F.when((F.col("words") > 0) & repeated, "lineas repetidas"),
+        F.when((F.col("words") > 0) & odd, "signos extraños"),
+        F.when((F.col("words") > 0) & (F.trim("_t") == ""), "sin titular"),
+    )
     lost = (
         F.when(F.col("words") < least, 0.35).when(F.col("words") < short, 0.12).otherwise(0.0)
         + F.when(density > 3, 0.30).when(density > 1.2, 0.12).otherwise(0.0)
-        + F.when((F.col("_lines") > 0) & (F.col("_unique").cast("double") / F.greatest("_lines", F.lit(1)) < 0.6), 0.20).otherwise(0.0)
-        + F.when(F.col("_odd").cast("double") / F.greatest("_chars", F.lit(1)) > 0.08, 0.15).otherwise(0.0)
+        + F.when(F.col("_wall"), 0.40).otherwise(0.0)
+        + F.when(repeated, 0.20).otherwise(0.0)
+        + F.when(odd, 0.15).otherwise(0.0)
         + F.when(F.trim("_t") == "", 0.08).otherwise(0.0)
     )
     score = F.when(F.col("words") == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.lit(1.0) - lost), 2))
-    scored = base.select(key, "words", score.alias("score"))
-    return scored.withColumn("verdict", F.when(F.col("words") == 0, "malo").otherwise(T.labelled(F.col("score"), 0.75, 0.45, ("bueno", "regular", "malo"))))
+    scored = base.select(key, "words", score.alias("score"), F.array_join(F.array_compact(named), "; ").alias("reasons"))
+    return scored.withColumn("verdict", F.when(F.col("words") == 0, "malo").otherwise(T.labelled(F.col("score"), 0.75, 0.45, ("confiable", "revisar", "malo"))))
 
 
 def confidence(notes: DataFrame, key: str, text: str, headline: str, date: str, method: str, generic: str) -> DataFrame:

@@ -49,6 +49,61 @@ def canonical(index: DataFrame, names: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("canonical", "entity").alias("entity"), "doc_id", "n").groupBy("entity", "doc_id").agg(F.sum("n").alias("n"))
 
 
+def fragment(entity: Column, words: dict[str, tuple[str, ...]], most: int = 5) -> Column:
+    """The first reason for which a string is no name, else null.
+
+    ``words`` holds lists in lower case: ``connectors``, ``verbs`` (of saying), ``common`` (offices and common nouns),
+    ``kept`` (abbreviations with digits that are names), ``openings`` (prepositions and articles) and ``signals``
+    (words that betray two pieces run together).
+    """
+    bare = F.trim(entity)
+    low = F.lower(bare)
+    parts = F.split(low, r"\s+")
+    first = F.element_at(parts, 1)
+    return (
+        F.when(bare == "", "vacia")
+        .when(low.isin(*words["connectors"]), "conector")
+        .when(low.isin(*words["verbs"]), "verbo")
+        .when(low.isin(*words["common"]), "generico")
+        .when(low.isin(*words["kept"]), F.lit(None))
+        .when(bare.rlike(r"[0-9]"), "cifra")
+        .when(bare.rlike(r"^[¿¡?!]"), "signo")
+        .when(bare.rlike(r"^\p{Ll}"), "minuscula")
+        .when(first.isin(*words["openings"]), "comienzo")
+        .when(first.isin(*words["verbs"]), "verbo")
+        .when(F.length(bare) <= 2, "corta")
+        .when(entity.contains("\n"), "salto")
+        .when(low.rlike("(ó|aron|ieron)$") & ~low.contains(" "), "conjugada")
+        .when(F.size(parts) > most, "larga")
+        .when((F.size(parts) >= 3) & F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words["signals"]])), "fragmento")
+    )
+
+
+def name_tokens(name: Column, particles: tuple[str, ...]) -> Column:
+    """The folded tokens of a name that tell it from others: longer than two letters and no particles."""
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(T.fold(name), F.lit(T.RUN), 0), lambda x: (F.length(x) > 2) & ~x.isin(*particles))))
+
+
+def canonical_people(names: DataFrame, seeds: DataFrame, particles: tuple[str, ...]) -> DataFrame:
+    """(name, canonical): declared forms first, then each name goes to the first fuller name that holds all of its tokens.
+
+    Fuller names come first (more tokens, then by name). The first name in that order whose tokens hold another's is
+    held by no fuller one, so one join is enough: names meet on their rarest token, an equi-join in place of a
+    comparison of all pairs. ``names(name)`` is distinct, ``seeds(form, canonical)`` are the declared forms.
+    """
+    rows = names.where("name is not null").select("name", name_tokens(F.col("name"), particles).alias("t"), T.fold_trim(F.col("name")).alias("_f"))
+    declared = seeds.where("form is not null").select(T.fold_trim(F.col("form")).alias("_f"), "canonical").groupBy("_f").agg(F.max("canonical").alias("seed"))
+    rows = rows.join(declared, "_f", "left")
+    free = rows.where("seed is null and size(t) > 0").select("name", "t")
+    tokens = free.select("name", "t", F.explode("t").alias("k"))
+    common = tokens.groupBy("k").agg(F.count("*").alias("df"))
+    rarest = tokens.join(common, "k").groupBy("name").agg(F.min_by(F.struct("k", "t"), F.struct("df", "k")).alias("r")).select("name", F.col("r.k").alias("k"), F.col("r.t").alias("t"))
+    fuller = tokens.select("k", F.col("name").alias("_other"), F.col("t").alias("_wide"))
+    held = rarest.join(fuller, "k").where(F.size(F.array_except("t", "_wide")) == 0)
+    found = held.groupBy("name").agg(F.min_by("_other", F.struct((-F.size("_wide")).alias("n"), "_other")).alias("leader"))
+    return rows.join(found, "name", "left").select("name", F.coalesce("seed", "leader", "name").alias("canonical"))
+
+
 def containment_groups(index: DataFrame) -> DataFrame:
     """(entity, leader): a shorter name goes to the most frequent longer name that holds its last words.
 
@@ -88,9 +143,13 @@ def prominence_summary(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("actor").agg(F.count("*").alias("docs"), F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).alias("first"), F.round(F.avg("position"), 3).alias("position"))
 
 
+#: Pairs of quotation marks around 20 to 500 characters; single ones stand after and before no letter.
+QUOTES = ("«([^«»]{20,500})»", "“([^“”]{20,500})”", '"([^"]{20,500})"', r"(?:^|[^\p{L}\p{N}])'([^']{20,500})'(?:$|[^\p{L}\p{N}])")
+
+
 def shared_quotes(documents: DataFrame, least_words: int = 5, least_documents: int = 2) -> DataFrame:
     """(quote, documents): quotations of 20 to 500 characters that stand in several documents, each counted once."""
     text = F.coalesce("text", F.lit(""))
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in ("«([^«»]{20,500})»", "“([^“”]{20,500})”", '"([^"]{20,500})"')])
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), 1) for p in QUOTES])
     rows = documents.select("doc_id", F.explode(F.array_distinct(F.transform(found, lambda q: F.trim(q)))).alias("quote")).where(T.word_count(F.col("quote")) >= least_words)
     return rows.groupBy("quote").agg(F.count("*").alias("documents")).where(F.col("documents") >= least_documents)

@@ -112,17 +112,19 @@ def clean_body(spark, d):
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(cuerpo, ''), '\s+'), lambda x: x <> '')"
 
 
-@query(rf"""WITH b AS (SELECT id, coalesce(titular, '') AS t, len({_WORDS}) AS words, len(regexp_extract_all(lower(coalesce(cuerpo, '')), '{S.INTERFACE}')) AS ui,
+@query(rf"""WITH b AS (SELECT id, coalesce(titular, '') AS t, len({_WORDS}) AS words, len(regexp_extract_all(lower(coalesce(cuerpo, '')), '{S.INTERFACE}')) AS ui, regexp_matches(lower(coalesce(cuerpo, '')), '{S.WALL}') AS wall,
   list_filter(list_transform(string_split(coalesce(cuerpo, ''), chr(10)), lambda x: trim(x)), lambda x: length(x) > 15) AS l, length(coalesce(cuerpo, '')) AS chars,
   length(regexp_replace(coalesce(cuerpo, ''), '[\p{{L}}\p{{N}}\s.,;:!?¡¿()"''«»“”–—-]', '', 'g')) AS odd FROM notas),
 s AS (SELECT id, CAST(words AS INTEGER) AS words, CASE WHEN words = 0 THEN 0.0 ELSE round(CAST(greatest(0.0, 1.0 - (
   CASE WHEN words < 120 THEN 0.35 WHEN words < 250 THEN 0.12 ELSE 0.0 END
-  + CASE WHEN ui * 100.0 / greatest(words, 1) > 3 THEN 0.30 WHEN ui * 100.0 / greatest(words, 1) > 1.2 THEN 0.12 ELSE 0.0 END
+  + CASE WHEN wall THEN 0.40 ELSE 0.0 END + CASE WHEN ui * 100.0 / greatest(words, 1) > 3 THEN 0.30 WHEN ui * 100.0 / greatest(words, 1) > 1.2 THEN 0.12 ELSE 0.0 END
   + CASE WHEN len(l) > 0 AND len(list_distinct(l)) / CAST(len(l) AS DOUBLE) < 0.6 THEN 0.20 ELSE 0.0 END
-  + CASE WHEN odd / CAST(greatest(chars, 1) AS DOUBLE) > 0.08 THEN 0.15 ELSE 0.0 END + CASE WHEN trim(t) = '' THEN 0.08 ELSE 0.0 END)) AS DOUBLE), 2) END AS score FROM b)
-SELECT id, words, CAST(score AS DOUBLE) AS score, CASE WHEN words = 0 THEN 'malo' WHEN score >= 0.75 THEN 'bueno' WHEN score >= 0.45 THEN 'regular' ELSE 'malo' END AS verdict FROM s""")
+  + CASE WHEN odd / CAST(greatest(chars, 1) AS DOUBLE) > 0.08 THEN 0.15 ELSE 0.0 END + CASE WHEN trim(t) = '' THEN 0.08 ELSE 0.0 END)) AS DOUBLE), 2) END AS score,
+  CASE WHEN words = 0 THEN 'sin texto' ELSE concat_ws('; ', CASE WHEN words < 120 THEN 'cuerpo corto' WHEN words < 250 THEN 'cuerpo breve' END, CASE WHEN wall THEN 'muro' END, CASE WHEN ui * 100.0 / greatest(words, 1) > 3 THEN 'mucha interfaz' WHEN ui * 100.0 / greatest(words, 1) > 1.2 THEN 'algo de interfaz' END,
+    CASE WHEN len(l) > 0 AND len(list_distinct(l)) / CAST(len(l) AS DOUBLE) < 0.6 THEN 'lineas repetidas' END, CASE WHEN odd / CAST(greatest(chars, 1) AS DOUBLE) > 0.08 THEN 'signos extraños' END, CASE WHEN trim(t) = '' THEN 'sin titular' END) END AS reasons FROM b)
+SELECT id, words, CAST(score AS DOUBLE) AS score, reasons, CASE WHEN words = 0 THEN 'malo' WHEN score >= 0.75 THEN 'confiable' WHEN score >= 0.45 THEN 'revisar' ELSE 'malo' END AS verdict FROM s""")
 def extraction_quality(spark, d):
-    return corpus.extraction_quality(table(spark, d, "notas", "id", "titular", "cuerpo"), "id", "cuerpo", "titular", S.INTERFACE)
+    return corpus.extraction_quality(table(spark, d, "notas", "id", "titular", "cuerpo"), "id", "cuerpo", "titular", S.INTERFACE, S.WALL)
 
 
 def _summary_sql(base: str, key: str, value: str) -> str:
@@ -514,7 +516,7 @@ def prominence_summary(spark, d):
     return entities.prominence_summary(prominence_rank(spark, d))
 
 
-@query(r"""WITH q AS (SELECT doc_id, unnest(list_distinct(list_transform(list_concat(regexp_extract_all(coalesce(text, ''), '«([^«»]{20,500})»', 1), regexp_extract_all(coalesce(text, ''), '“([^“”]{20,500})”', 1), regexp_extract_all(coalesce(text, ''), '"([^"]{20,500})"', 1)), lambda x: trim(x)))) AS quote FROM documents)
+@query(r"""WITH q AS (SELECT doc_id, unnest(list_distinct(list_transform(list_concat(regexp_extract_all(coalesce(text, ''), '«([^«»]{20,500})»', 1), regexp_extract_all(coalesce(text, ''), '“([^“”]{20,500})”', 1), regexp_extract_all(coalesce(text, ''), '"([^"]{20,500})"', 1), regexp_extract_all(coalesce(text, ''), '(?:^|[^\p{L}\p{N}])''([^'']{20,500})''(?:$|[^\p{L}\p{N}])', 1)), lambda x: trim(x)))) AS quote FROM documents)
 SELECT quote, count(*) AS documents FROM q WHERE len(list_filter(regexp_split_to_array(quote, '\s+'), lambda x: x <> '')) >= 5 GROUP BY quote HAVING count(*) >= 2""")
 def shared_quotes(spark, d):
     return entities.shared_quotes(docs(spark, d, "text"))

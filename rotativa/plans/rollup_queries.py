@@ -154,6 +154,30 @@ def label_confusion(spark, d):
     return rollups.confusion(rows, "a", "b")
 
 
+_W = S.NAME_WORDS
+_FRAGMENT = rf"""CASE WHEN trim(nombre) = '' THEN 'vacia' WHEN lower(trim(nombre)) IN {R._list(_W['connectors'])} THEN 'conector' WHEN lower(trim(nombre)) IN {R._list(_W['verbs'])} THEN 'verbo' WHEN lower(trim(nombre)) IN {R._list(_W['common'])} THEN 'generico'
+ WHEN lower(trim(nombre)) IN {R._list(_W['kept'])} THEN NULL WHEN regexp_matches(trim(nombre), '[0-9]') THEN 'cifra' WHEN regexp_matches(trim(nombre), '^[¿¡?!]') THEN 'signo' WHEN regexp_matches(trim(nombre), '^\p{{Ll}}') THEN 'minuscula'
+ WHEN regexp_split_to_array(lower(trim(nombre)), '\s+')[1] IN {R._list(_W['openings'])} THEN 'comienzo' WHEN regexp_split_to_array(lower(trim(nombre)), '\s+')[1] IN {R._list(_W['verbs'])} THEN 'verbo' WHEN length(trim(nombre)) <= 2 THEN 'corta' WHEN contains(nombre, chr(10)) THEN 'salto'
+ WHEN regexp_matches(lower(trim(nombre)), '(ó|aron|ieron)$') AND NOT contains(lower(trim(nombre)), ' ') THEN 'conjugada' WHEN len(regexp_split_to_array(lower(trim(nombre)), '\s+')) > 5 THEN 'larga'
+ WHEN len(regexp_split_to_array(lower(trim(nombre)), '\s+')) >= 3 AND list_has_any(regexp_split_to_array(lower(trim(nombre)), '\s+'), [{', '.join("'" + w + "'" for w in _W['signals'])}]) THEN 'fragmento' END"""
+
+
+@query(f"SELECT rev_id, nombre, {_FRAGMENT} AS reason FROM revision_entidades WHERE nombre IS NOT NULL")
+def name_fragments(spark, d):
+    rows = table(spark, d, "revision_entidades", "rev_id", "nombre").where("nombre is not null")
+    return rows.select("rev_id", "nombre", entities.fragment(F.col("nombre"), S.NAME_WORDS).alias("reason"))
+
+
+@query(rf"""WITH n AS (SELECT DISTINCT nombre AS name, list_sort(list_distinct(list_filter(regexp_extract_all({R.FOLD.format('nombre')}, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 2 AND NOT x IN {R._list(S.PARTICLES)}))) AS t, trim({R.FOLD.format('nombre')}) AS f FROM revision_entidades WHERE categoria = 'PERSONA' AND nombre IS NOT NULL),
+s AS (SELECT trim({R.FOLD.format('forma')}) AS f, max(nombre) AS seed FROM {_FORMS} WHERE forma IS NOT NULL AND nombre IS NOT NULL GROUP BY 1), r AS (SELECT n.*, seed FROM n LEFT JOIN s USING (f)), g AS (SELECT * FROM r WHERE seed IS NULL AND len(t) > 0),
+l AS (SELECT a.name, min_by(b.name, struct_pack(n := -len(b.t), m := b.name)) AS leader FROM g a JOIN g b ON list_has_all(b.t, a.t) GROUP BY a.name) SELECT name, coalesce(seed, leader, name) AS canonical FROM r LEFT JOIN l USING (name)""")
+def canonical_people(spark, d):
+    names = table(spark, d, "revision_entidades", "nombre", "categoria").where("categoria = 'PERSONA'").select(F.col("nombre").alias("name")).distinct()
+    seeds = table(spark, d, "entidades_interes", "nombre", "formas").where("nombre is not null")
+    forms = seeds.select(F.explode(F.concat(F.array("nombre"), F.coalesce(F.from_json("formas", "array<string>"), F.array().cast("array<string>")))).alias("form"), F.col("nombre").alias("canonical"))
+    return entities.canonical_people(names, forms, S.PARTICLES)
+
+
 # ---------------------------------------------------------------- annotated documents
 
 _NOTES = f"(SELECT p.doc_id, p.label, p.score, e.dominant AS emotion, f.frame FROM ({SQL['polarity_lexicon']}) p JOIN ({SQL['emotions']}) e USING (doc_id) JOIN ({SQL['frames']}) f USING (doc_id))"

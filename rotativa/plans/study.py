@@ -32,3 +32,14 @@ FURNITURE = r"^(síguenos|compart|etiquetas|temas|foto:|publicidad|lea también|
 INTERFACE = r"compartir|suscr[ií]base|síguenos|boletín|cookies|comentarios|inicie sesión"
 CONNECTORS = tuple("además según para desde con sin embargo hasta ahora por ante entre unas ni".split())
 TOP_LEVEL = {"co": "CO", "mx": "MX", "es": "ES", "cl": "CL", "pe": "PE", "br": "BR", "uk": "GB"}
+NAME_WORDS = {
+    "connectors": CONNECTORS,
+    "verbs": tuple("dijo agregó señaló afirmó sostuvo explicó negó".split()),
+    "common": tuple("presidente alcalde senador ministra fiscal ley estado nueva".split()),
+    "kept": ("m-19", "g-20"),
+    "openings": tuple("de del la el los las en a con por para un una su al y que".split()),
+    "signals": tuple("foto video radio presidente gobierno".split()),
+}
+#: Particles of surnames.
+PARTICLES = ("de", "la", "del", "los", "las", "y", "san", "santa")
+WALL = r"acepte? (?:las )?cookies|inicie sesión para|suscríbase para (?:seguir|continuar)|contenido exclusivo"
