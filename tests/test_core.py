@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotativa.functions import text as T
-from rotativa.operators import corpus, entities, graph, lexical, series, similarity, timestamps, tone
+from rotativa.operators import corpus, entities, graph, lexical, review, rollups, series, similarity, timestamps, tone
 from rotativa.operators.tone import Lexicon
 from rotativa.sources import feeds, html, sinks
 from rotativa.streaming import incremental
@@ -180,3 +180,77 @@ def test_pagerank_runs_until_it_converges(spark):
     # hub = 0.15 / 51 + 0.85 x leaves, leaves = 50 x 0.15 / 51 + 0.85 x hub
     exact = (0.15 / 51 + 0.85 * 50 * 0.15 / 51) / (1 - 0.85**2)
     assert abs(ranks["hub"] - exact) < 51e-6 * 6 and abs(sum(ranks.values()) - 1) < 1e-9
+
+
+def test_canonical_people_by_token_sets_and_seeds(spark):
+    names = ["Ana María Ruiz Mora", "Ruiz Mora", "ruiz", "Ana Ruíz", "De la Paz", "J. P.", "Mora", "El Profe", "Luis Paz", None]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    seeds = spark.createDataFrame([("el profe", "Luis Paz Gil"), (None, "x")], "form string, canonical string")
+    found = {r["name"]: r["canonical"] for r in entities.canonical_people(frame, seeds, ("de", "la")).collect()}
+    whole = "Ana María Ruiz Mora"
+    # "Paz" is held by "Luis Paz"; a name without tokens stays; declared forms win
+    assert found == {whole: whole, "Ruiz Mora": whole, "ruiz": whole, "Ana Ruíz": whole, "Mora": whole, "De la Paz": "Luis Paz", "Luis Paz": "Luis Paz", "J. P.": "J. P.", "El Profe": "Luis Paz Gil"}
+    assert entities.canonical_people(frame.where("false"), seeds, ()).count() == 0
+
+
+def test_fragments_are_no_names(spark):
+    words = {"connectors": ("además",), "verbs": ("dijo",), "common": ("ley",), "kept": ("m-19",), "openings": ("de",), "signals": ("foto",)}
+    cases = {"": "vacia", "Además": "conector", "Dijo": "verbo", "Dijo Ana": "verbo", "Ley": "generico", "M-19": None, "Grupo 7": "cifra", "¿Quién": "signo", "ana": "minuscula", "De Ana": "comienzo", "Xi": "corta", "Ana\nRuiz": "salto", "Reiteró": "conjugada", "A B C D E F": "larga", "Ana Ruiz Foto": "fragmento", "Ana Ruiz": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "entity string")
+    assert {r["entity"]: r["why"] for r in rows.select("entity", entities.fragment(F.col("entity"), words).alias("why")).collect()} == cases
+
+
+def test_review_of_entities(spark):
+    index = spark.createDataFrame([("Ana", 1), ("Ana", 2), ("Ana", 3), ("Luz", 1), ("Luz", 2), ("Sol", 9), ("Mar", 4)], "entity string, doc_id long")
+    seeds = spark.createDataFrame([("SOL",), (None,)], "form string")
+    assert {tuple(r) for r in review.queue(index, seeds).collect()} == {("Luz", 2, 0.55, "amarillo"), ("Mar", 1, 0.3, "rojo")}
+    decided = spark.createDataFrame([("Ana", "renombrada", "Luz"), ("Mar", "descartada", None), ("Sol", "verificada", "")], "name string, decision string, new_name string")
+    after = review.reviewed(index, decided, "descartada", "renombrada")
+    assert sorted(tuple(r) for r in after.collect()) == [("Luz", 1), ("Luz", 2), ("Luz", 3), ("Sol", 9)]
+    stored = spark.createDataFrame([("Luz", "pendiente", 0.1), ("Mar", "verificada", 0.9)], "name string, decision string, score double")
+    assert {tuple(r) for r in review.merged(stored, review.queue(index, seeds), "pendiente").collect()} == {("Luz", "pendiente", 0.55), ("Mar", "verificada", 0.9)}
+
+
+def test_rollups(spark):
+    days = spark.createDataFrame([(dt.date(2026, 1, d), w) for d, w in ((1, 1), (10, 40), (11, 50), (12, 9))], "day date, w long")
+    assert tuple(rollups.dense_range(days, "day", "w", 0.9).first()) == (dt.date(2026, 1, 10), dt.date(2026, 1, 11), 2, dt.date(2026, 1, 11))
+    named = spark.createDataFrame([("Ana", 1), ("Ana", 2), ("Ana", 2), ("Luz", 3)], "actor string, doc_id long")
+    notes = spark.createDataFrame([(1, "positivo", 1.0, "b", None), (2, "negativo", -0.5, "a", "f"), (3, "neutro", 0.0, None, None)], "doc_id long, label string, score double, emotion string, frame string")
+    rows = {r["actor"]: r for r in rollups.compared(named, notes).collect()}
+    assert (rows["Ana"]["n"], rows["Ana"]["score"], rows["Ana"]["emotion"], rows["Ana"]["frame"], rows["Ana"]["affective"]) == (2, 0.25, "a", "f", 1.0) and rows["Luz"]["affective"] == 0.0
+    seeds = spark.createDataFrame([("Ana", "persona", '["Anita"]'), ("Ana", "", None), (None, "x", None)], "nombre string, tipo string, formas string")
+    assert {tuple(r) for r in rollups.typed_forms(seeds.where("nombre is not null")).collect()} == {("ana", "persona"), ("anita", "persona")}
+
+
+def test_whole_graph_measures(spark):
+    star = spark.createDataFrame([("hub", x, 1) for x in "abcd"] + [("x", "y", 2), ("y", "z", 2), ("x", "z", 2)], "src string, dst string, weight int")
+    near = {r["node"]: (r["closeness"], r["eccentricity"]) for r in graph.closeness(star).collect()}
+    assert near["hub"] == (round(4 / 4 * 4 / 7, 6), 1) and near["a"] == (round(4 / 7 * 4 / 7, 6), 2)
+    assert tuple(graph.shape(star).first()) == (8, 7, 4, 1, 2, False) and graph.shape(star.where("src = 'hub'")).first()["bipartite"]
+    between = {r["node"]: r["betweenness"] for r in graph.betweenness(star).collect()}
+    assert between["hub"] == round(12 / 42, 6) and between["a"] == between["x"] == 0.0
+    groups = {r["node"]: r["community"] for r in graph.communities(star).collect()}
+    assert groups["x"] == groups["y"] == groups["z"] and groups["hub"] == groups["a"] != groups["x"]
+    both = graph.modularity(star, graph.communities(star)).first()
+    assert both["communities"] == 2 and 0.4 < both["modularity"] < 0.5
+    # hub, x, y and z are equally strong
+    assert graph.strongest(star, 4).count() == 3 and graph.strongest(star, 1).count() == 0
+
+
+def test_structured_extraction(spark):
+    linked = '<script type="application/ld+json">{"headline": "Un título", "author": {"name": "Ana Ruiz"}, "datePublished": "2026-01-31", "articleSection": "Vida"}</script>'
+    body = "<p>" + "palabra " * 45 + "<b>fin</b></p>"
+    rows = [(1, linked + "<article>" + body + "</article><p>" + "menú " * 20 + "</p>"), (2, '<title>Otro</title><meta name="author" content="Luz"><p class="x">Una frase con <a href="#">enlace</a> y más de treinta letras</p>'), (3, None), (4, "")]
+    found = {r["captura_id"]: r for r in html.structured(spark.createDataFrame(rows, "captura_id long, html string")).collect()}
+    assert found[1][1:5] == ("Un título", "Ana Ruiz", "2026-01-31", "Vida") and found[1]["body"].endswith("fin") and found[1]["method"] == "datos"
+    assert found[2]["title"] == "Otro" and found[2]["author"] == "Luz" and found[2]["body"] == "Una frase con enlace y más de treinta letras" and 3 not in found and found[4]["body"] == ""
+
+
+def test_shared_folder_and_unreadable_tables(spark, tmp_path):
+    from rotativa.session import bounded_broadcast, shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert not incremental.exists(spark, str(tmp_path / "none")) and incremental.exists(spark, str(tmp_path))
+    wide = spark.createDataFrame([("x" * 1000,)] * 5, "a string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(bounded_broadcast(wide)) and not hinted(bounded_broadcast(wide, max_rows=4)) and not hinted(bounded_broadcast(wide, max_bytes=4000))
