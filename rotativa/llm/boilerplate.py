@@ -62,7 +62,8 @@ _LIST = re.compile(r"\s+[·|>/•–—\-]\s+|\s{2,}")
 _HEAD = re.compile(r"^(\d{1,2}[.)]|\[[^\]\n]{2,12}\]|[^\W\d][^.:→–—|·>,;«»\"“”¿?¡!()\d]{1,28}?\s?(?::|→|–|—|·))(?=\s|$)")
 _SENTENCE = re.compile(r"(?<=[.!?”»\"])\s+(?=[^\W_a-záéíóúñü]|[«¿¡“\"])")
 _TERMINAL = re.compile(r"[.!?…”»\")\]]$")
-_SIGN = re.compile(r"(?<![^ ])[^\x00-\x7f]{1,8}(?![^ ])")
+_SPACE = re.compile(r"[^\S\n ]")
+_SIGN = re.compile(r"(?<![^ \n])[^\x00-\x7f]{1,8}(?![^ \n])")
 _DIGITS = re.compile(r"\d[\d.,:]*")
 
 
@@ -111,21 +112,29 @@ def _words_of(texts: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(plain, r"\s+", " "))
 
 
-def sketch_bands(words: pa.ListArray, bands: int = BANDS) -> np.ndarray:
-    """A key for each band of the MinHash sketch of each line's words; lines of the same words have the same keys."""
+def minima(words: pa.ListArray) -> np.ndarray:
+    """The MinHash sketch of each sentence's words."""
     if not len(words):
-        return np.empty((0, bands), np.int64)
+        return np.empty((0, BANDS * ROWS), np.uint64)
     coded = words.flatten().dictionary_encode()
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     starts = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
     codes = coded.indices.to_numpy()
-    out = np.zeros((len(words), bands), np.uint64)
-    for place in range(bands * ROWS):
-        mixed = table * _ODD[place]
+    out = np.empty((len(words), BANDS * ROWS), np.uint64)
+    for place, odd in enumerate(_ODD):
+        mixed = table * odd
         mixed ^= mixed >> np.uint64(32)
-        mixed *= _ODD[place]
+        mixed *= odd
+        out[:, place] = np.minimum.reduceat(mixed[codes], starts)
+    return out
+
+
+def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A key for each band of a sketch; lines of the same words have the same keys."""
+    out = np.zeros((len(sketch), bands), np.uint64)
+    for place in range(bands * ROWS):
         band = place // ROWS
-        out[:, band] = (out[:, band] * np.uint64(0x9E3779B97F4A7C15)) ^ np.minimum.reduceat(mixed[codes], starts)
+        out[:, band] = (out[:, band] * np.uint64(0x9E3779B97F4A7C15)) ^ sketch[:, place]
     return _of_kind((out * np.uint64(0xBF58476D1CE4E5B9) + np.arange(bands, dtype=np.uint64)).view(np.int64), LONG_KIND)
 
 
@@ -147,11 +156,9 @@ def line_keys(line: str) -> tuple[list[str], int, int, bool, str] | None:
 
     Keys after the parts stand for the line by themselves.
     """
-    raw = re.sub(r"[^\S\n]", " ", line).strip()
+    raw = line.strip()
     if not raw:
         return None
-    # a sign that a wrong decoding has changed still parts
-    raw = _SIGN.sub(lambda m: m[0] if m[0].isalpha() or m[0] in "·•→–—«»" else "·", raw)
     text = squeezed = " ".join(raw.split())
     tokens = text.split()
     ended = bool(_TERMINAL.search(text))
@@ -196,11 +203,13 @@ def page_keys(texts: list[str], hosts: list[str], brands: list[str]) -> list[Pag
     for spelt, name in ((sorted({x.upper() for x in brands}), "ZZ"), (sorted({*brands, *(x.lower() for x in brands)}), "Zz")):
         if spelt and len(masked_texts):
             masked_texts = pc.replace_substring_regex(masked_texts, "|".join(re.escape(x) for x in sorted(spelt, key=lambda x: (-len(x), x))), name)
-    pages, whole_lines, openings, inner_sentences = [], [], [], []
+    pages, sentences, starts = [], [], []
     for text, host in zip(masked_texts.to_pylist(), hosts, strict=True):
+        # white space of any kind is a blank; a sign that a wrong decoding has changed still parts
+        text = _SIGN.sub(lambda m: m[0] if m[0].isalpha() or m[0] in "·•→–—«»" else "·", _SPACE.sub(" ", text))
         rows: list[tuple[int, int, int, int | None, int]] = []
         long: list[int] = []
-        inner_from = len(inner_sentences)
+        inner: list[int] = []
         opener: int | None = None
         for number, line in enumerate(text.split("\n")):
             found = line_keys(line)
@@ -217,17 +226,18 @@ def page_keys(texts: list[str], hosts: list[str], brands: list[str]) -> list[Pag
                 opener = keys[0] if len(keys) == 1 and len(short[0].split()) <= 4 and not short[0].endswith("*") else None
             if whole:
                 long.append(own)
-                rows.append((number, 0, LEAST_BANDS, None, len(whole_lines)))
-                opening, *others = _SENTENCE.split(whole)
-                whole_lines.append(whole)
-                openings.append(opening)
-                inner_sentences += others
-        pages.append((rows, long, inner_from, len(inner_sentences)))
-    bands = sketch_bands(wordings(whole_lines)).tolist()
-    firsts = sketch_bands(wordings(openings), FIRST_BANDS).tolist()
-    inside = sketch_bands(wordings(inner_sentences), FIRST_BANDS).tolist()
+                rows.append((number, 0, LEAST_BANDS, None, len(starts)))
+                starts.append(len(sentences))
+                sentences += _SENTENCE.split(whole)
+                inner += range(starts[-1] + 1, len(sentences))
+        pages.append((rows, long, inner))
+    # the sketch of a line is the least of its sentences'
+    sketch = minima(wordings(sentences))
+    bands = band_keys(np.minimum.reduceat(sketch, starts, axis=0) if starts else sketch).tolist()
+    each = band_keys(sketch, FIRST_BANDS).tolist()
+    firsts = [each[i] for i in starts]
     out = []
-    for rows, long, start, end in pages:
+    for rows, long, inner in pages:
         page = PageKeys([], [], [], [], [], long, [], [])
         for n, part, wanted, key, at in rows:
             own = [key] if key is not None else bands[at]
@@ -240,8 +250,8 @@ def page_keys(texts: list[str], hosts: list[str], brands: list[str]) -> list[Pag
                 page.first.extend(firsts[at])
         # furniture stands once on a page; wording that a page uses again is running text
         page.inner.extend(k for k, n in Counter(page.first).items() if n > 1 for _ in range(n - 1))
-        for i in range(start, end):
-            page.inner.extend(inside[i])
+        for i in inner:
+            page.inner.extend(each[i])
         out.append(page)
     return out
 

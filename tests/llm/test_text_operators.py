@@ -36,11 +36,11 @@ def test_keys_of_lines():
     # a long line is taken whole
     lead = "El presidente del consejo anunció ayer un plan de obras para los barrios del norte"
     other = "El presidente del consejo desmintió hoy que la empresa haya cerrado sus plantas costeras"
-    bands = boilerplate.sketch_bands(boilerplate.wordings([lead, other, lead.replace("ayer", "hoy")]))
+    bands = boilerplate.band_keys(boilerplate.minima(boilerplate.wordings([lead, other, lead.replace("ayer", "hoy")])))
     assert not keys(lead)[0] and (bands[0] == bands[1]).sum() <= 1 and (bands[0] == bands[2]).sum() >= 2
     assert boilerplate.wordings(["Ayer Ana Ruiz leyó «Un título» en 3f2 casas, dijo.", "«Todo»", ""]).to_pylist() == [["ayer", "ley", "en", "casas", "dijo"], ["todo"], [""]]
-    whole = boilerplate.sketch_bands(boilerplate.wordings(["uno dos", "", "dos uno"]))
-    assert (whole[0] == whole[2]).all() and len(whole) == 3 and len(boilerplate.sketch_bands(boilerplate.wordings([]))) == 0
+    whole = boilerplate.band_keys(boilerplate.minima(boilerplate.wordings(["uno dos", "", "dos uno"])))
+    assert (whole[0] == whole[2]).all() and len(whole) == 3 and len(boilerplate.band_keys(boilerplate.minima(boilerplate.wordings([])))) == 0
     one, two = boilerplate.page_keys(["Noticias de El Faro hoy", "Noticias de EL OTRO hoy"], ["h", "h"], ["El Faro", "El Otro"])
     assert one.keys[1] == two.keys[1] and one.line == [0, 0]
 
