@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotativa.functions import text as T
-from rotativa.session import bounded_broadcast
+from rotativa.session import bounded_broadcast, cut
 
 
 def relevant(text: Column, any_of: tuple[str, ...] = (), none_of: tuple[str, ...] = ()) -> Column:
@@ -36,9 +36,9 @@ def first_captures(notes: DataFrame, key: str, text: str, order: str) -> DataFra
     A text without content is never a repetition. Each content's winner is an aggregate of keys (partial
     minima before the shuffle), so a content that a third of all rows share costs one row for a partition.
     """
-    hashed = notes.withColumn("_h", T.content_hash(F.col(text)))
-    by_key = hashed.groupBy(key).agg(F.min(order).alias("_first"))
-    firsts = hashed.select(order, "_h").join(by_key.select(F.col("_first").alias(order)), order, "left_semi")
+    hashed = notes.select(key, F.struct(order, T.content_hash(F.col(text)).alias("_h")).alias("_r"))
+    # each text is hashed once; what is kept of it is its number and sixteen digits
+    firsts = cut(hashed.groupBy(key).agg(F.min("_r").alias("_r")).select(f"_r.{order}", "_r._h"))
     repeated = firsts.where("_h != ''").groupBy("_h").agg(F.min(order).alias("_winner"))
     kept = firsts.where("_h = ''").select(order).unionByName(repeated.select(F.col("_winner").alias(order)))
     return notes.join(kept, order, "left_semi")

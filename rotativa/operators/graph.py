@@ -26,6 +26,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree, strength, centrality): centrality is degree / (nodes - 1)."""
+    edges = cut(edges)
     rows = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
     n = rows.agg(F.count("*").alias("_n"))
     return rows.crossJoin(F.broadcast(n)).select("node", "degree", "strength", F.round(F.col("degree").cast("double") / F.greatest(F.col("_n") - 1, F.lit(1)), 4).alias("centrality"))
@@ -33,6 +34,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def summary(edges: DataFrame) -> DataFrame:
     """(nodes, edges, density, mean_degree)."""
+    edges = cut(edges)
     nodes = both_ways(edges).agg(F.countDistinct("src").alias("nodes"))
     size = edges.agg(F.count("*").alias("edges"))
     n, e = F.col("nodes").cast("double"), F.col("edges").cast("double")
@@ -84,6 +86,7 @@ def clustering(edges: DataFrame) -> DataFrame:
 
     Each edge points from its end of smaller degree, so a hub's pairs are not all built.
     """
+    edges = cut(edges)
     degree = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
     a, b = degree.select(F.col("node").alias("src"), F.col("degree").alias("_a")), degree.select(F.col("node").alias("dst"), F.col("degree").alias("_b"))
     first = F.struct("_a", "src") < F.struct("_b", "dst")
@@ -98,6 +101,7 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def ego(edges: DataFrame, node: str) -> DataFrame:
     """Edges among a node and its neighbours."""
+    edges = cut(edges)
     near = both_ways(edges).where(F.col("src") == node).select(F.col("dst").alias("n")).unionByName(edges.sparkSession.createDataFrame([(node,)], "n string")).distinct()
     return edges.join(near.withColumnRenamed("n", "src"), "src", "left_semi").join(near.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
@@ -115,6 +119,7 @@ def by_period(index: DataFrame, periods: DataFrame, key: str, item: str, period:
 
 def strongest(edges: DataFrame, most: int) -> DataFrame:
     """Edges among the ``most`` nodes of greatest strength (ties by name): the graph that is shown and measured as a whole."""
+    edges = cut(edges)
     kept = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("_s")).orderBy(F.desc("_s"), "node").limit(most).select("node")
     side = F.broadcast(cut(kept))  # at most ``most`` rows
     return edges.join(side.withColumnRenamed("node", "src"), "src", "left_semi").join(side.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "weight")

@@ -1,6 +1,6 @@
 """Term statistics of a corpus: frequencies, n-grams, collocates, networks, concordances, dispersion.
 
-Every operator takes ``documents(doc_id, text)`` and is lazy. Tokens are made once per operator by
+Every operator takes ``documents(doc_id, text)``. Tokens are made once per operator by
 built-in expressions; counts are partial sums before the shuffle; windows of neighbours are taken inside
 the document's array, so no document is joined with another and no position table is shuffled.
 """
@@ -52,9 +52,9 @@ def _neighbours(tokens: Column, at: Column, window: int) -> Column:
 def neighbour_counts(documents: DataFrame, word: str, window: int = 5, stopwords: tuple[str, ...] = ()) -> DataFrame:
     """(term, freq): how often each term stands within ``window`` places of the word; the stream keeps stopwords."""
     held = token_table(documents).where(F.array_contains("tokens", word))
-    placed = held.select("tokens", F.posexplode("tokens").alias("at", "token")).where(F.col("token") == word)
-    near = placed.select(F.explode(_neighbours(F.col("tokens"), F.col("at") + 1, window)).alias("term"))
-    near = near.where(~F.col("term").isin(word, *stopwords))
+    # neighbours are gathered inside the array, so that no row carries a document's tokens again
+    around = F.flatten(F.transform("tokens", lambda x, i: F.when(x == word, _neighbours(F.col("tokens"), i + 1, window)).otherwise(F.array().cast("array<string>"))))
+    near = held.select(F.explode(F.filter(around, lambda x: ~x.isin(word, *stopwords))).alias("term"))
     return near.groupBy("term").agg(F.count("*").alias("freq"))
 
 
@@ -77,12 +77,14 @@ def collocates(documents: DataFrame, word: str, window: int = 5, stopwords: tupl
 def lexical_network(documents: DataFrame, window: int = 5, stopwords: tuple[str, ...] = (), top_nodes: int = 40, least: int = 2) -> DataFrame:
     """(source, target, weight): ordered pairs of terms within the window, each adjacency counted from both ends."""
     held = token_table(documents, stopwords)
-    top = held.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top_nodes).select("term")
-    placed = held.select("tokens", F.posexplode("tokens").alias("at", "a"))
-    # pairs of kept terms only: both ends are cut to the top terms before anything is counted
-    placed = placed.join(F.broadcast(top.withColumnRenamed("term", "a")), "a", "left_semi")
-    pairs = placed.select("a", F.explode(_neighbours(F.col("tokens"), F.col("at") + 1, window)).alias("b")).join(F.broadcast(top.withColumnRenamed("term", "b")), "b", "left_semi")
-    return pairs.groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    counted = held.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    top = [r["term"] for r in counted.orderBy(F.desc("n"), "term").limit(top_nodes).collect()]  # ``top_nodes`` words
+    # pairs are made inside the array, both ends cut to the top terms before anything is spread out
+    among = lambda i: F.filter(_neighbours(F.col("tokens"), i + 1, window), lambda y: y.isin(*top))
+    pair = "array<struct<source:string,target:string>>"
+    made = F.flatten(F.transform("tokens", lambda x, i: F.when(x.isin(*top), F.transform(among(i), lambda y: F.struct(F.least(x, y).alias("source"), F.greatest(x, y).alias("target")))).otherwise(F.array().cast(pair))))
+    pairs = held.select(F.explode(made).alias("p")).select("p.source", "p.target")
+    return pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
 def concordance(documents: DataFrame, literal: str, width: int = 60) -> DataFrame:
@@ -97,13 +99,18 @@ def concordance(documents: DataFrame, literal: str, width: int = 60) -> DataFram
 def dispersion(documents: DataFrame, literals: list[str]) -> DataFrame:
     """(literal, doc_id, at, position): relative place of each occurrence in the texts joined in key order.
 
-    The running offset is a two-step prefix sum: texts are cut to ranges of the key, the ranges' lengths are
-    summed first, so no single task orders the whole corpus.
+    The running offset is a prefix sum in three steps: texts are cut to ranges of the key and these to wider ones,
+    whose lengths are summed first, so no single task orders the whole corpus.
     """
     sized = documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).withColumn("size", F.length("low") + 1).withColumn("block", F.floor(F.col("doc_id") / 1000))
     blocks = sized.groupBy("block").agg(F.sum("size").alias("block_size"))
-    before = F.sum("block_size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("block", F.coalesce(before, F.lit(0)).alias("block_start"), F.sum("block_size").over(Window.partitionBy(F.lit(1))).alias("total"))
+    # blocks of blocks keep the one ordered list short: a row for each million keys
+    blocks = blocks.withColumn("outer", F.floor(F.col("block") / 1000))
+    outers = blocks.groupBy("outer").agg(F.sum("block_size").alias("outer_size"))
+    earlier = F.sum("outer_size").over(Window.orderBy("outer").rowsBetween(Window.unboundedPreceding, -1))
+    outers = outers.select("outer", F.coalesce(earlier, F.lit(0)).alias("outer_start"), F.sum("outer_size").over(Window.partitionBy(F.lit(1))).alias("total"))
+    before = F.sum("block_size").over(Window.partitionBy("outer").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.withColumn("inner_start", F.coalesce(before, F.lit(0))).join(outers, "outer").select("block", (F.col("outer_start") + F.col("inner_start")).alias("block_start"), "total")
     inside = F.sum("size").over(Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
     placed = sized.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, "block")
     spread = F.array(*[F.struct(F.lit(x).alias("literal"), T.occurrences(F.col("low"), x).alias("places")) for x in literals])
