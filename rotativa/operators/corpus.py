@@ -194,3 +194,11 @@ def kappa(labels: DataFrame, a: str, b: str) -> DataFrame:
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows in the order of a seeded hash of the key: the same rows on every run and layout."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def evolved(stored: DataFrame, wanted: str) -> DataFrame:
+    """The stored table with the columns of ``wanted`` (a DDL list) that it lacks, empty; others stay as they are."""
+    from pyspark.sql.types import StructType
+
+    missing = [f for f in StructType.fromDDL(wanted).fields if f.name not in stored.columns]
+    return stored.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])

@@ -359,3 +359,57 @@ def hits_by_source(spark, d):
     a = table(spark, d, "resultados", "fuente", "url").select(F.coalesce(F.nullif("fuente", F.lit("")), F.lit("?")).alias("fuente"), "url")
     b = table(spark, d, "publicaciones", "plataforma", "url").select(F.concat(F.lit("social:"), "plataforma").alias("fuente"), "url")
     return a.unionByName(b).groupBy("fuente").agg(F.count("*").alias("hits"), F.countDistinct("url").alias("urls"))
+
+
+# ---------------------------------------------------------------- confidence, universe, glossary
+
+
+@query(f"""SELECT rev_id, CASE WHEN decision = 'verificada' THEN 1.0 ELSE round(0.3::DOUBLE * CASE WHEN form IS NULL THEN 0 ELSE 1 END + 0.25::DOUBLE * coalesce(score, 0) + 0.45::DOUBLE * coalesce(score, 0), 3) END::DOUBLE AS confidence
+FROM revision_entidades LEFT JOIN (SELECT DISTINCT lower(forma) AS form FROM {_FORMS} WHERE forma IS NOT NULL) ON form = lower(nombre)""")
+def review_confidence(spark, d):
+    rows = table(spark, d, "revision_entidades", "rev_id", "nombre", "decision", "score")
+    known = _declared(spark, d).select(F.lower("form").alias("_f"), F.lit(True).alias("_k")).distinct()
+    joined = rows.join(known, F.lower("nombre") == F.col("_f"), "left")
+    score = F.coalesce("score", F.lit(0.0))
+    return joined.select("rev_id", review.entity_confidence(F.coalesce("_k", F.lit(False)), F.coalesce(F.col("decision") == "verificada", F.lit(False)), score, score).alias("confidence"))
+
+
+@query("SELECT rev_id, CASE WHEN score >= 0.75 THEN '● CONFIABLE' WHEN score >= 0.45 THEN '◐ REVISAR' ELSE '○ VALIDAR' END AS label FROM revision_entidades WHERE score IS NOT NULL")
+def confidence_labels(spark, d):
+    rows = table(spark, d, "revision_entidades", "rev_id", "score").where("score is not null")
+    return rows.select("rev_id", T.labelled(F.col("score"), 0.75, 0.45, ("● CONFIABLE", "◐ REVISAR", "○ VALIDAR")).alias("label"))
+
+
+_FOLDED_FORMS = f"(SELECT DISTINCT trim({R.FOLD.format('forma')}) AS f FROM {_FORMS} WHERE forma IS NOT NULL)"
+
+
+@query(f"SELECT id, categoria, entidad, f IS NOT NULL AS inside FROM ({R._STORED}) LEFT JOIN {_FOLDED_FORMS} ON f = trim({R.FOLD.format('entidad')})")
+def study_universe(spark, d):
+    """Stored entities with whether they belong to the declared universe."""
+    inside = _declared(spark, d).select(T.fold_trim(F.col("form")).alias("_f"), F.lit(True).alias("inside")).distinct()
+    rows = R.stored_entities(spark, d).withColumn("_f", T.fold_trim(F.col("entidad"))).join(inside, "_f", "left")
+    return rows.select("id", "categoria", "entidad", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+@query(f"SELECT categoria, lower(entidad) AS term, min_by(entidad, struct_pack(i := id, e := entidad)) AS first_form, count(DISTINCT id) AS notes, min(id) AS first_note FROM ({R._STORED}) GROUP BY 1, 2")
+def glossary(spark, d):
+    """Terms by category without regard to case, with the first form and the notes that hold them."""
+    rows = R.stored_entities(spark, d).groupBy("categoria", F.lower("entidad").alias("term"))
+    return rows.agg(F.min_by("entidad", F.struct("id", "entidad")).alias("first_form"), F.countDistinct("id").alias("notes"), F.min("id").alias("first_note"))
+
+
+@query(f"SELECT resultado_id, url FROM ({SQL['search_hits']}) ORDER BY resultado_id LIMIT 50")
+def search_capped(spark, d):
+    return R.search_hits(spark, d).orderBy("resultado_id").limit(50)
+
+
+@query(f"SELECT medio, verdict, count(*) AS n FROM ({SQL['extraction_quality']}) JOIN (SELECT id, coalesce(nullif(medio, ''), '?') AS medio FROM notas) USING (id) GROUP BY 1, 2")
+def quality_by_outlet(spark, d):
+    where = table(spark, d, "notas", "id", "medio").select("id", F.coalesce(F.nullif("medio", F.lit("")), F.lit("?")).alias("medio"))
+    return R.extraction_quality(spark, d).select("id", "verdict").join(where, "id").groupBy("medio", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, '; ')) AS reason FROM ({SQL['extraction_quality']}) WHERE reasons <> '') GROUP BY 1")
+def quality_reasons(spark, d):
+    rows = R.extraction_quality(spark, d).where("reasons != ''").select(F.explode(F.split("reasons", "; ")).alias("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,13 @@ class Criteria:
     def as_dict(self) -> dict:
         return asdict(self)
 
+    def save(self, path: str) -> None:
+        Path(path).write_text(json.dumps(self.as_dict(), ensure_ascii=False), encoding="utf-8")
+
+    @classmethod
+    def load(cls, path: str) -> Criteria:
+        return cls(**json.loads(Path(path).read_text(encoding="utf-8")))
+
 
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """(link, headline, outlet, date) of each item: the outlet is the source element, else what follows the title's last dash."""

@@ -14,6 +14,21 @@ def index_csv(index: DataFrame, path: str) -> None:
     grouped.orderBy(F.desc("n"), "entity").write.mode("overwrite").option("header", True).csv(path)
 
 
+def csv(result: DataFrame, path: str, order: tuple[str, ...] = (), blank: tuple[str, ...] = ()) -> None:
+    """A result as CSV with a header, lists joined by a semicolon, and empty columns to be filled in by hand."""
+    columns = [F.array_join(F.col(f.name).cast("array<string>"), "; ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in result.schema.fields]
+    flat = result.select(*columns, *[F.lit("").alias(b) for b in blank])
+    (flat.orderBy(*order) if order else flat).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def graph_of(document: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a node-link document, as ``node_link`` writes it."""
+    parsed = document.select(F.from_json(column, "nodes array<struct<id:string,degree:long,strength:long>>, links array<struct<source:string,target:string,weight:long>>").alias("g"))
+    nodes = parsed.select(F.explode("g.nodes").alias("n")).select(F.col("n.id").alias("node"), "n.degree", "n.strength")
+    edges = parsed.select(F.explode("g.links").alias("e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.weight")
+    return nodes, edges
+
+
 def tables(results: dict[str, DataFrame], path: str) -> None:
     """Each result as Parquet in a folder of its name."""
     for name, df in results.items():

@@ -254,3 +254,32 @@ def test_shared_folder_and_unreadable_tables(spark, tmp_path):
     wide = spark.createDataFrame([("x" * 1000,)] * 5, "a string")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(bounded_broadcast(wide)) and not hinted(bounded_broadcast(wide, max_rows=4)) and not hinted(bounded_broadcast(wide, max_bytes=4000))
+
+
+def test_profiles_criteria_and_sinks(spark, tmp_path):
+    from rotativa.sources import profile
+
+    path = str(tmp_path / "profile.json")
+    assert profile.load(path) == profile.DEFAULTS
+    profile.save({"temas": 8, "periodo": {"desde": "2026-01-01"}, "medios": {"local": [{"nombre": "El Faro", "dominio": "faro.example"}]}, "entidades": [{"nombre": "Ana Ruiz", "tipo": "persona", "variantes": ["A. Ruiz", "ana ruiz", " "]}]}, path)
+    held = profile.load(path)
+    assert held["temas"] == 8 and held["periodo"] == {"desde": "2026-01-01", "hasta": ""} and held["ventana"] == 6
+    assert [tuple(r) for r in profile.outlets(spark, held).collect()] == [("El Faro", "faro.example", "local")]
+    assert {tuple(r) for r in profile.forms(spark, held).collect()} == {("Ana Ruiz", "Ana Ruiz", "persona"), ("A. Ruiz", "Ana Ruiz", "persona")}
+    assert profile.restore(path) == profile.DEFAULTS and profile.forms(spark, profile.load(path)).count() == 0
+    wanted = feeds.Criteria(terms=["Uno", "uno", "dos"], first="2026-01-01", last="2026-02-01")
+    wanted.save(str(tmp_path / "criteria.json"))
+    assert feeds.Criteria.load(str(tmp_path / "criteria.json")) == wanted and wanted.terms == ["Uno", "dos"]
+    sinks.csv(spark.createDataFrame([(2, ["a", "b"]), (1, None)], "id int, list array<string>"), str(tmp_path / "out"), ("id",), ("manual",))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert {(r["id"], r["list"], r["manual"]) for r in rows} == {("1", None, None), ("2", "a; b", None)}
+    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 1)], "src string, dst string, weight long")
+    nodes, back = sinks.graph_of(sinks.node_link(graph.degrees(edges), edges))
+    assert {tuple(r) for r in back.collect()} == {("a", "b", 2), ("b", "c", 1)} and nodes.count() == 3
+    assert corpus.evolved(edges, "src string, note string").columns == ["src", "dst", "weight", "note"]
+
+
+def test_confidence_scores(spark):
+    rows = spark.createDataFrame([(1, True, False, 0.8, 0.9), (2, False, True, 0.1, 0.1), (3, False, False, 0.4, 0.6)], "i int, k boolean, v boolean, a double, b double")
+    found = rows.orderBy("i").select(review.entity_confidence(F.col("k"), F.col("v"), F.col("a"), F.col("b")).alias("e"), review.tone_confidence(F.col("b"), ~F.col("k")).alias("t"), review.recognition_confidence(F.col("a") * 100, F.col("v")).alias("r")).collect()
+    assert [(r["e"], round(r["t"], 3), r["r"]) for r in found] == [(0.905, 0.9, 0.8), (1.0, 0.2, 0.25), (0.37, 0.7, 0.4)]
