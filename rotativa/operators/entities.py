@@ -104,6 +104,21 @@ def canonical_people(names: DataFrame, seeds: DataFrame, particles: tuple[str, .
     return rows.join(found, "name", "left").select("name", F.coalesce("seed", "leader", "name").alias("canonical"))
 
 
+def linked(names: DataFrame, candidates: DataFrame, particles: tuple[str, ...], least: float = 0.5) -> DataFrame:
+    """(name, ent_id, score): the candidate with the greatest share of tokens in common with each name, ties by the lesser id.
+
+    ``names(name)`` is distinct, ``candidates(ent_id, form)`` holds the forms of a stored candidate table. Names and
+    candidates meet on a token, so only pairs that share one are scored.
+    """
+    a = names.where("name is not null").select("name", name_tokens(F.col("name"), particles).alias("t"))
+    b = candidates.where("form is not null").select("ent_id", "form", name_tokens(F.col("form"), particles).alias("u")).distinct()
+    met = a.select("name", "t", F.explode("t").alias("k")).join(b.select("ent_id", "form", "u", F.explode("u").alias("k")), "k")
+    shared = met.groupBy("name", "ent_id", "form").agg(F.count("*").alias("n"), F.first(F.size("t")).alias("p"), F.first(F.size("u")).alias("q"))
+    scored = shared.select("name", "ent_id", F.round(F.col("n") / (F.col("p") + F.col("q") - F.col("n")), 3).alias("score"))
+    best = scored.groupBy("name").agg(F.min_by(F.struct("ent_id", "score"), F.struct((-F.col("score")).alias("s"), "ent_id")).alias("b"))
+    return best.select("name", "b.ent_id", "b.score").where(F.col("score") >= least)
+
+
 def containment_groups(index: DataFrame) -> DataFrame:
     """(entity, leader): a shorter name goes to the most frequent longer name that holds its last words.
 
@@ -130,7 +145,8 @@ def prominence(documents: DataFrame, actors: dict[str, tuple[str, ...]]) -> Data
     spread = []
     for order, (actor, forms) in enumerate(actors.items()):
         pattern = r"(?<![\p{L}\p{N}_])(?:" + "|".join(re.escape(plain(f)) for f in sorted(forms, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
-        first = F.regexp_instr(F.col("_f"), F.lit(pattern))
+        # what stands before the first match, in characters (a regular expression's own places count UTF-16 units)
+        first = F.length(F.element_at(F.split("_f", pattern, 2), 1)) + 1
         spread.append(F.struct(F.lit(actor).alias("actor"), F.lit(order).alias("ord"), first.alias("at"), F.regexp_count("_f", F.lit(pattern)).alias("mentions")))
     held = documents.select("doc_id", folded.alias("_f"), F.length("text").alias("_n"))
     rows = held.select("doc_id", "_n", F.explode(F.array(*spread)).alias("a")).select("doc_id", "_n", "a.*").where("mentions > 0")

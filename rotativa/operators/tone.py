@@ -206,3 +206,23 @@ def compared(rows: DataFrame, group: str, label: str, a: str, b: str) -> DataFra
 def stored_annotations(notes: DataFrame, key: str, column: str, schema: str) -> DataFrame:
     """(key, fields of the stored JSON); rows without it or with a malformed one are left out."""
     return notes.where(F.col(column).isNotNull()).select(key, F.from_json(column, schema).alias("_j")).where("_j is not null").select(key, "_j.*")
+
+
+def charged_words(documents: DataFrame, actors: dict[str, str], lexicon: Lexicon, window: int = 4) -> DataFrame:
+    """(actor, word, charge, n): charged words within ``window`` tokens of an actor, gathered inside the token array."""
+    words = [*lexicon.positive, *lexicon.negative]
+    empty = F.array().cast("array<string>")
+    tokens = documents.select("doc_id", T.tokens(F.col("text")).alias("t"))
+
+    def near(token: str) -> Column:
+        def around(x: Column, i: Column) -> Column:
+            start = F.greatest(i - window + 1, F.lit(1))
+            held = F.concat(F.slice("t", start, i + 1 - start), F.when(i + 1 < F.size("t"), F.slice("t", i + 2, F.lit(window))).otherwise(empty))
+            return F.when(x == token, F.filter(held, lambda y: y.isin(*words))).otherwise(empty)
+
+        return F.flatten(F.transform("t", around))
+
+    spread = F.array(*[F.struct(F.lit(a).alias("actor"), near(t).alias("w")) for a, t in actors.items()])
+    rows = tokens.where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in actors.values()]))).select(F.explode(spread).alias("s")).select("s.actor", F.explode("s.w").alias("word"))
+    charge = F.when(F.col("word").isin(*lexicon.positive), 1).otherwise(-1)
+    return rows.groupBy("actor", "word").agg(F.count("*").alias("n")).select("actor", "word", charge.alias("charge"), "n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotativa.functions import text as T
-from rotativa.operators import corpus, entities, graph, review, rollups
+from rotativa.operators import corpus, entities, graph, review, rollups, tone
 from rotativa.plans import reference_queries as R
 from rotativa.plans import study as S
 from rotativa.sources import feeds, html
@@ -267,15 +267,28 @@ def kwic_positions(spark, d):
 
 # ---------------------------------------------------------------- prominence as SQL
 
-_SPREAD = " UNION ALL ".join(
-    f"SELECT doc_id, '{actor}' AS actor, {order} AS ord, regexp_extract_all(f, '(?:^|[^\\p{{L}}\\p{{N}}_])({'|'.join(x.lower().translate(str.maketrans(T.MARKED, T.FOLDED)) for x in forms)})(?:$|[^\\p{{L}}\\p{{N}}_])', 1) AS hits FROM d"
-    for order, (actor, forms) in enumerate(S.PEOPLE.items())
-)
+_EDGE = r"[^\p{L}\p{N}_]"
 
 
-@query(f"WITH d AS (SELECT doc_id, {R.FOLD.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS f FROM documents) SELECT actor, count(*) AS docs FROM ({_SPREAD}) WHERE len(hits) > 0 GROUP BY actor")
+def _actor_sql(actor: str, order: int, forms: tuple[str, ...]) -> str:
+    plain = [x.lower().translate(str.maketrans(T.MARKED, T.FOLDED)) for x in forms]
+    any_of = "(?:" + "|".join(plain) + ")"
+    return (
+        f"SELECT doc_id, '{actor}' AS actor, {order} AS ord, size, CAST(CASE WHEN regexp_matches(f, '^{any_of}(?:$|{_EDGE})') THEN 0 ELSE length(regexp_extract(f, '(?s)^(.*?){_EDGE}{any_of}(?:$|{_EDGE})', 1)) + 1 END AS INTEGER) AS first_at, "
+        f"CAST(len(list_filter(runs, lambda x: x IN {R._list(tuple(plain))})) AS INTEGER) AS mentions FROM d"
+    )
+
+
+#: Each actor's forms are single words, so its mentions are runs of the folded text.
+_RANKED = rf"""WITH d AS (SELECT doc_id, length(text) AS size, {R.FOLD.format("coalesce(text, '')")} AS f, regexp_extract_all({R.FOLD.format("coalesce(text, '')")}, '[\p{{L}}\p{{N}}_]+') AS runs FROM documents), r AS ({' UNION ALL '.join(_actor_sql(a, i, x) for i, (a, x) in enumerate(S.PEOPLE.items()))})
+SELECT doc_id, actor, first_at, round(CAST(first_at AS DOUBLE) / greatest(size, 1), 3) AS position, mentions, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_at, ord) AS INTEGER) AS rank FROM r WHERE mentions > 0"""
+SQL["prominence_rank"] = _RANKED
+SQL["prominence_summary"] = f"SELECT actor, count(*) AS docs, CAST(sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS BIGINT) AS first, round(avg(position), 3) AS position FROM ({_RANKED}) GROUP BY actor"
+
+
+@query(f"SELECT actor, count(*) AS docs, CAST(sum(mentions) AS BIGINT) AS mentions FROM ({_RANKED}) GROUP BY actor")
 def actor_documents(spark, d):
-    return entities.prominence(R.docs(spark, d, "text"), S.PEOPLE).groupBy("actor").agg(F.count("*").alias("docs"))
+    return entities.prominence(R.docs(spark, d, "text"), S.PEOPLE).groupBy("actor").agg(F.count("*").alias("docs"), F.sum("mentions").alias("mentions"))
 
 
 # ---------------------------------------------------------------- the graph as a whole
@@ -413,3 +426,25 @@ def quality_by_outlet(spark, d):
 def quality_reasons(spark, d):
     rows = R.extraction_quality(spark, d).where("reasons != ''").select(F.explode(F.split("reasons", "; ")).alias("reason"))
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_NEAR = " UNION ALL ".join(f"SELECT '{a}' AS actor, unnest(list_concat(t[greatest(i - 4, 1):i - 1], t[i + 1:i + 4])) AS word FROM (SELECT t, unnest(generate_series(1, len(t))) AS i FROM (SELECT {R.TOKENS} AS t FROM documents)) WHERE t[i] = '{w}'" for a, w in S.ACTORS.items())
+
+
+@query(f"SELECT actor, word, CASE WHEN {R._in(S.LEXICON.positive, 'word')} THEN 1 ELSE -1 END AS charge, count(*) AS n FROM ({_NEAR}) WHERE {R._in((*S.LEXICON.positive, *S.LEXICON.negative), 'word')} GROUP BY actor, word")
+def actor_charged_words(spark, d):
+    return tone.charged_words(R.docs(spark, d, "text"), S.ACTORS, S.LEXICON)
+
+
+def _tokens_sql(column: str) -> str:
+    return rf"list_sort(list_distinct(list_filter(regexp_extract_all({R.FOLD.format(column)}, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 2 AND NOT x IN {R._list(S.PARTICLES)})))"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT nombre AS name, {_tokens_sql('nombre')} AS t FROM revision_entidades WHERE nombre IS NOT NULL), f AS (SELECT ent_id, forma FROM (SELECT ent_id, nombre AS forma FROM entidades_interes UNION SELECT ent_id, json_extract_string(formas, '$[' || i.i || ']') FROM entidades_interes, generate_series(0, CAST(json_array_length(formas) AS BIGINT) - 1) i(i) WHERE formas IS NOT NULL) WHERE forma IS NOT NULL),
+b AS (SELECT ent_id, forma, {_tokens_sql('forma')} AS u FROM f), s AS (SELECT name, ent_id, round(len(list_intersect(t, u)) / CAST(len(t) + len(u) - len(list_intersect(t, u)) AS DOUBLE), 3) AS score FROM a JOIN b ON list_has_any(t, u))
+SELECT name, ent_id, score FROM s WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, ent_id) = 1""")
+def entity_links(spark, d):
+    names = table(spark, d, "revision_entidades", "nombre").select(F.col("nombre").alias("name")).distinct()
+    forms = table(spark, d, "entidades_interes", "ent_id", "nombre", "formas")
+    forms = forms.select("ent_id", F.explode(F.concat(F.array("nombre"), F.coalesce(F.from_json("formas", "array<string>"), F.array().cast("array<string>")))).alias("form"))
+    return entities.linked(names, forms, S.PARTICLES)

@@ -283,3 +283,13 @@ def test_confidence_scores(spark):
     rows = spark.createDataFrame([(1, True, False, 0.8, 0.9), (2, False, True, 0.1, 0.1), (3, False, False, 0.4, 0.6)], "i int, k boolean, v boolean, a double, b double")
     found = rows.orderBy("i").select(review.entity_confidence(F.col("k"), F.col("v"), F.col("a"), F.col("b")).alias("e"), review.tone_confidence(F.col("b"), ~F.col("k")).alias("t"), review.recognition_confidence(F.col("a") * 100, F.col("v")).alias("r")).collect()
     assert [(r["e"], round(r["t"], 3), r["r"]) for r in found] == [(0.905, 0.9, 0.8), (1.0, 0.2, 0.25), (0.37, 0.7, 0.4)]
+
+
+def test_charged_words_and_links(spark):
+    words = Lexicon(positive=("bueno",), negative=("malo",), negators=(), emotions={}, frames={}, subjective=(), factual=(), groups={})
+    docs = spark.createDataFrame([(1, "Malo uno dos tres cuatro el tribunal bueno y malo"), (2, "tribunal"), (3, None), (4, "bueno tribunal bueno tribunal")], DOCS)
+    found = {(r["word"], r["charge"]): r["n"] for r in tone.charged_words(docs, {"T": "tribunal"}, words).collect()}
+    assert found == {("bueno", 1): 5, ("malo", -1): 1}
+    forms = spark.createDataFrame([(1, "Ana Ruiz Mora"), (2, "Luis Ruiz"), (3, None)], "ent_id long, form string")
+    names = spark.createDataFrame([("Ána Mora",), ("Ruiz",), ("Nadie",), (None,)], "name string")
+    assert {tuple(r) for r in entities.linked(names, forms, ("de",)).collect()} == {("Ána Mora", 1, 0.667), ("Ruiz", 2, 0.5)}
