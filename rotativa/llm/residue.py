@@ -18,7 +18,7 @@ together with some known ones (``KNOWN``) and all other text. A title's own temp
 it, counts as a notice if it is supported, is free of names and is close to the notices. Unresolved slots,
 which can stand inside any ordinary record, are detected apart, on the raw field.
 
-The model's notices are a sample of at most ``SAMPLE`` units of bare records; everything else is counted over all
+The model's notices are a sample of at most ``SAMPLE`` bare records and ``SAMPLE_BYTES`` bytes; everything else is counted over all
 records. Hashes are shuffled, not texts; a field is scanned twice.
 
 Defined results: null, empty and blank fields are no residue; a field counts once whatever it holds;
@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotativa.llm.arrays import slices
@@ -48,8 +48,8 @@ DEPTH = 8
 SUPPORT, BARE = 4, 0.8
 #: Share of bare records, at the lower end of its confidence interval of ``Z`` deviations, that makes a notice.
 NOTICE_SHARE, Z = 0.5, 1.64
-#: Units of bare records that the token weights are fitted to, at most.
-SAMPLE = 20_000
+#: Bare records, and bytes of them, that the token weights are fitted to, at most.
+SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 #: A known notice counts as so many units; what a token not seen in notices takes off and the most that any token
 #: adds, so that no single one decides; the least sum and mean of a notice.
 KNOWN_WEIGHT, STRANGE, MOST, LEAST_SCORE, LEAST_MEAN = 5, 1.0, 3.0, 4.0, 0.8
@@ -264,6 +264,7 @@ def residue(notes: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cuer
     # token weights: a sample of the units of bare records with a notice, against all text
     mined = held.where(F.col("campo") == body).join(notice, "leaf", "left_semi").select("r").distinct()
     sample = texts.join(mined.join(bare, "r", "left_semi"), "r", "left_semi").select("r", "texto").dropDuplicates(["texto"]).orderBy("r").limit(SAMPLE)
+    sample = sample.withColumn("held", F.sum(F.octet_length("texto")).over(Window.orderBy("r"))).where(F.col("held") <= SAMPLE_BYTES)  # at most ``SAMPLE`` rows
     guilty = {row["leaf"] for row in notice.orderBy("leaf").limit(SAMPLE).collect()}
     found: Counter = Counter()
     drawn = [row["texto"] for row in sample.select("texto").toLocalIterator()]
