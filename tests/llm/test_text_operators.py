@@ -230,3 +230,15 @@ def test_field_limits_are_those_of_a_source(spark):
     posts = spark.createDataFrame([], "seq long, plataforma string, texto string")
     homes = truncation.outlet_homes(spark.createDataFrame([("El Faro", "faro.example")], "medio string, dominio string"))
     assert truncation.limits(truncation.text_rows(notes, posts), homes) == {("notas", "faro.example"): {300}}
+
+
+def test_filler_is_found_among_many_mined_notices(spark):
+    rng = random.Random(5)
+    notice = "El servicio que usted ha solicitado no se encuentra disponible en este momento por tareas de mantenimiento programado en nuestros servidores y volvera a funcionar con normalidad en breve disculpe las molestias ocasionadas"
+    words = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in "aeiou" for c in ("no", "de", "la", "mar", "tir")] + ["la", "de", "que", "el", "en"] * 20
+    rows = [(i, f"{notice} {i}", " ".join(rng.choices(words, k=6))) for i in range(3000)]
+    rows += [(10_000 + i, ". ".join(" ".join(rng.choices(words, k=12)) for _ in range(4)), " ".join(rng.choices(words, k=6))) for i in range(1500)]
+    rows += [(90_000, "Sit tempor labore aliqua nostrud elit enim quis officia labore culpa sint aute sint nisi minim", "Otra cosa"), (90_001, "x", "NO PUBLICAR test 6")]
+    found = {tuple(r) for r in residue.residue(spark.createDataFrame(rows, "id long, cuerpo string, titular string").repartition(4)).collect()}
+    assert (90_000, "cuerpo") in found and (90_001, "titular") in found
+    assert sum(f == "cuerpo" and i < 3000 for i, f in found) == 3000 and not any(10_000 <= i < 20_000 for i, _ in found)
