@@ -184,6 +184,19 @@ def test_hot_seeds_lose_no_pair(spark, monkeypatch):
         assert {tuple(r) for r in spans.document_pairs(df).collect()} == expected
 
 
+def test_repeated_hot_seeds_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ñé日") for _ in range(n))
+    notice = noise(160)
+    around = [noise(75) + notice + noise(75) for _ in range(30)]
+    # one text repeats the notice in 30 contexts, each of which another text shares
+    rows = [(0, "".join(around)), *((i, noise(40) + x + noise(40)) for i, x in enumerate(around, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (64, 2):
+        monkeypatch.setattr(spans, "HOT", hot)
+        assert {tuple(r) for r in spans.document_pairs(df).collect()} == {(0, i) for i in range(1, 31)}
+
+
 def test_minimizers_are_the_first_smallest_of_each_window():
     rng = random.Random(2)
     for _ in range(60):
