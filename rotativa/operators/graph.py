@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.session import cut
+from rotativa.functions.arrow import ragged
+from rotativa.session import bounded_broadcast, cut
+
+#: Nodes of a block of the graph's matrix, and pairs of nodes held at once.
+BLOCK, PAIRS = 8192, 1 << 20
 
 
 def cooccurrence(index: DataFrame, key: str, item: str, least: int = 2) -> DataFrame:
@@ -81,22 +90,196 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     return ranks
 
 
-def clustering(edges: DataFrame) -> DataFrame:
-    """(node, triangles, coefficient): local clustering; nodes of degree under two have 0.
-
-    Each edge points from its end of smaller degree, so a hub's pairs are not all built.
+def _numbered(names: DataFrame) -> tuple[DataFrame, int]:
+    """(name, i) with i from 0 without gaps, and the number of names; ``names(name)`` is distinct."""
+    placed = cut(names.select("name", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
+    sizes = sorted((r["p"], r["m"], r["n"]) for r in placed.groupBy("p").agg(F.min("m").alias("m"), F.count("*").alias("n")).collect())
+    shift = list(accumulate([n for _, _, n in sizes], initial=0))
+    first = placed.sparkSession.createDataFrame([(p, before - m) for (p, m, _), before in zip(sizes, shift, strict=False)], "p int, d long")
+    return placed.join(F.broadcast(first), "p").select("name", (F.col("m") + F.col("d")).cast("int").alias("i")), shift[-1]  # one row a partition
+
+
+def _coded(lo: np.ndarray, hi: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """(p, q, codes): the pairs of each pair of blocks of ``size`` nodes, each as one number."""
+    low, high = np.minimum(lo, hi).astype(np.int64), np.maximum(lo, hi).astype(np.int64)
+    p, q = low // size, high // size
+    code = ((low - p * size) * size + high - q * size).astype(np.int32)
+    order = np.lexsort((code, q, p))
+    p, q, code = p[order], q[order], code[order]
+    cuts = np.flatnonzero((np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+    first = np.append(0, cuts)[: len(code)]
+    lists = pa.ListArray.from_arrays(np.append(first, len(code)).astype(np.int32), pa.array(code))
+    yield pa.RecordBatch.from_arrays([pa.array(p[first].astype(np.int32)), pa.array(q[first].astype(np.int32)), lists], ["p", "q", "codes"])
+
+
+def _list_pairs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of each list of nodes, about ``PAIRS`` at once."""
+    for batch in batches:
+        column = batch.column(0)
+        start, value = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
+        length = np.diff(start)
+        for m in np.unique(length[length > 1]).tolist():
+            rows = np.flatnonzero(length == m)
+            # the pairs of a long list are made for some of its items at once
+            for first in range(0, m, max(1, PAIRS // m)):
+                a = np.arange(first, min(first + max(1, PAIRS // m), m))
+                a, b = np.repeat(a, m - 1 - a), ragged(a + 1, m - 1 - a)
+                step = max(1, PAIRS // max(1, len(a)))
+                for k in range(0, len(rows) if len(a) else 0, step):
+                    held = value[start[rows[k : k + step]][:, None] + np.arange(m)]
+                    yield from _coded(held[:, a].ravel(), held[:, b].ravel(), size)
+
+
+def _edge_pairs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield from _coded(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), size)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(p, q, bits, data): the pairs of each pair of blocks that come at least ``least`` times, rows of a pair of blocks following each other.
+
+    A block is written as a matrix of bits, or as sorted numbers where these are fewer bytes.
     """
-    edges = cut(edges)
-    degree = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    a, b = degree.select(F.col("node").alias("src"), F.col("degree").alias("_a")), degree.select(F.col("node").alias("dst"), F.col("degree").alias("_b"))
-    first = F.struct("_a", "src") < F.struct("_b", "dst")
-    turned = edges.join(a, "src").join(b, "dst").select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("y"))
-    wedge = turned.join(turned.select("x", F.col("y").alias("z")), "x").where("y < z")
-    closing = turned.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"))
-    triangles = wedge.join(closing, ["y", "z"]).select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
-    rows = degree.join(triangles, "node", "left").select("node", F.coalesce("triangles", F.lit(0)).alias("triangles"), "degree")
+    at, codes, counts, waiting, many = None, np.empty(0, np.int32), np.empty(0, np.int64), [], 0
+
+    def fold() -> None:
+        nonlocal codes, counts, waiting, many
+        each, n = np.unique(np.concatenate([codes, *waiting]), return_counts=True)
+        # what was counted before is in there once
+        n[np.searchsorted(each, codes)] += counts - 1
+        codes, counts, waiting, many = each, np.minimum(n, least), [], 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        fold()
+        kept = codes[counts >= least]
+        if len(kept):
+            bits = len(kept) * 4 > size * size // 8
+            if bits:
+                matrix = np.zeros(size * size, np.uint8)
+                matrix[kept] = 1
+            data = np.packbits(matrix).tobytes() if bits else kept.astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([bits]), pa.array([data], pa.binary())], ["p", "q", "bits", "data"])
+
+    for batch in batches:
+        lists = batch.column(2)
+        start, value = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for k, here in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if at is not None and here != at:
+                yield from close()
+                codes, counts = codes[:0], counts[:0]
+            at = here
+            waiting.append(value[start[k] : start[k + 1]].copy())
+            many += len(waiting[-1])
+            if many > max(4 * PAIRS, len(codes)):
+                fold()
+    if at is not None:
+        yield from close()
+
+
+def _matrix(bits: bool, data: bytes, size: int) -> np.ndarray:
+    if bits:
+        return np.unpackbits(np.frombuffer(data, np.uint8)).reshape(size, size)
+    out = np.zeros(size * size, np.uint8)
+    out[np.frombuffer(data, "<i4")] = 1
+    return out.reshape(size, size)
+
+
+def _counts(ids: np.ndarray, degree: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
+    used = np.flatnonzero((degree > 0) | (twice > 0))
+    return pa.RecordBatch.from_arrays([pa.array((ids[0] + used).astype(np.int32)), pa.array(degree[used].astype(np.int64)), pa.array(twice[used].astype(np.int64))], ["i", "degree", "twice"])
+
+
+def _block_degrees(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for p, q, bits, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            matrix = _matrix(bits, data, size)
+            for k, axis in ((p, 1), (q, 0)):
+                yield _counts(np.array([k * size]), matrix.sum(axis=axis, dtype=np.int64), np.zeros(size, np.int64))
+
+
+def _to_triples(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """(i, j, k, p, q, bits, data): each block in the triples of blocks, in order, that hold both of its sides."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            p, q = one.column(0)[0].as_py(), one.column(1)[0].as_py()
+            for r in range(blocks):
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in sorted((p, q, r))), *one.columns], ["i", "j", "k", "p", "q", "bits", "data"])
+
+
+def _triangles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(i, degree, twice): twice the triangles of each node in each triple of blocks, whose rows follow each other."""
+    at, held = None, {}
+
+    def close() -> Iterator[pa.RecordBatch]:
+        # rows of bits of one side's nodes over the other side's
+        near: dict[tuple[int, int], np.ndarray] = {}
+        for (p, q), block in held.items():
+            matrix = _matrix(*block, size)
+            if p == q:
+                matrix = matrix | matrix.T
+            near[p, q] = np.packbits(matrix, axis=1).view(np.uint64)
+            if p != q:
+                near[q, p] = np.packbits(np.ascontiguousarray(matrix.T), axis=1).view(np.uint64)
+        twice = {k: np.zeros(size, np.int64) for k in at}
+        for p, q, r in {(*sorted((at[x], at[y])), at[z]) for x, y, z in ((0, 1, 2), (0, 2, 1), (1, 2, 0))}:
+            if not ((p, q) in held and (p, r) in near and (q, r) in near):
+                continue
+            edges, left, right = _matrix(*held[p, q], size), near[p, r], near[q, r]
+            for u in np.flatnonzero(edges.any(axis=1) & left.any(axis=1)).tolist():
+                v = np.flatnonzero(edges[u])
+                common = np.bitwise_count(right[v] & left[u]).sum(axis=1, dtype=np.int64)
+                twice[p][u] += common.sum()
+                twice[q][v] += common
+        for k, counted in twice.items():
+            yield _counts(np.array([k * size]), np.zeros(size, np.int64), counted)
+
+    for batch in batches:
+        for i, j, k, p, q, bits, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at is not None and (i, j, k) != at:
+                yield from close()
+                held = {}
+            at = (i, j, k)
+            held[p, q] = (bits, data)
+    if at is not None:
+        yield from close()
+
+
+def _block_clustering(named: DataFrame, nodes: int, pairs: Callable[[int], DataFrame], least: int) -> DataFrame:
+    """(node, triangles, coefficient) of the pairs that come ``least`` times; ``pairs(size)`` gives (p, q, codes) for blocks of ``size`` nodes.
+
+    The matrix of the graph is cut into blocks, and triangles are counted in each triple of blocks by the bits that
+    the rows of an edge's ends have in common; neither edges nor pairs of edges are listed.
+    """
+    blocks = max(1, -(-nodes // BLOCK))
+    size = -(-max(1, nodes) // (64 * blocks)) * 64
+    made = pairs(size).repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(lambda b: _blocks(b, size, least), "p int, q int, bits boolean, data binary")
+    kept = cut(made)
+    out = "i int, degree long, twice long"
+    degree = kept.mapInArrow(lambda b: _block_degrees(b, size), out)
+    spread = kept.mapInArrow(lambda b: _to_triples(b, blocks), "i int, j int, k int, p int, q int, bits boolean, data binary")
+    triangles = spread.repartition("i", "j", "k").sortWithinPartitions("i", "j", "k").mapInArrow(lambda b: _triangles(b, size), out)
+    rows = degree.unionByName(triangles).groupBy("i").agg(F.sum("degree").alias("degree"), F.expr("sum(twice) div 2").alias("triangles")).join(named, "i")
     k = F.col("degree").cast("double")
-    return rows.select("node", "triangles", F.round(F.when(k > 1, 2.0 * F.col("triangles") / (k * (k - 1.0))).otherwise(0.0), 4).alias("coefficient"))
+    return rows.select(F.col("name").alias("node"), "triangles", F.round(F.when(k > 1, 2.0 * F.col("triangles") / (k * (k - 1.0))).otherwise(0.0), 4).alias("coefficient"))
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """(node, triangles, coefficient): local clustering; nodes of degree under two have 0."""
+    edges = cut(edges)
+    named, nodes = _numbered(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct())
+    side = bounded_broadcast(named)
+    ends = edges.join(side.withColumnsRenamed({"name": "src", "i": "a"}), "src").join(side.withColumnsRenamed({"name": "dst", "i": "b"}), "dst").select("a", "b")
+    return _block_clustering(named, nodes, lambda size: ends.mapInArrow(lambda b: _edge_pairs(b, size), "p int, q int, codes array<int>"), 1)
+
+
+def cooccurrence_clustering(index: DataFrame, key: str, item: str, least: int = 2) -> DataFrame:
+    """``clustering(cooccurrence(index, key, item, least))`` from the lists of each key's items, without a table of edges."""
+    rows = cut(index.where(F.col(key).isNotNull()).select(key, F.col(item).alias("name")).distinct())
+    named, nodes = _numbered(rows.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("name"))
+    lists = rows.join(bounded_broadcast(named), "name").groupBy(key).agg(F.collect_list("i").alias("l")).where(F.size("l") > 1).select("l")
+    return _block_clustering(named, nodes, lambda size: lists.mapInArrow(lambda b: _list_pairs(b, size), "p int, q int, codes array<int>"), least)
 
 
 def ego(edges: DataFrame, node: str) -> DataFrame:

@@ -560,7 +560,7 @@ def graph_pagerank(spark, d):
 @query(f"""WITH {_WAYS}, dg AS (SELECT src AS node, count(*) AS k FROM w GROUP BY src), t AS (SELECT a.src AS node, count(*) / 2 AS c FROM w a JOIN w b ON a.src = b.src AND a.dst <> b.dst JOIN w c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src)
 SELECT dg.node, CAST(coalesce(c, 0) AS BIGINT) AS triangles, round(CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(c, 0) / (CAST(k AS DOUBLE) * (k - 1)) ELSE 0.0 END, 4) AS coefficient FROM dg LEFT JOIN t ON dg.node = t.node""")
 def graph_clustering(spark, d):
-    return graph.clustering(_edges(spark, d))
+    return graph.cooccurrence_clustering(entity_index(spark, d), "doc_id", "entity", 2)
 
 
 # ---------------------------------------------------------------- similarity

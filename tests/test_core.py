@@ -128,6 +128,37 @@ def test_entities_and_graph(spark):
     assert graph.components(edges.where("false")).count() == 0
 
 
+def test_clustering_in_blocks_against_brute_force(spark, monkeypatch):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(8)
+    index = sorted({(k, f"n{rng.choice((rng.randrange(12), rng.randrange(300)))}") for k in range(400) for _ in range(rng.randrange(9))}) + [(900, "n1"), (900, "n1"), (901, None)]
+    nobody = [(None, "n1"), (None, "n2"), (None, "alone")]
+    frame = spark.createDataFrame(index + nobody, "doc_id long, entity string")
+    held = {}
+    for k, x in set(index):
+        held.setdefault(k, set()).add(x)
+    pairs = Counter(p for x in held.values() for p in combinations(sorted(y for y in x if y), 2))
+    near = {}
+    for (a, b), n in pairs.items():
+        if n >= 2:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    expected = {}
+    for x, own in near.items():
+        t = sum(b in near[a] for a, b in combinations(sorted(own), 2))
+        expected[x] = (t, round(2 * t / (len(own) * (len(own) - 1)), 4) if len(own) > 1 else 0.0)
+    assert max(t for t, _ in expected.values()) > 5
+    for block in (64, 8192):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(graph, "PAIRS", block)
+        for made in (graph.cooccurrence_clustering(frame, "doc_id", "entity", 2), graph.clustering(graph.cooccurrence(frame, "doc_id", "entity", 2))):
+            assert {r["node"]: (r["triangles"], r["coefficient"]) for r in made.collect()} == expected
+    assert graph.cooccurrence_clustering(frame.where("false"), "doc_id", "entity", 2).count() == graph.clustering(graph.cooccurrence(frame.where("false"), "doc_id", "entity")).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1, 1) for i in range(60)] + [(100, 101, 1)], "src int, dst int, weight int")
     found = {r["node"]: r["component"] for r in graph.components(edges).collect()}
